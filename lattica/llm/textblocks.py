@@ -139,3 +139,9 @@ def distinct_shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
             else:
                 out.append(np.empty(0, U64))
     return out
+
+
+def groups_of(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
+    """As ``chunks``, without the places."""
+    for _, part in chunks(texts, limit):
+        yield part
