@@ -21,7 +21,8 @@ _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _UNUSUAL = re.compile(f"[^\\x00-\\x1b\\x20-\\x7f{_LETTER}]").search
 _KEEPING_FINE = re.compile(f"[{SPACE}]*(?:[{_LETTER}]+|[^{SPACE}{_LETTER}]+(?:(?<=')[{_LETTER}]+)?)|[{SPACE}]+").findall
 _DROPPING_FINE = re.compile(f"[{_LETTER}]+|[^{SPACE}{_LETTER}]+(?:(?<=')[{_LETTER}]+)?").findall
-CACHE_PIECES = 800_000
+#: Pieces of one generation; two generations are held.
+CACHE_PIECES = 500_000
 
 
 def keeping(text: str) -> list[str]:
@@ -54,23 +55,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = dropping if drops_space else keeping
+        #: Pieces met lately, and those met before; pieces move to the first when met again.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, missing: list[str]) -> None:
-        for got, piece in zip(self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), missing):
-            self.cache[piece] = np.array(got.ids, "<u4").tobytes()
+        new = []
+        for piece in missing:
+            if (got := self.older.get(piece)) is None:
+                new.append(piece)
+            else:
+                self.cache[piece] = got
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            for got, piece in zip(self.tokenizer.encode_batch_fast(part, add_special_tokens=False), part):
+                self.cache[piece] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.pieces(t) for t in texts]
-        missing = [p for p in set().union(*cut) if p not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache.clear()
-            missing = list(set().union(*cut))
-        for i in range(0, len(missing), 10_000):
-            self._learn(missing[i : i + 10_000])
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        pieces: list[str] = []
+        ends = [0]
+        for t in texts:
+            pieces += self.pieces(t)
+            ends.append(len(pieces))
+        if len(self.cache) > CACHE_PIECES:
+            self.older, self.cache = self.cache, {}
+        found = list(map(self.cache.get, pieces))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        if unknown:
+            self._learn(list({pieces[i] for i in unknown}))
+            for i in unknown:
+                found[i] = self.cache[pieces[i]]
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
