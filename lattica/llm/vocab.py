@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: White space as the tokenizers' own patterns see it.
 SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -21,6 +21,7 @@ _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _UNUSUAL = re.compile(f"[^\\x00-\\x1b\\x20-\\x7f{_LETTER}]").search
 _KEEPING_FINE = re.compile(f"[{SPACE}]*(?:[{_LETTER}]+|[^{SPACE}{_LETTER}]+(?:(?<=')[{_LETTER}]+)?)|[{SPACE}]+").findall
 _DROPPING_FINE = re.compile(f"[{_LETTER}]+|[^{SPACE}{_LETTER}]+(?:(?<=')[{_LETTER}]+)?").findall
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 #: Pieces of one generation; two generations are held.
 CACHE_PIECES = 500_000
 
@@ -50,11 +51,16 @@ class Encoder:
 
     def __init__(self, path: str, drops_space: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = dropping if drops_space else keeping
+        #: For pieces of lower-case letters alone: the same model without the steps that leave them as they are.
+        self.lean = Tokenizer.from_file(path) if drops_space else None
+        if self.lean:
+            self.lean.normalizer = normalizers.Sequence([])
+            self.lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         #: Pieces met lately, and those met before; pieces move to the first when met again.
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -66,32 +72,34 @@ class Encoder:
                 new.append(piece)
             else:
                 self.cache[piece] = got
+        plain = [p for p in new if _PLAIN(p)] if self.lean else []
+        self._encode_new(self.lean, plain)
+        self._encode_new(self.tokenizer, [p for p in new if not _PLAIN(p)] if self.lean else new)
+
+    def _encode_new(self, tokenizer, new: list[str]) -> None:
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for got, piece in zip(self.tokenizer.encode_batch_fast(part, add_special_tokens=False), part):
-                self.cache[piece] = np.array(got.ids, "<u4").tobytes()
+            for got, piece in zip(tokenizer.encode_batch_fast(part, add_special_tokens=False), part):
+                self.cache[piece] = array("I", got.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        pieces: list[str] = []
-        ends = [0]
-        for t in texts:
-            pieces += self.pieces(t)
-            ends.append(len(pieces))
+        pieces = [self.pieces(t) for t in texts]
+        known = set().union(*pieces)
         if len(self.cache) > CACHE_PIECES:
             self.older, self.cache = self.cache, {}
-        found = list(map(self.cache.get, pieces))
-        unknown = [i for i, ids in enumerate(found) if ids is None]
-        if unknown:
-            self._learn(list({pieces[i] for i in unknown}))
-            for i in unknown:
-                found[i] = self.cache[pieces[i]]
-        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
+        self._learn(list(known.difference(self.cache)))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian 32-bit integers")
+
+
 def encoder(path: str, drops_space: bool = False) -> Encoder:
     """One encoder for each vocabulary and worker process."""
     if (path, drops_space) not in _encoders:
@@ -99,7 +107,7 @@ def encoder(path: str, drops_space: bool = False) -> Encoder:
     return _encoders[path, drops_space]
 
 
-def groups(texts: list[str], limit: int = 1 << 19) -> list[list[str]]:
+def groups(texts: list[str], limit: int = 1 << 21) -> list[list[str]]:
     """Consecutive texts of about ``limit`` characters together."""
     out: list[list[str]] = []
     held = limit
