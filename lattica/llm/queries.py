@@ -41,6 +41,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeat_spans import report
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_model": op8_language_model,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
 }

@@ -89,10 +89,13 @@ def runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarr
     return np.concatenate(out)
 
 
+_ROW, _MARKS = "_lattica_row", "_lattica_marks"
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (null: empty) and a hash of both that tells rows of one id apart."""
+    """All columns (null text: empty), and a hash of id and text that tells rows of one id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("text", "doc_id"))
+    return docs.withColumn("text", text).withColumn(_ROW, F.xxhash64("text", F.col("doc_id").cast("long")))
 
 
 def _dealt(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
@@ -110,7 +113,7 @@ def _dealt(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
             ids = [rows[found["doc"][cut[k] : cut[k + 1]]].tobytes() for k in b]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "runs": pa.array(data, pa.binary()), "row_ids": pa.array(ids, pa.binary())})
 
-    return docs.select("row", "text").mapInArrow(run, "bucket int, runs binary, row_ids binary")
+    return docs.mapInArrow(run, "bucket int, runs binary, row_ids binary")
 
 
 def _by_row(row: np.ndarray, records: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -190,11 +193,11 @@ def _shard_marks(table: pa.Table, window: int) -> pa.Table:
 
 
 def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` keyed by row, with the repeated window starts of each as packed ``marks``."""
+    """``docs``, with the repeated window starts of each row as packed marks in a further column."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
     buckets = min(max(4, runtime.input_splits(docs)), 8192)
-    compared = runtime.stored(spark, _dealt(keyed, buckets, window, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compared, "row long, marks binary, asks binary"), "runs")
+    compared = runtime.stored(spark, _dealt(keyed.select(F.col(_ROW).alias("row"), "text"), buckets, window, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compared, "row long, marks binary, asks binary"), "runs")
     asked = compared.filter("asks IS NOT NULL")
     volume = asked.agg(F.sum(F.length("asks"))).first()[0] or 0
     shards = max(1, volume // ASK.itemsize * (window + (window - gram) // 2) // SHARD_BYTES)
@@ -204,10 +207,10 @@ def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             yield _texts_of_runs(batch, shards, window)
 
     wanted = asked.groupBy("row").agg(F.collect_list("asks").alias("asks"))
-    carried = keyed.select("row", "text").join(wanted, "row").select("row", "text", "asks").mapInArrow(carry, "shard int, heads binary, body binary")
+    carried = keyed.select(F.col(_ROW).alias("row"), "text").join(wanted, "row").select("row", "text", "asks").mapInArrow(carry, "shard int, heads binary, body binary")
     from_shards = runtime.stored(spark, carried.repartition(min(shards, 8192), "shard").groupBy("shard").applyInArrow(lambda t: _shard_marks(t, window), "row long, marks binary"), "shard-marks")
-    marks = compared.filter("marks IS NOT NULL").select("row", "marks").unionByName(from_shards).groupBy("row").agg(F.collect_list("marks").alias("marks"))
-    return keyed.join(marks, "row", "left")
+    marks = compared.filter("marks IS NOT NULL").select("row", "marks").unionByName(from_shards).groupBy(F.col("row").alias(_ROW)).agg(F.collect_list("marks").alias(_MARKS))
+    return keyed.join(marks, _ROW, "left")
 
 
 def spans(marks: list[bytes] | None, window: int) -> np.ndarray:
@@ -242,22 +245,28 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, marks in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), batch.column("marks").to_pylist()):
+            for key, text, marks in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), batch.column(_MARKS).to_pylist()):
                 cut = spans(marks, window)
                 rows.append((key, len(text), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(_rest(text, cut)).hexdigest()))
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked(docs, window, gram).select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs.select(F.col("doc_id").cast("long"), "text"), window, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id`` and the text that remains. Bytes of a character that a cut leaves incomplete go, too."""
+    """``docs`` with the text that remains, and ``n_chars``, if there is one, to match.
+
+    Bytes of a character that a cut leaves incomplete go, too. Documents of
+    which no word remains have nothing left to train on and are dropped.
+    """
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [_rest(text, spans(marks, window)).decode("utf-8", "ignore") for text, marks in zip(column_bytes(batch.column("text")), batch.column("marks").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rest, pa.string())], ["doc_id", "text"])
+            rest = [_rest(text, spans(marks, window)).decode("utf-8", "ignore") for text, marks in zip(column_bytes(batch.column("text")), batch.column(_MARKS).to_pylist())]
+            new = {"text": pa.array(rest, pa.string()), "n_chars": pa.array([len(t) for t in rest], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c].cast(batch.column(c).type) if c in new else batch.column(c) for c in schema.names], schema.names).filter(pa.array([bool(t.strip()) for t in rest], pa.bool_()))
 
-    return marked(docs, window, gram).select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, text string")
+    return marked(docs, window, gram).select(*schema.names, _MARKS).mapInArrow(run, schema)
