@@ -14,8 +14,8 @@ classes, so copies never meet in pairs. Shingles that occur in one class only
 match nothing; a class of which fewer than ``t |A|`` shingles occur elsewhere has
 no partner and goes before any join. Near copies are linked in two steps: every
 class of a posting list is compared with one pivot, and then only pairs in
-different components are left to compare, so a large group of near copies does
-not become all its pairs.
+different components are left to compare, within bands of possible sizes, so a
+large group of near copies does not become all its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from .textblocks import U64, column_bytes, distinct_shingles, groups_of, mix64
 _TOKEN_BYTES = 6
 _TOKEN_MASK = U64((1 << 8 * _TOKEN_BYTES) - 1)
 _HEAD, _HEAD_BYTES = "<II", 8
-#: Star rounds before the remaining pairs are taken, and how many of these a posting may bring on average.
-STAR_ROUNDS, PAIRS_A_POSTING = 4, 4
+#: Rounds in which every posting list is compared with one pivot, before the remaining pairs are taken.
+STAR_ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -182,10 +182,10 @@ def _prefixes(table: pa.Table, how: Similarity) -> pa.Table:
         if length < 1:
             continue
         first = np.lexsort((token, df))[:length]
-        rows.append((k, n, _pack(np.sort(token)), token[first].astype(np.int64).tolist()))
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], ["key", "n", "tokens", "prefix"])
+        rows.append((k, n, len(token), _pack(np.sort(token)), token[first].astype(np.int64).tolist()))
+    cols = list(zip(*rows)) if rows else [[]] * 5
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], ["key", "n", "shared", "tokens", "prefix"])
 
 
 def _prefix(tokens: np.ndarray, length: int, other: bool) -> np.ndarray:
@@ -236,25 +236,24 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
     buckets = min(max(4, runtime.input_splits(docs)), 8192)
     blocks = _blocks(docs, how, buckets)
     shared = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), "bucket int, payload binary")
-    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _prefixes(t, how), "key long, n long, tokens binary, prefix array<long>"), "classes")
-    postings = table.select("key", "n", F.explode("prefix").alias("token"))
-    fits = (F.col("n") * how.denominator >= F.col("m") * how.numerator) & (F.col("m") * how.denominator >= F.col("n") * how.numerator)
+    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _prefixes(t, how), "key long, n long, shared long, tokens binary, prefix array<long>"), "classes")
+    postings = table.select("key", "n", "shared", F.explode("prefix").alias("token"))
+    num, den = how.numerator, how.denominator
+    # what two sets share is bounded by what each shares with anyone
+    fits = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
+    fits &= F.least("shared", "m_shared") * (num + den) >= (F.col("n") + F.col("m")) * num
+
+    def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("key"))
+        return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    links = roots = None
-    tried = None
+    links = roots = tried = None
     for r in range(STAR_ROUNDS):
-        rank = F.struct(F.xxhash64("key", F.lit(r)).alias("rank"), F.col("key").alias("m_key"), F.col("n").alias("m"))
-        if roots is None:
-            held = postings.withColumn("root", F.col("key"))
-        else:
-            held = postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        lists = held.groupBy("token").agg(F.count("*").alias("size"), F.min(rank).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        if r:
-            lists = runtime.stored(spark, lists, "lists")
-            cost = lists.agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs"), F.sum("size").alias("rows")).first()
-            if not cost["rows"] or cost["pairs"] <= PAIRS_A_POSTING * 1_000_000 + PAIRS_A_POSTING * cost["rows"]:
-                break
-        met = held.join(lists.select("token", F.col("pivot.m_key").alias("p"), F.col("pivot.m").alias("m")), "token").filter((F.col("key") != F.col("p")) & fits)
+        held = with_roots(postings, roots)
+        pivot = F.min_by(F.struct(F.col("key").alias("p"), F.col("n").alias("m"), F.col("shared").alias("m_shared"), F.col("root").alias("p_root")), F.xxhash64("key", F.lit(r)))
+        lists = held.groupBy("token").agg(pivot.alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token", "pivot.*")
+        met = held.join(lists, "token").filter((F.col("root") != F.col("p_root")) & fits)
         pairs = met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -263,9 +262,17 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
         new = runtime.stored(spark, _verify(pairs, table, how), "similar")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-    held = postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(lists.select("token"), "token")
-    other = held.select("token", F.col("key").alias("o_key"), F.col("n").alias("m"), F.col("root").alias("o_root"))
-    rest = held.join(other, "token").filter((F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root")) & fits).select(F.col("key").alias("a"), F.col("o_key").alias("b")).distinct()
+    # all pairs across components: at least one side is not of its list's most frequent component
+    held = runtime.stored(spark, with_roots(postings, roots), "postings")
+    by_root = held.groupBy("token", "root").agg(F.count("*").alias("size"))
+    lists = by_root.groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", "main")
+    band = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(1.08)))
+    low = F.ceil(F.col("n") * num / den)
+    high = F.least(F.floor(F.col("n") * den / num), F.floor(F.col("shared") * (num + den) / num) - F.col("n"))
+    open_lists = held.join(lists, "token")
+    one = open_lists.filter((F.col("root") != F.col("main")) & (high >= low)).withColumn("band", F.explode(F.sequence(band(F.greatest(low, F.lit(1))), band(high))))
+    other = open_lists.select("token", F.col("key").alias("o_key"), F.col("n").alias("m"), F.col("shared").alias("m_shared"), F.col("root").alias("o_root"), band(F.col("n")).alias("band"))
+    rest = one.join(other, ["token", "band"]).filter((F.col("root") != F.col("o_root")) & fits).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
     new = runtime.stored(spark, _verify(rest.join(tried, ["a", "b"], "left_anti"), table, how), "similar")
     if new.isEmpty():
         return links, roots
