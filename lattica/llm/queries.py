@@ -11,7 +11,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -38,7 +38,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length(F.coalesce("text", F.lit(""))).cast("int")
     step = lambda a, b, new: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), new.alias("new"))
     edits = F.array(step(n / 2, n / 2, F.concat(F.lit(" "), F.coalesce("source", F.lit("")))), step(F.lit(0), n / 10, F.lit("")), step(n * 2, n * 2, F.lit("\nEdited.")))
-    return counted(_table(spark, sf_dir, "documents").withColumn("edits", edits), "edits", _vocabulary("byte_bpe_50k.json"))
+    return counted(_table(spark, sf_dir, "documents").withColumn("edits", edits), "edits", vocabulary("byte_bpe_50k.json"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
 
-    return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
+    return round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
