@@ -303,9 +303,10 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
 def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """Documents whose ``doc_id`` names their component, all columns kept; one row where that id repeats.
 
-    Documents without words are not linked with anything, so each stays.
+    Documents without words are not linked with anything, so each stays; so do
+    rows without a ``doc_id``, which cannot name a component.
     """
     found = near_duplicates(docs, how)
     keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_shingles"))
     out = docs.join(keep.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    return out.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
