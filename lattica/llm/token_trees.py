@@ -27,7 +27,7 @@ class Tree:
         self.encoder = encoder
         pieces = encoder.pieces(text)
         self.leaves = [pieces[i : i + leaf] for i in range(0, len(pieces), leaf)] or [[]]
-        encoder.encode([text])
+        encoder.encode_cut([text])
         self.counts = [list(map(self._count, part)) for part in self.leaves]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
@@ -94,7 +94,7 @@ class Tree:
             old = self.leaves[leaf][k:] + [p for part in self.leaves[leaf + 1 : last] for p in part] + self.leaves[last][: m + 1]
         text = "".join(old)
         pieces = self.encoder.pieces(text[: start - at] + new + text[end - at :])
-        self.encoder.encode([text[: start - at] + new + text[end - at :]])
+        self.encoder.encode_cut([text[: start - at] + new + text[end - at :]])
         self.encoded += len(pieces)
         counts = list(map(self._count, pieces))
         tail, tail_counts = (self.leaves[last][m + 1 :], self.counts[last][m + 1 :])

@@ -11,6 +11,11 @@ import os
 import re
 import sys
 from array import array
+from itertools import chain
+
+import numpy as np
+
+from .textblocks import prefix_sums, span_hash
 
 #: White space as the tokenizers' own patterns see it.
 SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -23,7 +28,9 @@ _KEEPING_FINE = re.compile(f"[{SPACE}]*(?:[{_LETTER}]+|[^{SPACE}{_LETTER}]+(?:(?
 _DROPPING_FINE = re.compile(f"[{_LETTER}]+|[^{SPACE}{_LETTER}]+(?:(?<=')[{_LETTER}]+)?").findall
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 #: Pieces of one generation; two generations are held.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
+#: Pieces of the table by hash (some 30 bytes each).
+TABLE_PIECES = 3_000_000
 
 
 def keeping(text: str) -> list[str]:
@@ -64,6 +71,7 @@ class Encoder:
         #: Pieces met lately, and those met before; pieces move to the first when met again.
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self._reset()
 
     def _learn(self, missing: list[str]) -> None:
         new = []
@@ -82,8 +90,8 @@ class Encoder:
             for got, piece in zip(tokenizer.encode_batch_fast(part, add_special_tokens=False), part):
                 self.cache[piece] = array("I", got.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode_cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text (little-endian, 32 bit), by way of the dictionary of pieces."""
         pieces = [self.pieces(t) for t in texts]
         known = set().union(*pieces)
         if len(self.cache) > CACHE_PIECES:
@@ -93,6 +101,123 @@ class Encoder:
         return [b"".join(map(get, p)) for p in pieces]
 
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Texts of ASCII and Latin-1 letters are cut and looked up all at once:
+        pieces are hashed (64 bit, with their length) in one array, and only
+        pieces that the table has not seen are encoded.
+        """
+        raw = [t.encode() for t in texts]
+        data = b"\0".join(raw) + b"\0"
+        buf = np.frombuffer(data, np.uint8)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes + 1) - 1
+        first = ends - sizes
+        odd = _odd_bytes(buf, ends)
+        other = np.unique(np.searchsorted(ends, np.flatnonzero(odd)))
+        if len(other):
+            slow = dict(zip(other.tolist(), self.encode_cut([texts[i] for i in other.tolist()])))
+            usual = [i for i in range(len(texts)) if i not in slow]
+            for i, got in zip(usual, self.encode([texts[i] for i in usual]) if usual else []):
+                slow[i] = got
+            return [slow[i] for i in range(len(texts))]
+        start, end, buf = _cut(buf, ends, self.lean is not None)
+        h = span_hash(prefix_sums(buf), start, end)
+        kinds, at, which = np.unique(h, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[place] != kinds) if len(self.keys) else np.arange(len(kinds))
+        if len(new):
+            if len(self.keys) + len(new) > TABLE_PIECES:
+                self._reset()
+                new = np.arange(len(kinds))
+            view = buf.tobytes()
+            missing = [view[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist())]
+            self._insert(kinds[new], self._ids_of(missing))
+            place = np.searchsorted(self.keys, kinds)
+        count = self.counts[place][which]
+        total = np.cumsum(count)
+        begin = total - count
+        ids = self.flat[np.repeat(self.offsets[place][which] - begin, count) + np.arange(total[-1] if len(total) else 0)]
+        bounds = np.append(0, total)[np.searchsorted(start, np.append(first, len(buf)))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _reset(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.counts, self.offsets, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if self.lean and _PLAIN(p)]
+        rest = [i for i, p in enumerate(pieces) if not (self.lean and _PLAIN(p))]
+        for tokenizer, own in ((self.lean, plain), (self.tokenizer, rest)):
+            for k in range(0, len(own), 20_000):
+                part = own[k : k + 20_000]
+                for i, got in zip(part, tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)):
+                    out[i] = got.ids
+        return out
+
+    def _insert(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Add pieces to the sorted table."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        offsets = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum()))])
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.counts = np.insert(self.counts, where, sizes)
+        self.offsets = np.insert(self.offsets, where, offsets)
+
+
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[0xC3] = 1
+_ODD = np.zeros(256, bool)
+_ODD[0x1C:0x20] = _ODD[0x80:] = True
+_ODD[0] = True
+
+
+def _odd_bytes(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bytes other than ASCII and the two of a Latin-1 letter. ``ends`` are the places of the marks between texts."""
+    odd = _ODD[buf]
+    odd[ends] = False
+    lead = np.flatnonzero(buf == 0xC3)
+    if len(lead):
+        second = buf[lead + 1]
+        good = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+        odd[lead[good]] = False
+        odd[lead[good] + 1] = False
+    return odd
+
+
+def _cut(buf: np.ndarray, ends: np.ndarray, drops_space: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces, as ``keeping`` or ``dropping`` cut them, and the (lower-cased) text."""
+    kind = _KIND[buf]
+    lead = np.flatnonzero(buf == 0xC3)
+    kind[lead + 1] = 1
+    kind[ends] = 3
+    if drops_space:
+        low = buf.copy()
+        upper = (low >= 65) & (low <= 90)
+        low[upper] += 32
+        second = low[lead + 1]
+        low[lead[second <= 0x9E] + 1] += 0x20
+        buf = low
+    before = np.append(np.uint8(3), kind[:-1])
+    solid = (kind == 1) | (kind == 2)
+    turns = solid & ((before == 1) | (before == 2)) & (before != kind)
+    turns[1:] &= ~((kind[1:] == 1) & (buf[:-1] == 39))
+    if drops_space:
+        begins = turns | (solid & ((before == 0) | (before == 3)))
+        inside = solid
+    else:
+        inside = kind != 3
+        begins = turns | ((kind == 0) & (before != 0)) | (inside & (before == 3))
+    start = np.flatnonzero(begins)
+    after = np.append(begins[1:], True) | np.append(~inside[1:], True)
+    return start, np.flatnonzero(inside & after) + 1, buf
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
