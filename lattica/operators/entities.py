@@ -35,7 +35,7 @@ def by_type(mesh: Mesh, etype: int, meshset: int | None = None, recursive: bool
 def _nested(mesh: Mesh, meshset: int | None) -> DataFrame:
     if meshset is None:
         return mesh.sets.select("handle")
-    return sets.nested(mesh, meshset).filter(F.col("handle") != meshset)
+    return sets.nested(mesh, meshset).filter(F.col("handle") != meshset).select("handle")
 
 
 def by_handle(mesh: Mesh, meshset: int | None = None, recursive: bool = False) -> DataFrame:
