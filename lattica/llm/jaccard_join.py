@@ -115,27 +115,32 @@ def _blocks(docs: DataFrame, how: Similarity, buckets: int) -> DataFrame:
 
 def _shared(table: pa.Table, out_buckets: int) -> pa.Table:
     """Of one bucket's tokens, those in several classes, with their numbers of classes, dealt by class."""
-    keys, sizes, counts, tokens = [], [], [], []
-    for data in table.column("payload").to_pylist():
-        n, m = struct.unpack_from(_HEAD, data)
-        p = _HEAD_BYTES
-        keys.append(np.frombuffer(data, np.int64, n, p))
-        sizes.append(np.frombuffer(data, np.uint32, n, p + 8 * n))
-        counts.append(np.frombuffer(data, np.uint32, n, p + 12 * n))
-        tokens.append(_unpack(memoryview(data)[p + 16 * n :]))
-    key, size, count, token = (np.concatenate(x) for x in (keys, sizes, counts, tokens))
+    payload = table.column("payload")
+    heads = []
+    for data in payload:
+        raw = data.as_buffer()
+        n, m = struct.unpack_from(_HEAD, raw)
+        heads.append((np.frombuffer(raw, np.int64, n, _HEAD_BYTES), np.frombuffer(raw, np.uint32, n, _HEAD_BYTES + 8 * n), np.frombuffer(raw, np.uint32, n, _HEAD_BYTES + 12 * n), m))
+    key, size = (np.concatenate([h[i] for h in heads]) for i in (0, 1))
     pair = np.stack([key.view(U64), size.astype(U64)], 1)
     _, first, cls = np.unique(pair, axis=0, return_index=True, return_inverse=True)
-    cls = cls.ravel()
     once = np.zeros(len(key), bool)
     once[first] = True  # a class that several tasks sent counts once
-    keep = np.repeat(once, count)
-    token, owner = token[keep], np.repeat(cls, count)[keep]
+    cls = cls.ravel().astype(np.int32)
+    token_parts, owner_parts, at = [], [], 0
+    for data, (k, _, count, m) in zip(payload, heads):
+        keep = np.repeat(once[at : at + len(k)], count)
+        token_parts.append(_unpack(memoryview(data.as_buffer())[_HEAD_BYTES + 16 * len(k) :])[keep])
+        owner_parts.append(np.repeat(cls[at : at + len(k)], count)[keep])
+        at += len(k)
+    token, owner = np.concatenate(token_parts), np.concatenate(owner_parts)
+    del token_parts, owner_parts
     order = np.argsort(token)
     token, owner = token[order], owner[order]
+    del order
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     df = np.diff(np.append(edge, len(token)))
-    df = np.repeat(df, df)
+    df = np.repeat(df.astype(np.int32), df)
     several = df > 1
     token, owner, df = token[several], owner[several], df[several]
     order = np.argsort(owner, kind="stable")
@@ -233,10 +238,11 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
     components.
     """
     spark = docs.sparkSession
-    buckets = min(max(4, runtime.input_splits(docs)), 8192)
+    runtime.prepare(spark)
+    buckets = min(max(4, 2 * runtime.input_splits(docs)), 8192)
     blocks = _blocks(docs, how, buckets)
-    shared = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), "bucket int, payload binary")
-    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _prefixes(t, how), "key long, n long, shared long, tokens binary, prefix array<long>"), "classes")
+    shared = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_shared, buckets), "bucket int, payload binary")
+    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_prefixes, how), "key long, n long, shared long, tokens binary, prefix array<long>"), "classes")
     postings = table.select("key", "n", "shared", F.explode("prefix").alias("token"))
     num, den = how.numerator, how.denominator
     # what two sets share is bounded by what each shares with anyone

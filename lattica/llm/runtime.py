@@ -30,11 +30,50 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     The result no longer depends on the shuffle files of any executor, so a
     lost executor costs no recomputation of what came before.
     """
+    prepare(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Documents that a Python worker gets at a time.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch, so that a batch of long documents fits in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give freed memory of a Python worker back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(fn, *args):
+    """``fn`` of a grouped table (and ``args``), after which the worker's memory is given back."""
+
+    def run(table):
+        out = fn(table, *args)
+        del table
+        release()
+        return out
+
+    return run
+
+
 def input_splits(df: DataFrame) -> int:
     """Number of partitions the scan of ``df`` is planned with (runs no job)."""
     return max(1, df.rdd.getNumPartitions())
