@@ -22,11 +22,11 @@ from . import log_bloom, runtime
 from .textblocks import U64, Words, column_bytes, groups_of, mix64
 
 #: Bound of the broadcast filter; weight of the single-token model within a pair's context.
-FILTER_BYTES, WEIGHT = 64 << 20, 8.0
+FILTER_BYTES, WEIGHT = 48 << 20, 8.0
 _END = U64(0x2545F4914F6CDD1D)
 _KEPT = U64((1 << 48) - 1)
 _UNIT = float(1 << 38)
-_GROUP = 8 << 20
+_GROUP = 6 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +114,8 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
 def _met(table: pa.Table, most_bytes: int) -> pa.Table:
     """One bucket: sums for each text, number of tokens and kinds, and the slices of the filter."""
     kinds, learned, parts = [], [], []
-    for data in table.column("singles").to_pylist():
+    for data in table.column("singles"):
+        data = data.as_buffer()
         k, n, m, wide = struct.unpack_from("<III?", data)
         p = 13
         kinds.append(np.frombuffer(data, U64, k, p))
@@ -137,7 +138,8 @@ def _met(table: pa.Table, most_bytes: int) -> pa.Table:
             known.append(np.add.reduceat((total[here] > 0).astype(np.int64), first))
             count.append(size)
     pair, n_pair = [], []
-    for data in table.column("doubles").to_pylist():
+    for data in table.column("doubles"):
+        data = data.as_buffer()
         one, more = struct.unpack_from("<II", data)
         raw = np.zeros((one + more, 8), np.uint8)
         raw[:, :6] = np.frombuffer(data, np.uint8, 6 * (one + more), 8).reshape(-1, 6)
@@ -151,15 +153,14 @@ def _met(table: pa.Table, most_bytes: int) -> pa.Table:
     one = log_bloom.build(kind[taught] & _KEPT, total[taught], most_bytes // 4)
     two = log_bloom.build(p[edge], np.add.reduceat(c, edge) if len(edge) else c, most_bytes - most_bytes // 4)
     n = sum(map(len, rows))
-    gather = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    none, b = [None] * n, table.column("bucket")[0].as_py()
-    return pa.table({
-        "row": pa.array(gather(rows).tolist() + [None], pa.int64()), "logs": pa.array(gather(sums).tolist() + [None], pa.int64()),
-        "known": pa.array(gather(known).tolist() + [None], pa.int64()), "count": pa.array(gather(count).tolist() + [None], pa.int64()),
-        "bucket": pa.array([*none, b], pa.int32()), "tokens": pa.array([*none, int(total.sum())], pa.int64()), "kinds": pa.array([*none, int(taught.sum())], pa.int64()),
-        "one": pa.array([*none, one.data.tobytes()], pa.binary()), "two": pa.array([*none, two.data.tobytes()], pa.binary()),
-        "least_one": pa.array([*none, one.least], pa.int32()), "least_two": pa.array([*none, two.least], pa.int32()),
-    })
+    blank = lambda kind, n: pa.nulls(n, kind)
+    gather = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64))
+    b = table.column("bucket")[0].as_py()
+    cols = {"row": gather(rows), "logs": gather(sums), "known": gather(known), "count": gather(count)}
+    cols = {k: pa.chunked_array([v, blank(pa.int64(), 1)]) for k, v in cols.items()}
+    last = {"bucket": (pa.int32(), b), "tokens": (pa.int64(), int(total.sum())), "kinds": (pa.int64(), int(taught.sum())), "one": (pa.binary(), one.data.tobytes()), "two": (pa.binary(), two.data.tobytes()), "least_one": (pa.int32(), one.least), "least_two": (pa.int32(), two.least)}
+    cols |= {k: pa.chunked_array([blank(kind, n), pa.array([x], kind)]) for k, (kind, x) in last.items()}
+    return pa.table(cols)
 
 
 _MET = "row long, logs long, known long, count long, bucket int, tokens long, kinds long, one binary, two binary, least_one int, least_two int"
@@ -197,9 +198,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, filter_bytes
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), F.xxhash64(text, "doc_id").alias("row"), text.alias("text"))
-    buckets = min(max(4, runtime.input_splits(docs)), 4096)
+    runtime.prepare(spark)
+    buckets = min(max(4, runtime.input_splits(docs) * 3 // 2), 4096)
     share = max(1024, filter_bytes // buckets)
-    met = runtime.stored(spark, _dealt(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _met(t, share), _MET), "counts")
+    met = runtime.stored(spark, _dealt(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met, share), _MET), "counts")
     slices = {r["bucket"]: r for r in met.filter("bucket IS NOT NULL").select("bucket", "tokens", "kinds", "one", "two", "least_one", "least_two").collect()}
     n, v = (sum(r[c] for r in slices.values()) for c in ("tokens", "kinds"))
     empty = log_bloom.Slice(np.zeros(1, np.uint8), 1)

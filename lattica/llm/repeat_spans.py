@@ -195,9 +195,10 @@ def _shard_marks(table: pa.Table, window: int) -> pa.Table:
 def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs``, with the repeated window starts of each row as packed marks in a further column."""
     spark = docs.sparkSession
+    runtime.prepare(spark)
     keyed = _keyed(docs)
     buckets = min(max(4, runtime.input_splits(docs)), 8192)
-    compared = runtime.stored(spark, _dealt(keyed.select(F.col(_ROW).alias("row"), "text"), buckets, window, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compared, "row long, marks binary, asks binary"), "runs")
+    compared = runtime.stored(spark, _dealt(keyed.select(F.col(_ROW).alias("row"), "text"), buckets, window, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_compared), "row long, marks binary, asks binary"), "runs")
     asked = compared.filter("asks IS NOT NULL")
     volume = asked.agg(F.sum(F.length("asks"))).first()[0] or 0
     shards = max(1, volume // ASK.itemsize * (window + (window - gram) // 2) // SHARD_BYTES)
@@ -208,7 +209,7 @@ def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
     wanted = asked.groupBy("row").agg(F.collect_list("asks").alias("asks"))
     carried = keyed.select(F.col(_ROW).alias("row"), "text").join(wanted, "row").select("row", "text", "asks").mapInArrow(carry, "shard int, heads binary, body binary")
-    from_shards = runtime.stored(spark, carried.repartition(min(shards, 8192), "shard").groupBy("shard").applyInArrow(lambda t: _shard_marks(t, window), "row long, marks binary"), "shard-marks")
+    from_shards = runtime.stored(spark, carried.repartition(min(shards, 8192), "shard").groupBy("shard").applyInArrow(runtime.lean(_shard_marks, window), "row long, marks binary"), "shard-marks")
     marks = compared.filter("marks IS NOT NULL").select("row", "marks").unionByName(from_shards).groupBy(F.col("row").alias(_ROW)).agg(F.collect_list("marks").alias(_MARKS))
     return keyed.join(marks, _ROW, "left")
 
