@@ -1,6 +1,6 @@
 """All registered queries of the mesh engine, and their SQL."""
 
-from . import queries_model
+from . import queries_model, queries_topology
 
-QUERIES = {**queries_model.QUERIES}
-ORACLE = {**queries_model.ORACLE}
+QUERIES = {**queries_model.QUERIES, **queries_topology.QUERIES}
+ORACLE = {**queries_model.ORACLE, **queries_topology.ORACLE}
