@@ -66,7 +66,7 @@ def classes(docs: DataFrame, how: Similarity) -> DataFrame:
             sets = distinct_shingles(column_bytes(batch.column("text")), how.words)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array([_class_key(s) for s in sets], pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, n long, key long")
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -85,7 +85,7 @@ def _blocks(docs: DataFrame, how: Similarity, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in groups_of(column_bytes(batch.column(0)), 8 << 20):
+            for texts in groups_of(column_bytes(batch.column(0)), 6 << 20):
                 sets: dict[tuple[int, int], np.ndarray] = {}
                 for s in distinct_shingles(texts, how.words):
                     if len(s):
@@ -110,7 +110,7 @@ def _blocks(docs: DataFrame, how: Similarity, buckets: int) -> DataFrame:
                     rows_p.append(struct.pack(_HEAD, len(have), len(part)) + keys[have].tobytes() + sizes[have].tobytes() + counts[have].astype("<u4").tobytes() + _pack(tokens[part]))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows_b, pa.int32()), "payload": pa.array(rows_p, pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "bucket int, payload binary")
+    return docs.select("text").mapInArrow(runtime.trimmed(run), "bucket int, payload binary")
 
 
 def _shared(table: pa.Table, out_buckets: int) -> pa.Table:
@@ -228,7 +228,7 @@ def _verify(pairs: DataFrame, table: DataFrame, how: Similarity) -> DataFrame:
             ok = [verified(tokens(a, x), n, tokens(b, y), m, how) for a, x, n, b, y, m in zip(d["a"], d["a_tokens"], d["a_n"], d["b"], d["b_tokens"], d["b_n"])]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "a_n", "a_tokens", "b_n", "b_tokens").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "a_n", "a_tokens", "b_n", "b_tokens").mapInArrow(runtime.trimmed(run), "a long, b long")
 
 
 def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:

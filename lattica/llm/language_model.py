@@ -26,7 +26,7 @@ FILTER_BYTES, WEIGHT = 48 << 20, 8.0
 _END = U64(0x2545F4914F6CDD1D)
 _KEPT = U64((1 << 48) - 1)
 _UNIT = float(1 << 38)
-_GROUP = 6 << 20
+_GROUP = 4 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
                 at = end
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "singles": pa.array(singles, pa.binary()), "doubles": pa.array(doubles, pa.binary())})
 
-    return docs.select("row", "held_out", "text").mapInArrow(run, "bucket int, singles binary, doubles binary")
+    return docs.select("row", "held_out", "text").mapInArrow(runtime.trimmed(run), "bucket int, singles binary, doubles binary")
 
 
 def _met(table: pa.Table, most_bytes: int) -> pa.Table:
@@ -221,7 +221,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, filter_bytes
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(logs)], ["doc_id", "held_out", "row", "n_tokens", "score"])
                 at += len(part)
 
-    scored = keyed.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, score double")
+    scored = keyed.mapInArrow(runtime.trimmed(run), "doc_id long, held_out boolean, row long, n_tokens long, score double")
     sums = met.filter("row IS NOT NULL").groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"), F.sum("count").alias("count"))
     # rows of one id and text share a key and have equal sums
     times = F.col("count") / F.col("n_tokens")

@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = LENGTH,
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_pieces(cut: DataFrame, size: int = LENGTH, group_pieces: int = GROUP_PIECES, rounds: int = 2) -> DataFrame:

@@ -120,7 +120,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 arr = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(part)), arr], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, x array<double>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cut: float = 0.3) -> DataFrame:
@@ -142,4 +142,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
             s = model.score(col.flatten().to_numpy().reshape(len(batch), -1)) if len(batch) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return table.withColumn("held_out", fold() == 0).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return table.withColumn("held_out", fold() == 0).mapInArrow(runtime.trimmed(run), "doc_id long, held_out boolean, score double, predicted int")

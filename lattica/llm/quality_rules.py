@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import runtime
 from .textblocks import chunks, column_bytes
 from .textstats import Measures
 
@@ -77,7 +78,7 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE_
             yield pa.RecordBatch.from_pydict({"rule": pa.array(range(len(rules)), pa.int32()), "seconds": seconds, "rejected": pa.array(rejected, pa.int64())})
 
     picked = docs.select("text").limit(sample)
-    seen = {r["rule"]: r for r in picked.mapInArrow(run, "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()}
+    seen = {r["rule"]: r for r in picked.mapInArrow(runtime.trimmed(run), "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()}
     if not seen:
         return list(range(len(rules)))
     return sorted(range(len(rules)), key=lambda k: (-(seen[k]["rejected"] + 0.5) / max(seen[k]["seconds"], 1e-9), k))
@@ -109,7 +110,7 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     "n_repeat_words": pa.array(w["n_repeat_words"], pa.int64()), "base_failed": failed, "kept": kept,
                 })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 class _Rows(Measures):
@@ -133,4 +134,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             kept = [cascade(part, rules, order) for _, part in chunks(texts)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(runtime.trimmed(run), docs.schema)

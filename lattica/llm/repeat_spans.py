@@ -32,7 +32,7 @@ from .textblocks import U64, chunks, column_bytes, joined, prefix_sums, span_has
 WINDOW, GRAM = 400, 128
 SEGMENT = 4 << 20
 _PLACE = 23
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 RUN = np.dtype([("anchor", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("count", "<u2")])
 ASK = np.dtype([("anchor", "<u8"), ("start", "<u4"), ("count", "<u2")])
 MARK = np.dtype([("start", "<u4"), ("count", "<u4")])
@@ -113,7 +113,7 @@ def _dealt(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
             ids = [rows[found["doc"][cut[k] : cut[k + 1]]].tobytes() for k in b]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "runs": pa.array(data, pa.binary()), "row_ids": pa.array(ids, pa.binary())})
 
-    return docs.mapInArrow(run, "bucket int, runs binary, row_ids binary")
+    return docs.mapInArrow(runtime.trimmed(run), "bucket int, runs binary, row_ids binary")
 
 
 def _by_row(row: np.ndarray, records: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -208,7 +208,7 @@ def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             yield _texts_of_runs(batch, shards, window)
 
     wanted = asked.groupBy("row").agg(F.collect_list("asks").alias("asks"))
-    carried = keyed.select(F.col(_ROW).alias("row"), "text").join(wanted, "row").select("row", "text", "asks").mapInArrow(carry, "shard int, heads binary, body binary")
+    carried = keyed.select(F.col(_ROW).alias("row"), "text").join(wanted, "row").select("row", "text", "asks").mapInArrow(runtime.trimmed(carry), "shard int, heads binary, body binary")
     from_shards = runtime.stored(spark, carried.repartition(min(shards, 8192), "shard").groupBy("shard").applyInArrow(runtime.lean(_shard_marks, window), "row long, marks binary"), "shard-marks")
     marks = compared.filter("marks IS NOT NULL").select("row", "marks").unionByName(from_shards).groupBy(F.col("row").alias(_ROW)).agg(F.collect_list("marks").alias(_MARKS))
     return keyed.join(marks, _ROW, "left")
@@ -253,7 +253,7 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked(docs.select(F.col("doc_id").cast("long"), "text"), window, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs.select(F.col("doc_id").cast("long"), "text"), window, gram).mapInArrow(runtime.trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -270,4 +270,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             new = {"text": pa.array(rest, pa.string()), "n_chars": pa.array([len(t) for t in rest], pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c].cast(batch.column(c).type) if c in new else batch.column(c) for c in schema.names], schema.names).filter(pa.array([bool(t.strip()) for t in rest], pa.bool_()))
 
-    return marked(docs, window, gram).select(*schema.names, _MARKS).mapInArrow(run, schema)
+    return marked(docs, window, gram).select(*schema.names, _MARKS).mapInArrow(runtime.trimmed(run), schema)

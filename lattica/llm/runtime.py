@@ -74,6 +74,16 @@ def lean(fn, *args):
     return run
 
 
+def trimmed(run):
+    """A batch iterator's function, after whose last batch the worker's memory is given back."""
+
+    def go(batches):
+        yield from run(batches)
+        release()
+
+    return go
+
+
 def input_splits(df: DataFrame) -> int:
     """Number of partitions the scan of ``df`` is planned with (runs no job)."""
     return max(1, df.rdd.getNumPartitions())

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import runtime
 from .textblocks import U64, Words, chunks, column_bytes, mix64
 
 #: Words of a seed and of the shortest tile; covered share of an item that counts; bytes of benchmark text broadcast at a time.
@@ -163,7 +164,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataF
                     new = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32()), pa.array([met.get(t, 0) for t in range(len(texts))], pa.int32())]
                     yield pa.RecordBatch.from_arrays([*cols, *new], [*(c for c in batch.schema.names if c != "text"), "coverage", "best_item", "n_tiles", "n_items"])
 
-        got = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id").alias("row"), "text").mapInArrow(run, "doc_id long, row long, coverage double, best_item long, n_tiles int, n_items int")
+        got = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id").alias("row"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, row long, coverage double, best_item long, n_tiles int, n_items int")
         found = got if found is None else found.unionByName(got)
     if parts > 1:  # rows of one id and text share a key; each part has as many of them
         best = F.max_by(F.struct("best_item", "n_tiles"), F.struct("coverage", -F.col("best_item")))

@@ -107,7 +107,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, drops_space
 
     _make(folder)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, FILES)
+    return ordered.mapInArrow(runtime.trimmed(run), FILES)
 
 
 def _make(folder: str) -> None:
@@ -138,7 +138,7 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(t.doc_ids, pa.int64()), "start": pa.array(bounds[:n] + base), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(runtime.trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, drops_space: bool = True) -> DataFrame:

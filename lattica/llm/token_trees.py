@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vocab
+from . import runtime, vocab
 
 LEAF_PIECES = 32
 
@@ -144,4 +144,4 @@ def counted(docs: DataFrame, edits: str, tokenizer: str, drops_space: bool = Fal
             table = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in table.T)], ["doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col(edits).alias("edits")).mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.col(edits).alias("edits")).mapInArrow(runtime.trimmed(run), "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long")

@@ -232,7 +232,7 @@ def encoder(path: str, drops_space: bool = False) -> Encoder:
     return _encoders[path, drops_space]
 
 
-def groups(texts: list[str], limit: int = 1 << 21) -> list[list[str]]:
+def groups(texts: list[str], limit: int = 1 << 20) -> list[list[str]]:
     """Consecutive texts of about ``limit`` characters together."""
     out: list[list[str]] = []
     held = limit
