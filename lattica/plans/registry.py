@@ -1,6 +1,7 @@
 """All registered queries of the mesh engine, and their SQL."""
 
-from . import queries_model, queries_topology
+from . import queries_geometry, queries_model, queries_topology
 
-QUERIES = {**queries_model.QUERIES, **queries_topology.QUERIES}
-ORACLE = {**queries_model.ORACLE, **queries_topology.ORACLE}
+_PARTS = (queries_model, queries_topology, queries_geometry)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
