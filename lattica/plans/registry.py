@@ -1,7 +1,7 @@
 """All registered queries of the mesh engine, and their SQL."""
 
-from . import queries_geometry, queries_model, queries_topology
+from . import queries_files, queries_geometry, queries_model, queries_topology
 
-_PARTS = (queries_model, queries_topology, queries_geometry)
+_PARTS = (queries_model, queries_topology, queries_geometry, queries_files)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
