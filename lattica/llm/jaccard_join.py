@@ -15,7 +15,9 @@ match nothing; a class of which fewer than ``t |A|`` shingles occur elsewhere ha
 no partner and goes before any join. Near copies are linked in two steps: every
 class of a posting list is compared with one pivot, and then only pairs in
 different components are left to compare, within bands of possible sizes, so a
-large group of near copies does not become all its pairs.
+large group of near copies does not become all its pairs. There, too, a bitmap of token parities bounds
+from below how many tokens two sets do not share, and a posting's place in its
+prefix bounds from above how many they do.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .components import components
+from .components import extended
 from .textblocks import U64, column_bytes, distinct_shingles, groups_of, mix64
 
 _TOKEN_BYTES = 6
 _TOKEN_MASK = U64((1 << 8 * _TOKEN_BYTES) - 1)
 _HEAD, _HEAD_BYTES = "<II", 8
+#: Longs of a class's parity bitmap: bit i says whether an odd number of its shared tokens falls into bucket i.
+BITMAP_LONGS = 16
 #: Rounds in which every posting list is compared with one pivot, before the remaining pairs are taken.
 STAR_ROUNDS = 2
 
@@ -187,10 +191,17 @@ def _prefixes(table: pa.Table, how: Similarity) -> pa.Table:
         if length < 1:
             continue
         first = np.lexsort((token, df))[:length]
-        rows.append((k, n, len(token), _pack(np.sort(token)), token[first].astype(np.int64).tolist()))
-    cols = list(zip(*rows)) if rows else [[]] * 5
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], ["key", "n", "shared", "tokens", "prefix"])
+        rows.append((k, n, len(token), _pack(np.sort(token)), _bitmap(token), token[first].astype(np.int64).tolist()))
+    cols = list(zip(*rows)) if rows else [[]] * 6
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], ["key", "n", "shared", "tokens", "bitmap", "prefix"])
+
+
+def _bitmap(tokens: np.ndarray) -> list[int]:
+    bits = 64 * BITMAP_LONGS
+    bucket = (mix64(tokens ^ U64(0x6A09E667F3BCC909)) % U64(bits)).astype(np.int64)
+    odd = (np.bincount(bucket, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
 
 
 def _prefix(tokens: np.ndarray, length: int, other: bool) -> np.ndarray:
@@ -242,8 +253,8 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
     buckets = min(max(4, 2 * runtime.input_splits(docs)), 8192)
     blocks = _blocks(docs, how, buckets)
     shared = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_shared, buckets), "bucket int, payload binary")
-    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_prefixes, how), "key long, n long, shared long, tokens binary, prefix array<long>"), "classes")
-    postings = table.select("key", "n", "shared", F.explode("prefix").alias("token"))
+    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_prefixes, how), "key long, n long, shared long, tokens binary, bitmap array<long>, prefix array<long>"), "classes")
+    postings = table.select("key", "n", "shared", F.posexplode("prefix").alias("pos", "token"))
     num, den = how.numerator, how.denominator
     # what two sets share is bounded by what each shares with anyone
     fits = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
@@ -267,7 +278,7 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = runtime.stored(spark, _verify(pairs, table, how), "similar")
         links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        roots = extended(roots, new)
     # all pairs across components: at least one side is not of its list's most frequent component
     held = runtime.stored(spark, with_roots(postings, roots), "postings")
     by_root = held.groupBy("token", "root").agg(F.count("*").alias("size"))
@@ -275,15 +286,24 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
     band = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(1.08)))
     low = F.ceil(F.col("n") * num / den)
     high = F.least(F.floor(F.col("n") * den / num), F.floor(F.col("shared") * (num + den) / num) - F.col("n"))
-    open_lists = held.join(lists, "token")
+    # buckets in which the parities differ each hold a token that only one side has
+    bits = table.select("key", *(F.element_at("bitmap", i + 1).alias(f"b{i}") for i in range(BITMAP_LONGS)))
+    open_lists = held.join(lists, "token").join(bits, "key")
     one = open_lists.filter((F.col("root") != F.col("main")) & (high >= low)).withColumn("band", F.explode(F.sequence(band(F.greatest(low, F.lit(1))), band(high))))
-    other = open_lists.select("token", F.col("key").alias("o_key"), F.col("n").alias("m"), F.col("shared").alias("m_shared"), F.col("root").alias("o_root"), band(F.col("n")).alias("band"))
-    rest = one.join(other, ["token", "band"]).filter((F.col("root") != F.col("o_root")) & fits).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
+    named = {"key": "o_key", "n": "m", "shared": "m_shared", "root": "o_root", "pos": "o_pos"} | {f"b{i}": f"o_b{i}" for i in range(BITMAP_LONGS)}
+    other = open_lists.select("token", *(F.col(k).alias(v) for k, v in named.items()), band(F.col("n")).alias("band"))
+    differ = F.col("n") - F.col("shared") + F.col("m") - F.col("m_shared")
+    for i in range(BITMAP_LONGS):
+        differ = differ + F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}")))
+    close = differ * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
+    # at the first token that two sets share, what is left of both bounds what they share
+    ahead = F.least(F.col("shared") - F.col("pos"), F.col("m_shared") - F.col("o_pos")) * (num + den) >= (F.col("n") + F.col("m")) * num
+    met = one.join(other, ["token", "band"]).filter((F.col("root") != F.col("o_root")) & fits & ahead & close)
+    rest = met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
     new = runtime.stored(spark, _verify(rest.join(tried, ["a", "b"], "left_anti"), table, how), "similar")
     if new.isEmpty():
         return links, roots
-    links = links.unionByName(new)
-    return links, components(links)
+    return links.unionByName(new), extended(roots, new)
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
