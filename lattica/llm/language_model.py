@@ -111,7 +111,7 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("row", "held_out", "text").mapInArrow(runtime.trimmed(run), "bucket int, singles binary, doubles binary")
 
 
-def _met(table: pa.Table, most_bytes: int) -> pa.Table:
+def _met(table: pa.Table, most_bytes: int, buckets: int) -> pa.Table:
     """One bucket: sums for each text, number of tokens and kinds, and the slices of the filter."""
     kinds, learned, parts = [], [], []
     for data in table.column("singles"):
@@ -152,18 +152,29 @@ def _met(table: pa.Table, most_bytes: int) -> pa.Table:
     taught = total > 0
     one = log_bloom.build(kind[taught] & _KEPT, total[taught], most_bytes // 4)
     two = log_bloom.build(p[edge], np.add.reduceat(c, edge) if len(edge) else c, most_bytes - most_bytes // 4)
-    n = sum(map(len, rows))
-    blank = lambda kind, n: pa.nulls(n, kind)
-    gather = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64))
-    b = table.column("bucket")[0].as_py()
-    cols = {"row": gather(rows), "logs": gather(sums), "known": gather(known), "count": gather(count)}
-    cols = {k: pa.chunked_array([v, blank(pa.int64(), 1)]) for k, v in cols.items()}
-    last = {"bucket": (pa.int32(), b), "tokens": (pa.int64(), int(total.sum())), "kinds": (pa.int64(), int(taught.sum())), "one": (pa.binary(), one.data.tobytes()), "two": (pa.binary(), two.data.tobytes()), "least_one": (pa.int32(), one.least), "least_two": (pa.int32(), two.least)}
-    cols |= {k: pa.chunked_array([blank(kind, n), pa.array([x], kind)]) for k, (kind, x) in last.items()}
-    return pa.table(cols)
+    row, log_sum, known_sum, number = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, sums, known, count))
+    dest = np.mod(row, buckets)
+    order = np.argsort(dest, kind="stable")
+    packed = np.stack([row, log_sum, known_sum, number], 1)[order]
+    cut = _cuts(dest[order], buckets)
+    to = [d for d in range(buckets) if cut[d] < cut[d + 1]]
+    k = len(to)
+    last = {"tokens": (pa.int64(), int(total.sum())), "kinds": (pa.int64(), int(taught.sum())), "one": (pa.binary(), one.data.tobytes()), "two": (pa.binary(), two.data.tobytes()), "least_one": (pa.int32(), one.least), "least_two": (pa.int32(), two.least), "bucket": (pa.int32(), table.column("bucket")[0].as_py())}
+    cols = {"dest": pa.array([*to, None], pa.int32()), "sums": pa.array([*(packed[cut[d] : cut[d + 1]].tobytes() for d in to), None], pa.binary())}
+    cols |= {name: pa.array([None] * k + [x], kind) for name, (kind, x) in last.items()}
+    return pa.table(cols).select([c.split()[0] for c in _MET.split(", ")])
 
 
-_MET = "row long, logs long, known long, count long, bucket int, tokens long, kinds long, one binary, two binary, least_one int, least_two int"
+_MET = "dest int, sums binary, bucket int, tokens long, kinds long, one binary, two binary, least_one int, least_two int"
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Sums of all buckets' blocks for the texts of one destination."""
+    parts = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in table.column("sums").to_pylist()])
+    row, at = np.unique(parts[:, 0], return_inverse=True)
+    out = np.zeros((len(row), 3), np.int64)
+    np.add.at(out, at, parts[:, 1:])
+    return pa.table({"row": row, "logs": out[:, 0], "known": out[:, 1], "count": out[:, 2]})
 
 
 class Model:
@@ -201,7 +212,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, filter_bytes
     runtime.prepare(spark)
     buckets = min(max(4, runtime.input_splits(docs) * 3 // 2), 4096)
     share = max(1024, filter_bytes // buckets)
-    met = runtime.stored(spark, _dealt(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met, share), _MET), "counts")
+    met = runtime.stored(spark, _dealt(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met, share, buckets), _MET), "counts")
     slices = {r["bucket"]: r for r in met.filter("bucket IS NOT NULL").select("bucket", "tokens", "kinds", "one", "two", "least_one", "least_two").collect()}
     n, v = (sum(r[c] for r in slices.values()) for c in ("tokens", "kinds"))
     empty = log_bloom.Slice(np.zeros(1, np.uint8), 1)
@@ -222,7 +233,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, filter_bytes
                 at += len(part)
 
     scored = keyed.mapInArrow(runtime.trimmed(run), "doc_id long, held_out boolean, row long, n_tokens long, score double")
-    sums = met.filter("row IS NOT NULL").groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"), F.sum("count").alias("count"))
+    sums = met.filter("dest IS NOT NULL").select("dest", "sums").repartition(buckets, "dest").groupBy("dest").applyInArrow(runtime.lean(_summed), "row long, logs long, known long, count long")
     # rows of one id and text share a key and have equal sums
     times = F.col("count") / F.col("n_tokens")
     base = F.col("logs") / F.lit(_UNIT) / times - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
