@@ -311,7 +311,7 @@ def tet_aspect_beta(p, size=None):
 def tet_aspect_ratio(p, size=None):
     area = sum(_tet_surface(p)[1:], _tet_surface(p)[0])
     longest = F.sqrt(_extreme([e.squared() for e in _tet_edges(p)], True))
-    return _ratio(math.sqrt(6) / 18 * longest * area, F.abs(tet_volume(*p)))
+    return _ratio(math.sqrt(6) / 36 * longest * area, F.abs(tet_volume(*p)))
 
 
 def tet_aspect_gamma(p, size=None):
