@@ -253,3 +253,23 @@ def slotted_cylinder(lon: Column, lat: Column, lon0: float, lat0: float, bottom:
     r = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), math.sin(lat0) * F.sin(lat) + math.cos(lat0) * F.cos(lat) * F.cos(lon - lon0))))
     outside_slot = (F.abs(lon - lon0) >= radius / 6) | (lat - lat0 < -5.0 / 12 * radius)
     return F.when((r <= radius) & outside_slot, F.lit(top)).otherwise(F.lit(bottom))
+
+
+def plucker_ray_triangle(origin: V, direction: V, a: V, b: V, c: V, orientation: int = 0) -> Column:
+    """Distance along a ray to a triangle by Plucker edge tests, null if it misses.
+
+    The sign of each edge's test comes from the edge itself, so two triangles
+    that share an edge never both miss a ray between them. ``orientation`` 1
+    keeps hits along the normal, -1 those against it.
+    """
+
+    def side(p: V, q: V) -> Column:
+        return direction.dot((p - origin).cross(q - origin))
+
+    s = [side(a, b), side(b, c), side(c, a)]
+    plus, minus = (s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0), (s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0)
+    total = s[0] + s[1] + s[2]
+    ok = (total != 0) & (plus if orientation > 0 else minus if orientation < 0 else plus | minus)
+    hit = (a * s[1] + b * s[2] + c * s[0]) / total
+    t = (hit - origin).dot(direction) / direction.squared()
+    return F.when(ok & (t >= 0), t)
