@@ -16,7 +16,12 @@ from ..operators.structured import Box
 from . import tables as t
 
 QUERIES, ORACLE = {}, {}
-H = F.col("handle")
+
+
+def H():
+    return F.col("handle")
+
+
 HEXQ, TETQ = f"WITH {t.hex_sql(4, True)}", f"WITH {t.tet_sql(3, True)}"
 QUADQ, TRIQ = f"WITH {t.quad_sql(8, True)}", f"WITH {t.tri_sql(8, True)}"
 hexes, tets = lambda s: t.hex_mesh(s, 4, True), lambda s: t.tet_mesh(s, 3, True)
@@ -147,7 +152,7 @@ def _tri_xyz(s):
 
 
 add("p12_locate_hex", lambda s, d: spatial.locate_in_hexes(points(s, d), t.hex_mesh(s, 4)).select("pid", "handle", *(micro(F.col(c)).alias(c) for c in ("xi", "eta", "zeta"))), f"WITH {PTS} SELECT pid, {9 << 56} + 1 + ceil(x)::BIGINT - 1 + 4*(ceil(y)::BIGINT - 1) + 16*(ceil(z)::BIGINT - 1) AS handle, {u('2*(x - ceil(x)) + 1')} AS xi, {u('2*(y - ceil(y)) + 1')} AS eta, {u('2*(z - ceil(z)) + 1')} AS zeta FROM pts WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 AND z BETWEEN 0 AND 4", True)
-add("p12_locate_tet", lambda s, d: spatial.locate_in_tets(points(s, d), t.tet_mesh(s, 4)).select("pid", F.floor((model.id_of(H) - 1) / 6).alias("cell")), f"WITH {PTS} SELECT pid, ceil(x)::BIGINT - 1 + 4*(ceil(y)::BIGINT - 1) + 16*(ceil(z)::BIGINT - 1) AS cell FROM pts WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 AND z BETWEEN 0 AND 4", True)
+add("p12_locate_tet", lambda s, d: spatial.locate_in_tets(points(s, d), t.tet_mesh(s, 4)).select("pid", F.floor((model.id_of(H()) - 1) / 6).alias("cell")), f"WITH {PTS} SELECT pid, ceil(x)::BIGINT - 1 + 4*(ceil(y)::BIGINT - 1) + 16*(ceil(z)::BIGINT - 1) AS cell FROM pts WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 AND z BETWEEN 0 AND 4", True)
 add("p03_grid_cells", lambda s, d: spatial.candidates(points(s, d), spatial.bounds(t.hex_mesh(s, 4), 3)).select("pid", "handle"), f"WITH {t.hex_sql(4)}, {PTS} SELECT pid, handle FROM pts p JOIN bh b ON p.x BETWEEN b.i AND b.i + 1 AND p.y BETWEEN b.j AND b.j + 1 AND p.z BETWEEN b.k AND b.k + 1", True)
 add("p04_boxes_within", lambda s, d: spatial.candidates(points(s, d), spatial.bounds(t.hex_mesh(s, 4), 3), 0.25).select("pid", "handle"), f"WITH {t.hex_sql(4)}, {PTS} SELECT pid, handle FROM pts p JOIN bh b ON p.x BETWEEN b.i - 0.25 AND b.i + 1.25 AND p.y BETWEEN b.j - 0.25 AND b.j + 1.25 AND p.z BETWEEN b.k - 0.25 AND b.k + 1.25", True)
 add("p05_closest_triangle", lambda s, d: spatial.closest_triangle(points(s, d), measures.triangles(t.tri_mesh(s, 8)), 4.0).select("pid", micro(F.col("squared")).alias("squared")), f"WITH {PTS} SELECT pid, {u('(x - greatest(0, least(8, x)))**2 + (y - greatest(0, least(8, y)))**2 + z*z')} AS squared FROM pts", True)
@@ -172,18 +177,18 @@ def _slanted(s, d):
 # scalar geometry ---------------------------------------------------------------------------
 P = "WITH " + t.points_sql(1.0, 0.0)
 _p = lambda s, d: t.points(s, d, 1.0, 0.0)
-_v = V(F.col("x"), F.col("y"), F.col("z"))
-add("g01_segment_box", lambda s, d: _p(s, d).select("pid", G.segment_box(_v, V.const(1, 2, -0.5), V.const(-1, -1, -1), V.const(1, 1, 1), F.lit(-5.0), F.lit(5.0)).alias("r")).filter("r IS NOT NULL").select("pid", micro(F.col("r.start")).alias("start"), micro(F.col("r.end")).alias("end")), P + f", s AS (SELECT pid, greatest(-5.0, least(-1-x, 1-x), least((-1-y)/2, (1-y)/2), least((-1-z)/-0.5, (1-z)/-0.5)) AS a, least(5.0, greatest(-1-x, 1-x), greatest((-1-y)/2, (1-y)/2), greatest((-1-z)/-0.5, (1-z)/-0.5)) AS b FROM pts) SELECT pid, {u('a')} AS start, {u('b')} AS \"end\" FROM s WHERE a <= b", True)
-add("g04_ray_box", lambda s, d: _p(s, d).select("pid", G.ray_box(_v, V.const(1, 0, 0), V.const(0.1, -0.5, -0.5), V.const(2, 0.5, 0.5)).isNotNull().alias("hit")), P + " SELECT pid, (y BETWEEN -0.5 AND 0.5 AND z BETWEEN -0.5 AND 0.5 AND 2 - x >= 0) AS hit FROM pts", True)
+_v = lambda: V(F.col("x"), F.col("y"), F.col("z"))
+add("g01_segment_box", lambda s, d: _p(s, d).select("pid", G.segment_box(_v(), V.const(1, 2, -0.5), V.const(-1, -1, -1), V.const(1, 1, 1), F.lit(-5.0), F.lit(5.0)).alias("r")).filter("r IS NOT NULL").select("pid", micro(F.col("r.start")).alias("start"), micro(F.col("r.end")).alias("end")), P + f", s AS (SELECT pid, greatest(-5.0, least(-1-x, 1-x), least((-1-y)/2, (1-y)/2), least((-1-z)/-0.5, (1-z)/-0.5)) AS a, least(5.0, greatest(-1-x, 1-x), greatest((-1-y)/2, (1-y)/2), greatest((-1-z)/-0.5, (1-z)/-0.5)) AS b FROM pts) SELECT pid, {u('a')} AS start, {u('b')} AS \"end\" FROM s WHERE a <= b", True)
+add("g04_ray_box", lambda s, d: _p(s, d).select("pid", G.ray_box(_v(), V.const(1, 0, 0), V.const(0.1, -0.5, -0.5), V.const(2, 0.5, 0.5)).isNotNull().alias("hit")), P + " SELECT pid, (y BETWEEN -0.5 AND 0.5 AND z BETWEEN -0.5 AND 0.5 AND 2 - x >= 0) AS hit FROM pts", True)
 add("g03_ray_triangle", lambda s, d: _p(s, d).select("pid", G.ray_triangle(V(F.col("x"), F.col("y"), F.lit(-4.0)), V.const(0, 0, 2), V.const(-1, -1, 0), V.const(1, -1, 0), V.const(-1, 1, 0)).alias("t")).filter("t IS NOT NULL").select("pid", micro(F.col("t")).alias("t")), P + " SELECT pid, 2000000::BIGINT AS t FROM pts WHERE x >= -1 AND y >= -1 AND x + y <= 0", True)
 add("g05_box_plane", lambda s, d: _p(s, d).select("pid", G.box_plane_overlap(V.const(1, 1, 1), F.lit(-0.3), V(F.col("x") - 0.2, F.col("y") - 0.2, F.col("z") - 0.2), V(F.col("x") + 0.2, F.col("y") + 0.2, F.col("z") + 0.2)).alias("meets")), P + " SELECT pid, abs(x + y + z - 0.3) <= 0.6 AS meets FROM pts", True)
-add("g05_box_tri", lambda s, d: _p(s, d).select("pid", G.box_triangle_overlap(V.const(-9, -9, 0), V.const(9, -9, 0), V.const(0, 20, 0), _v, V.const(0.25, 0.25, 0.25)).alias("meets")), P + " SELECT pid, abs(z) <= 0.25 AS meets FROM pts", True)
-add("g06_closest_on_triangle", lambda s, d: _p(s, d).select("pid", G.closest_on_triangle(_v, V.const(0, 0, 0), V.const(1, 0, 0), V.const(0, 1, 0)).struct().alias("q")).filter("q.x >= 0 AND q.y >= 0").select("pid", micro(F.col("q.z")).alias("z")), P + " SELECT pid, 0::BIGINT AS z FROM pts", True)
-add("g06_closest_on_box", lambda s, d: _p(s, d).select("pid", micro((G.closest_on_box(_v, V.const(0, 0, 0), V.const(1, 1, 1)) - _v).length()).alias("d")), P + f" SELECT pid, {u('sqrt((x-greatest(0,least(1,x)))**2 + (y-greatest(0,least(1,y)))**2 + (z-greatest(0,least(1,z)))**2)')} AS d FROM pts", True)
-add("g08_vectors", lambda s, d: _p(s, d).select("pid", micro(G.angle(_v, V.const(1, 0, 0))).alias("angle"), micro(_v.length()).alias("length")), P + f" SELECT pid, {u('acos(greatest(-1, least(1, x / sqrt(x*x+y*y+z*z))))')} AS angle, {u('sqrt(x*x+y*y+z*z)')} AS length FROM pts", True)
-add("g11_gnomonic_plane", lambda s, d: _p(s, d).select("pid", G.gnomonic_plane(_v).cast("long").alias("plane")), P + " SELECT pid, (CASE WHEN abs(z) >= abs(x) AND abs(z) >= abs(y) THEN CASE WHEN z < 0 THEN 5 ELSE 6 END WHEN abs(y) >= abs(x) THEN CASE WHEN y < 0 THEN 4 ELSE 2 END WHEN x < 0 THEN 3 ELSE 1 END)::BIGINT AS plane FROM pts", True)
+add("g05_box_tri", lambda s, d: _p(s, d).select("pid", G.box_triangle_overlap(V.const(-9, -9, 0), V.const(9, -9, 0), V.const(0, 20, 0), _v(), V.const(0.25, 0.25, 0.25)).alias("meets")), P + " SELECT pid, abs(z) <= 0.25 AS meets FROM pts", True)
+add("g06_closest_on_triangle", lambda s, d: _p(s, d).select("pid", G.closest_on_triangle(_v(), V.const(0, 0, 0), V.const(1, 0, 0), V.const(0, 1, 0)).struct().alias("q")).filter("q.x >= 0 AND q.y >= 0").select("pid", micro(F.col("q.z")).alias("z")), P + " SELECT pid, 0::BIGINT AS z FROM pts", True)
+add("g06_closest_on_box", lambda s, d: _p(s, d).select("pid", micro((G.closest_on_box(_v(), V.const(0, 0, 0), V.const(1, 1, 1)) - _v()).length()).alias("d")), P + f" SELECT pid, {u('sqrt((x-greatest(0,least(1,x)))**2 + (y-greatest(0,least(1,y)))**2 + (z-greatest(0,least(1,z)))**2)')} AS d FROM pts", True)
+add("g08_vectors", lambda s, d: _p(s, d).select("pid", micro(G.angle(_v(), V.const(1, 0, 0))).alias("angle"), micro(_v().length()).alias("length")), P + f" SELECT pid, {u('acos(greatest(-1, least(1, x / sqrt(x*x+y*y+z*z))))')} AS angle, {u('sqrt(x*x+y*y+z*z)')} AS length FROM pts", True)
+add("g11_gnomonic_plane", lambda s, d: _p(s, d).select("pid", G.gnomonic_plane(_v()).cast("long").alias("plane")), P + " SELECT pid, (CASE WHEN abs(z) >= abs(x) AND abs(z) >= abs(y) THEN CASE WHEN z < 0 THEN 5 ELSE 6 END WHEN abs(y) >= abs(x) THEN CASE WHEN y < 0 THEN 4 ELSE 2 END WHEN x < 0 THEN 3 ELSE 1 END)::BIGINT AS plane FROM pts", True)
 add("g11_sphere_areas", lambda s: _sphere_areas(s), f"SELECT {u(4 * math.pi)} AS girard, {u(4 * math.pi)} AS lhuilier")
-add("g12_fields", lambda s, d: _p(s, d).select("pid", micro(G.slotted_cylinder(F.atan2("y", "x"), F.asin(F.col("z") / _v.length()), 0.5, 0.2, 0.1, 1.0, 0.8)).alias("v")), None, True)
+add("g12_fields", lambda s, d: _p(s, d).select("pid", micro(G.slotted_cylinder(F.atan2("y", "x"), F.asin(F.col("z") / _v().length()), 0.5, 0.2, 0.1, 1.0, 0.8)).alias("v")), None, True)
 add("x05_sphere_cell_area", lambda s: _sphere_cells(s), "SELECT 64::BIGINT AS n")
 
 
@@ -216,16 +221,16 @@ def _sphere_cells(s):
 
 
 # fields --------------------------------------------------------------------------------------
-linear = lambda m: m.vertices.select(H.alias("entity"), (F.col("x") * 2 - F.col("y") + F.col("z") * 0.5 + 3).alias("value"))
+linear = lambda m: m.vertices.select(H().alias("entity"), (F.col("x") * 2 - F.col("y") + F.col("z") * 0.5 + 3).alias("value"))
 LIN = u("2*x - y + 0.5*z + 3")
 inside = "x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 AND z BETWEEN 0 AND 4"
 add("h04_linear_tet", lambda s, d: fields.couple(t.tet_mesh(s, 4), points(s, d), model.TET, linear(t.tet_mesh(s, 4))).select("pid", micro(F.col("value")).alias("value")), f"WITH {PTS} SELECT pid, {LIN} AS value FROM pts WHERE {inside}", True)
 add("h04_linear_hex", lambda s, d: fields.couple(t.hex_mesh(s, 4), points(s, d), model.HEX, linear(t.hex_mesh(s, 4))).select("pid", micro(F.col("value")).alias("value")), f"WITH {PTS} SELECT pid, {LIN} AS value FROM pts WHERE {inside}", True)
-add("h04_constant", lambda s, d: fields.couple(t.hex_mesh(s, 4), points(s, d), model.HEX, t.hex_mesh(s, 4).elements.select(H.alias("entity"), model.id_of(H).alias("value")), "constant"), f"WITH {PTS} SELECT pid, 1 + ceil(x)::BIGINT - 1 + 4*(ceil(y)::BIGINT - 1) + 16*(ceil(z)::BIGINT - 1) AS value FROM pts WHERE {inside}", True)
+add("h04_constant", lambda s, d: fields.couple(t.hex_mesh(s, 4), points(s, d), model.HEX, t.hex_mesh(s, 4).elements.select(H().alias("entity"), model.id_of(H()).alias("value")), "constant"), f"WITH {PTS} SELECT pid, 1 + ceil(x)::BIGINT - 1 + 4*(ceil(y)::BIGINT - 1) + 16*(ceil(z)::BIGINT - 1) AS value FROM pts WHERE {inside}", True)
 add("h02_integral_tets", lambda s: fields.vertex_integrals(t.tet_mesh(s, 4), model.TET, linear(t.tet_mesh(s, 4))).agg(micro(F.sum("integral")).alias("integral")), f"SELECT {u('64 * (4 - 2 + 1 + 3.0)')} AS integral")
 add("h02_integral_hexes", lambda s: fields.vertex_integrals(t.hex_mesh(s, 4), model.HEX, linear(t.hex_mesh(s, 4))).agg(micro(F.sum("integral")).alias("integral")), f"SELECT {u('64 * (4 - 2 + 1 + 3.0)')} AS integral")
 _grp = lambda s: t.box(4).elements(s).select("handle", F.col("k").alias("group"))
-_own = lambda s: t.hex_mesh(s, 4).elements.select(H.alias("entity"), (model.id_of(H) % 5).cast("double").alias("value"))
+_own = lambda s: t.hex_mesh(s, 4).elements.select(H().alias("entity"), (model.id_of(H()) % 5).cast("double").alias("value"))
 add("h07_group_integrals", lambda s: rounded(fields.group_integrals(fields.integrals(t.hex_mesh(s, 4), 3, _own(s)), _grp(s)), "integral"), f"WITH {t.hex_sql(4)} SELECT k AS \"group\", {u(f'sum((handle & {model.ID_MASK}) % 5)')} AS integral FROM bh GROUP BY 1")
 add("h05_normalisation", lambda s: rounded(fields.normalisation(fields.group_integrals(fields.integrals(t.hex_mesh(s, 4), 3, _own(s)), _grp(s))), "factor"), f"WITH {t.hex_sql(4)} SELECT k AS \"group\", {u(f'1.0 / sum((handle & {model.ID_MASK}) % 5)')} AS factor FROM bh GROUP BY 1")
 
@@ -235,7 +240,7 @@ _tgt = lambda s: Box((0, 0, 0), (4, 4, 0)).mesh(s, (F.col("i") * 3, F.col("j") *
 OV = "WITH s AS (SELECT %d + 1 + i + 6*j AS h, i*2 AS x, j*2 AS y FROM range(6) a(i), range(6) b(j)), g AS (SELECT %d + 1 + i + 4*j AS h, i*3 AS x, j*3 AS y FROM range(4) a(i), range(4) b(j)), o AS (SELECT s.h AS source, g.h AS target, (least(s.x+2, g.x+3) - greatest(s.x, g.x)) * (least(s.y+2, g.y+3) - greatest(s.y, g.y)) AS area FROM s JOIN g ON s.x < g.x+3 AND g.x < s.x+2 AND s.y < g.y+3 AND g.y < s.y+2)" % (3 << 56, 3 << 56)
 add("x01_overlap", lambda s: rounded(remap.overlap_in_plane(_src(s), _tgt(s)), "area"), f"{OV} SELECT source, target, {u('area')} AS area FROM o")
 add("x07_weights", lambda s: rounded(remap.weights(remap.overlap_in_plane(_src(s), _tgt(s))), "w"), f"{OV} SELECT target AS \"row\", source AS col, {u('area / 9.0')} AS w FROM o")
-add("x07_apply", lambda s: rounded(remap.apply(remap.weights(remap.overlap_in_plane(_src(s), _tgt(s))), _src(s).elements.select(H.alias("entity"), (model.id_of(H) % 7).cast("double").alias("value"))), "value"), f"{OV} SELECT target AS entity, {u(f'sum(area * ((source & {model.ID_MASK}) % 7)) / 9.0')} AS value FROM o GROUP BY 1")
+add("x07_apply", lambda s: rounded(remap.apply(remap.weights(remap.overlap_in_plane(_src(s), _tgt(s))), _src(s).elements.select(H().alias("entity"), (model.id_of(H()) % 7).cast("double").alias("value"))), "value"), f"{OV} SELECT target AS entity, {u(f'sum(area * ((source & {model.ID_MASK}) % 7)) / 9.0')} AS value FROM o GROUP BY 1")
 add("x07_properties", lambda s: remap.properties(remap.weights(remap.overlap_in_plane(_src(s), _tgt(s))), _src(s).elements.select("handle", F.lit(4.0).alias("area")), _tgt(s).elements.select("handle", F.lit(9.0).alias("area"))), "SELECT true AS consistent, true AS conservative, true AS monotone")
 add("x02_sphere_overlap", lambda s: remap.overlap_on_sphere(_sphere_mesh(s, 4), _sphere_mesh(s, 6)).agg(micro(F.sum("area")).alias("area")), "SELECT 12566371::BIGINT AS area")
 

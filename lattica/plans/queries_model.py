@@ -10,7 +10,12 @@ from ..operators import adjacency as adj
 from .tables import CUSTOMER, NATION, ORDERS_SQL, REGION, SET, SUPPLIER, orders_mesh, table
 
 QUERIES, ORACLE = {}, {}
-H = F.col("handle")
+
+
+def H():
+    return F.col("handle")
+
+
 
 
 def add(name, run, sql=None):
@@ -43,7 +48,7 @@ on_orders("q04_tags_union", lambda m: entities.by_type_and_tag(m, model.EDGE, ["
 on_orders("q05_numbers", lambda m: entities.number(m).select(F.col("dim").cast("long"), F.col("etype").cast("long"), "n"), "SELECT (CASE WHEN t = 0 THEN 0 WHEN t = 1 THEN 1 WHEN t < 5 THEN 2 WHEN t < 11 THEN 3 ELSE 4 END)::BIGINT AS dim, t AS etype, count(*) AS n FROM (SELECT handle >> 56 AS t FROM vtx UNION ALL SELECT handle >> 56 FROM elem UNION ALL SELECT handle >> 56 FROM sets) GROUP BY t")
 on_orders("q05_number_in_list", lambda m: entities.number(m, SET + SUPPLIER + 2).select(F.col("etype").cast("long"), "n"), f"SELECT entity >> 56 AS etype, count(*) AS n FROM members WHERE \"set\" = {SET + SUPPLIER + 2} GROUP BY 1")
 on_orders("q06_decode", lambda m: entities.decoded(m.handles()).select("handle", F.col("etype").cast("long"), "id", F.col("dim").cast("long"), "type"), "SELECT handle, handle >> 56 AS etype, handle & 72057594037927935 AS id, (CASE WHEN t = 0 THEN 0 WHEN t = 1 THEN 1 WHEN t < 5 THEN 2 WHEN t < 11 THEN 3 ELSE 4 END)::BIGINT AS dim, ['VERTEX','EDGE','TRI','QUAD','POLYGON','TET','PYRAMID','PRISM','KNIFE','HEX','POLYHEDRON','ENTITYSET'][t + 1] AS type FROM (SELECT handle, handle >> 56 AS t FROM (SELECT handle FROM vtx UNION ALL SELECT handle FROM elem UNION ALL SELECT handle FROM sets))")
-on_orders("q07_coords", lambda m: _rounded(entities.coordinates(m, m.handles().filter(H < SET))), "SELECT handle, floor(x*1e6+0.5)::BIGINT AS x, floor(y*1e6+0.5)::BIGINT AS y, floor(z*1e6+0.5)::BIGINT AS z FROM (SELECT handle, x, y, z FROM vtx UNION ALL SELECT elem, avg(x), avg(y), avg(z) FROM inc JOIN vtx ON vertex = handle GROUP BY elem)")
+on_orders("q07_coords", lambda m: _rounded(entities.coordinates(m, m.handles().filter(H() < SET))), "SELECT handle, floor(x*1e6+0.5)::BIGINT AS x, floor(y*1e6+0.5)::BIGINT AS y, floor(z*1e6+0.5)::BIGINT AS z FROM (SELECT handle, x, y, z FROM vtx UNION ALL SELECT elem, avg(x), avg(y), avg(z) FROM inc JOIN vtx ON vertex = handle GROUP BY elem)")
 on_orders("q08_vertex_coordinates", lambda m: m.vertices, "SELECT handle, x, y, z FROM vtx")
 on_orders("q09_connectivity", lambda m: entities.connectivity(m, handles_of(m, "etype = 3"), True).select("handle", F.col("pos").cast("long"), "vertex"), "SELECT elem AS handle, pos, vertex FROM inc WHERE (elem >> 56) = 3")
 on_orders("q10_connectivity_range", lambda m: entities.connectivity_vertices(m, handles_of(m, "etype = 2")), "SELECT DISTINCT vertex AS handle FROM inc WHERE (elem >> 56) = 2")
@@ -51,7 +56,7 @@ on_orders("q11_set_pages", lambda m: entities.pages(handles_of(m, "etype = 2"),
 on_orders("q13_listing", lambda m: entities.listing(m), "SELECT ['VERTEX','EDGE','TRI','QUAD','POLYGON'][etype + 1] || ' ' || (handle & 72057594037927935) AS entity, array_to_string(conn, ',') AS vertices FROM elem")
 on_orders("q14_memory", lambda m: entities.memory_use(m), "SELECT 'vertices' AS relation, count(*) * 32 AS bytes FROM vtx UNION ALL SELECT 'elements', sum(8 + 8 * len(conn))::BIGINT FROM elem")
 on_orders("q15_dangling", lambda m: entities.dangling(m).select("elem", F.col("pos").cast("long"), "vertex"), "SELECT elem, pos, vertex FROM inc WHERE vertex NOT IN (SELECT handle FROM vtx)")
-on_orders("q16_dimension", lambda m: m.elements.agg(F.max(model.dimension_of(H)).cast("long").alias("dim")), "SELECT 2::BIGINT AS dim")
+on_orders("q16_dimension", lambda m: m.elements.agg(F.max(model.dimension_of(H())).cast("long").alias("dim")), "SELECT 2::BIGINT AS dim")
 
 
 def _rounded(df, *names):
@@ -91,7 +96,7 @@ on_orders("s05_intersect", lambda m: contents(sets.intersect(m, SET + SUPPLIER +
 on_orders("s06_subtract", lambda m: contents(sets.subtract(m, SET + SUPPLIER + 3, SET + SUPPLIER + 4), SET + SUPPLIER + 3), f"SELECT entity FROM members WHERE \"set\" = {SET + SUPPLIER + 3} AND entity NOT IN (SELECT entity FROM members WHERE \"set\" = {SET + SUPPLIER + 4})")
 on_orders("s07_contains_any", lambda m: sets.contains(m, SET + SUPPLIER + 3, handles_of(m, "etype = 2"), "union"), f"SELECT count(*) > 0 AS contains FROM members WHERE \"set\" = {SET + SUPPLIER + 3} AND (entity >> 56) = 2")
 on_orders("s07_contains_all", lambda m: sets.contains(m, SET + SUPPLIER + 3, handles_of(m, "etype = 2")), f"SELECT bool_and(handle IN (SELECT entity FROM members WHERE \"set\" = {SET + SUPPLIER + 3})) AS contains FROM elem WHERE etype = 2")
-on_orders("s08_replace", lambda m: contents(sets.replace(m, SET + SUPPLIER + 3, handles_of(m, "handle % 5 = 0").select(H.alias("old"), F.lit(77).cast("long").alias("new"))), SET + SUPPLIER + 3), f"SELECT CASE WHEN entity % 5 = 0 THEN 77 ELSE entity END AS entity FROM members WHERE \"set\" = {SET + SUPPLIER + 3}")
+on_orders("s08_replace", lambda m: contents(sets.replace(m, SET + SUPPLIER + 3, handles_of(m, "handle % 5 = 0").select(H().alias("old"), F.lit(77).cast("long").alias("new"))), SET + SUPPLIER + 3), f"SELECT CASE WHEN entity % 5 = 0 THEN 77 ELSE entity END AS entity FROM members WHERE \"set\" = {SET + SUPPLIER + 3}")
 on_orders("s09_recursive", lambda m: sets.contents(m, SET + REGION + 3, True).select("entity").distinct(), f", rec AS (SELECT {SET + REGION + 3} AS s UNION ALL SELECT entity FROM rec JOIN members ON \"set\" = s WHERE entity >= {SET}) SELECT DISTINCT entity FROM members JOIN rec ON \"set\" = s")
 on_orders("s10_children_all", lambda m: sets.children(m, SET + REGION + 1, 0).select("handle", F.col("hop").cast("long")), f"SELECT child AS handle, 1::BIGINT AS hop FROM lnk WHERE parent = {SET + REGION + 1} UNION ALL SELECT b.child, 2 FROM lnk a JOIN lnk b ON b.parent = a.child WHERE a.parent = {SET + REGION + 1}")
 on_orders("s10_parents", lambda m: sets.parents(m, SET + CUSTOMER + 7, 2).select("handle", F.col("hop").cast("long")), f"SELECT parent AS handle, 1::BIGINT AS hop FROM lnk WHERE child = {SET + CUSTOMER + 7} UNION ALL SELECT a.parent, 2 FROM lnk b JOIN lnk a ON b.parent = a.child WHERE b.child = {SET + CUSTOMER + 7}")
@@ -102,7 +107,7 @@ on_orders("s12_links", lambda m: sets.unlink(sets.link(m, SET + REGION, SET + CU
 # tags -------------------------------------------------------------------------------
 on_orders("t01_metadata", lambda m: tags.metadata(tags.get_handle(m, "LEVEL", "int", 3, "dense", frozenset({"creat"}), None)[0]).select("name", "dtype", F.col("length").cast("long"), "storage"), "SELECT * FROM (VALUES ('PRICE','long',1::BIGINT,'dense'), ('PRIORITY','string',1,'sparse'), ('RETAIL','long',1,'dense'), ('LEVEL','int',3,'dense')) t(name, dtype, length, storage)")
 on_orders("t02_default_fallback", lambda m: tags.get_data(m, "PRIORITY", handles_of(m, "etype = 3")), "SELECT handle, CASE WHEN o_orderpriority = '1-URGENT' THEN '1-URGENT' ELSE '5-LOW' END AS value FROM eo WHERE (handle >> 56) = 3")
-on_orders("t03_set_data", lambda m: tags.get_data(tags.set_data(m, "PRICE", handles_of(m, "handle % 7 = 0").select(H.alias("entity"), F.lit(1).cast("long").alias("value"))), "PRICE", handles_of(m, "etype = 2")), "SELECT handle, CASE WHEN handle % 7 = 0 THEN 1 ELSE round(o_totalprice * 100)::BIGINT END AS value FROM eo WHERE (handle >> 56) = 2")
+on_orders("t03_set_data", lambda m: tags.get_data(tags.set_data(m, "PRICE", handles_of(m, "handle % 7 = 0").select(H().alias("entity"), F.lit(1).cast("long").alias("value"))), "PRICE", handles_of(m, "etype = 2")), "SELECT handle, CASE WHEN handle % 7 = 0 THEN 1 ELSE round(o_totalprice * 100)::BIGINT END AS value FROM eo WHERE (handle >> 56) = 2")
 on_orders("t04_clear_data", lambda m: tags.tagged(tags.clear_data(m, "PRIORITY", handles_of(m, "handle % 11 = 0"), "2-HIGH"), "PRIORITY"), "SELECT handle FROM eo WHERE o_orderpriority = '1-URGENT' OR handle % 11 = 0")
 on_orders("t05_delete_data", lambda m: tags.tagged(tags.delete_data(m, "PRIORITY", handles_of(m, "handle % 2 = 0")), "PRIORITY"), "SELECT handle FROM eo WHERE o_orderpriority = '1-URGENT' AND handle % 2 <> 0")
 on_orders("t06_variable_length", lambda m: m.elements.select("handle", F.size("conn").cast("long").alias("length")), "SELECT handle, len(conn) AS length FROM elem")
@@ -110,7 +115,7 @@ on_orders("t07_tags_on_entities", lambda m: tags.on_entities(m, handles_of(m, "h
 on_orders("t08_default_values", lambda m: tags.metadata(m).select("name", "default_value").filter("default_value IS NOT NULL"), "SELECT 'PRIORITY' AS name, '5-LOW' AS default_value")
 on_orders("t09_tagged", lambda m: tags.tagged(m, "PRIORITY", model.EDGE), "SELECT handle FROM eo WHERE o_orderpriority = '1-URGENT' AND (handle >> 56) = 1")
 on_orders("t10_with_value", lambda m: tags.with_value(m, "PRIORITY", "1-URGENT"), "SELECT handle FROM eo WHERE o_orderpriority = '1-URGENT'")
-on_orders("t12_propagate", lambda m: tags.propagate(tags.set_data(tags.get_handle(m, "SEGMENT", "long", flags=frozenset({"creat"}))[0], "SEGMENT", m.sets.filter(F.col("flags") == 3).select(H.alias("entity"), (H % 5).alias("value"))), "SEGMENT").filter(F.col("entity") < SET), f"SELECT handle AS entity, ({SET + CUSTOMER} + o_custkey) % 5 AS value FROM eo")
+on_orders("t12_propagate", lambda m: tags.propagate(tags.set_data(tags.get_handle(m, "SEGMENT", "long", flags=frozenset({"creat"}))[0], "SEGMENT", m.sets.filter(F.col("flags") == 3).select(H().alias("entity"), (H() % 5).alias("value"))), "SEGMENT").filter(F.col("entity") < SET), f"SELECT handle AS entity, ({SET + CUSTOMER} + o_custkey) % 5 AS value FROM eo")
 
 # adjacency on the orders mesh ----------------------------------------------------------
 on_orders("a01_union_to_vertices", lambda m: adj.adjacencies(m, handles_of(m, "etype = 2 AND handle % 10 = 0"), 0), "SELECT DISTINCT vertex AS handle FROM inc WHERE (elem >> 56) = 2 AND elem % 10 = 0")
@@ -126,7 +131,7 @@ on_orders("m01_create", lambda m: mutation.create_vertices(m, m.spark.createData
 on_orders("m02_set_coords", lambda m: mutation.set_coordinates(m, m.vertices.filter("handle % 2 = 0").withColumn("x", F.lit(-1.0))).vertices, "SELECT handle, CASE WHEN handle % 2 = 0 THEN -1.0 ELSE x END AS x, y, z FROM vtx")
 on_orders("m03_delete", lambda m: _left(mutation.delete(m, handles_of(m, "handle % 3 = 0"))), "SELECT (SELECT count(*) FROM elem WHERE handle % 3 <> 0) AS elements, (SELECT count(*) FROM members WHERE entity % 3 <> 0 OR entity >= %d) AS members, (SELECT count(*) FROM eo WHERE handle %% 3 <> 0) AS prices".replace("%d", str(SET)).replace("%%", "%"))
 on_orders("m04_merge_vertices", lambda m: mutation.merge_entities(m, 10, 12).elements.filter(F.array_contains("conn", 10)).select("handle", F.concat_ws(",", F.transform("conn", lambda v: v.cast("string"))).alias("conn")), "SELECT handle, array_to_string(list_transform(conn, lambda v: CASE WHEN v = 12 THEN 10 ELSE v END), ',') AS conn FROM elem WHERE list_contains(conn, 10) OR list_contains(conn, 12)")
-on_orders("m07_merge_by_tag", lambda m: mutation.merge_by_tag(m, m.vertices.select(H.alias("entity"), (F.col("y") % 50).cast("long").alias("value"))), "SELECT handle, keep FROM (SELECT handle, min(handle) OVER (PARTITION BY (y % 50)::BIGINT) AS keep FROM vtx) WHERE handle <> keep")
+on_orders("m07_merge_by_tag", lambda m: mutation.merge_by_tag(m, m.vertices.select(H().alias("entity"), (F.col("y") % 50).cast("long").alias("value"))), "SELECT handle, keep FROM (SELECT handle, min(handle) OVER (PARTITION BY (y % 50)::BIGINT) AS keep FROM vtx) WHERE handle <> keep")
 on_orders("m08_merge_elements", lambda m: mutation.merge_elements(m, 1).elements.filter("etype = 1").select("handle"), "SELECT min(handle) AS handle FROM elem WHERE etype = 1 GROUP BY list_sort(conn)")
 on_orders("m10_reorder", lambda m: mutation.reorder(m.tag("PRICE").values), "SELECT a.handle, b.handle AS new FROM (SELECT handle, handle >> 56 AS t, row_number() OVER (PARTITION BY handle >> 56 ORDER BY round(o_totalprice * 100)::BIGINT, handle) AS n FROM eo) a JOIN (SELECT handle, handle >> 56 AS t, row_number() OVER (PARTITION BY handle >> 56 ORDER BY handle) AS n FROM eo) b USING (t, n)")
 
@@ -138,7 +143,7 @@ def _left(m):
 # flagship: orders of a region, by tag, with the mean retail price of their parts -------------
 def _flagship(m):
     asia = entities.by_type_and_tag(m, model.TRI, ["PRIORITY"], ["1-URGENT"], meshset=SET + REGION + 2, recursive=True)
-    inc = m.incidence().join(asia.select(H.alias("elem")), "elem", "left_semi")
+    inc = m.incidence().join(asia.select(H().alias("elem")), "elem", "left_semi")
     price = m.tag("RETAIL").values.withColumnRenamed("entity", "vertex")
     return inc.join(price, "vertex").groupBy(F.col("elem").alias("handle")).agg(F.count("*").alias("n"), F.sum("value").alias("cents"))
 
@@ -169,7 +174,7 @@ on_copies("d03_status", lambda c: _status(c), "SELECT gid, part::BIGINT AS part,
 on_orders("h14_global_ids", lambda m: fields.global_ids(m.elements.select("handle")), "SELECT handle, row_number() OVER (ORDER BY handle) AS gid FROM elem")
 on_orders("f21_part_of_sets", lambda m: fields.spread(m.sets.select("handle"), 7).select(F.col("part").cast("long"), "handle"), "SELECT (ntile(7) OVER (ORDER BY handle) - 1)::BIGINT AS part, handle FROM sets")
 on_orders("f22_tag_values", lambda m: m.tag("PRIORITY").values.select("value").distinct(), "SELECT '1-URGENT' AS value")
-on_orders("h06_matching_sets", lambda m: fields.matching_sets([m.sets.select(H.alias("entity"), (H % 3).alias("value")), m.sets.select(H.alias("entity"), F.col("flags").alias("value"))]).select("tuple", F.size("sets").cast("long").alias("n"), F.element_at("sets", 1).alias("first")), "SELECT (handle % 3) || ',' || flags AS tuple, count(*) AS n, min(handle) AS first FROM sets GROUP BY 1")
+on_orders("h06_matching_sets", lambda m: fields.matching_sets([m.sets.select(H().alias("entity"), (H() % 3).alias("value")), m.sets.select(H().alias("entity"), F.col("flags").alias("value"))]).select("tuple", F.size("sets").cast("long").alias("n"), F.element_at("sets", 1).alias("first")), "SELECT (handle % 3) || ',' || flags AS tuple, count(*) AS n, min(handle) AS first FROM sets GROUP BY 1")
 
 
 def _sharing(c):

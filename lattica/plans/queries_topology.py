@@ -12,7 +12,12 @@ from ..operators.structured import Box, partition
 from . import tables as t
 
 QUERIES, ORACLE = {}, {}
-H = F.col("handle")
+
+
+def H():
+    return F.col("handle")
+
+
 N = 6
 S = t.SUB_SQL
 
@@ -119,7 +124,7 @@ add("k19_refine_quads", lambda s: _counts(mutation.refine(quads(s), model.QUAD))
 add("k19_refine_tris", lambda s: _counts(mutation.refine(tris(s), model.TRI)), "SELECT 289::BIGINT AS vertices, 512::BIGINT AS elements")
 add("k19_refine_hexes", lambda s: _counts(mutation.refine(t.hex_mesh(s, 3), model.HEX)), "SELECT 343::BIGINT AS vertices, 216::BIGINT AS elements")
 add("k19_refined_volume", lambda s: _volume(mutation.refine(t.hex_mesh(s, 3), model.HEX)), "SELECT 27000000::BIGINT AS volume, 216::BIGINT AS positive")
-add("k20_parents", lambda s: mutation.refine(quads(s), model.QUAD).elements.select("handle", mutation.parent_of(H, 4).alias("parent")), f"SELECT {3 << 56} + c AS handle, {3 << 56} + (c - 1) // 4 + 1 AS parent FROM range(1, 257) t(c)")
+add("k20_parents", lambda s: mutation.refine(quads(s), model.QUAD).elements.select("handle", mutation.parent_of(H(), 4).alias("parent")), f"SELECT {3 << 56} + c AS handle, {3 << 56} + (c - 1) // 4 + 1 AS parent FROM range(1, 257) t(c)")
 add("k21_on_boundary", lambda s: skinning.on_boundary(hexes(s), 3), f"{HEX} SELECT handle, (i IN (0, {N - 1}) OR j IN (0, {N - 1}) OR k IN (0, {N - 1})) AS boundary FROM bh")
 add("m05_merge_mesh", lambda s: _stitched(s), "SELECT 4::BIGINT AS merged, 12::BIGINT AS vertices")
 add("m09_mid_edge_nodes", lambda s: _counts(mutation.add_mid_edge_nodes(hexes(s), 3)), f"{HEX}{half('bh', 9, 1)} SELECT (SELECT count(*) FROM bv) + (SELECT count(DISTINCT k) FROM hf) AS vertices, (SELECT count(*) FROM bh) AS elements")

@@ -36,3 +36,12 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     assert sorted(map(str, got[cols].astype(str).values.tolist())) == sorted(map(str, want[cols].astype(str).values.tolist()))
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=here, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
