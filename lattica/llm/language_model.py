@@ -1,11 +1,12 @@
 """Scoring of texts by an n-gram model kept in a log-frequency Bloom filter.
 
-Words (lower-cased A-Z) and one end mark a text are the tokens. One pass deals
-single tokens and pairs by hash, counted for each block of text before the
-shuffle. Where a bucket's counts meet, two things are made: the exact sums of
-``log10(c + 1)`` for each document, and the bucket's slices of the filter. The
-filter is broadcast (its size is bounded), and a second pass scores all texts
-with smoothed pair probabilities read from it.
+Words (lower-cased A-Z) and one end mark a text are the tokens. Texts are stored
+as blocks. One pass deals the distinct single tokens and pairs of each block by
+hash, with their counts in training texts. Where a bucket's counts meet, its
+slice of the filter is made of all of them, and every block's tokens and pairs
+are answered: exact counts of single tokens, and levels found in the slice. The
+answers go back to the blocks, whose texts they score. No count is left out of
+the filter and no part of it is broadcast, so it grows with the input.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from . import log_bloom, runtime
 from .textblocks import U64, Words, column_bytes, groups_of, mix64
 
-#: Bound of the broadcast filter; weight of the single-token model within a pair's context.
-FILTER_BYTES, WEIGHT = 48 << 20, 8.0
+#: Weight of the single-token model within a pair's context.
+WEIGHT = 8.0
 _END = U64(0x2545F4914F6CDD1D)
 _KEPT = U64((1 << 48) - 1)
 _UNIT = float(1 << 38)
@@ -51,155 +52,157 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(48)) % U64(buckets)).astype(np.int64)
 
 
-def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = np.sort(h)
-    edge = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-    return h[edge], np.diff(np.append(edge, len(h)))
-
-
 def _cuts(bucket: np.ndarray, buckets: int) -> list[int]:
     return np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
 
 
-def block(texts: list[bytes], rows: np.ndarray, train: np.ndarray, buckets: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    """One block of texts, by bucket: single tokens with the texts they stand in, and pairs of training texts."""
-    token, count = tokens(texts)
-    kinds, at = np.unique(token, return_inverse=True)
-    teaches = np.repeat(train, count)
-    learned = np.bincount(at[teaches], minlength=len(kinds))
-    kind_bucket = _bucket(kinds, buckets)
-    kind_order = np.argsort(kind_bucket, kind="stable")
-    place = np.empty(len(kinds), np.int64)
-    kind_cut = _cuts(kind_bucket[kind_order], buckets)
-    place[kind_order] = np.arange(len(kinds)) - np.repeat(kind_cut[:-1], np.diff(kind_cut))
-    own = kind_bucket[at]
-    order = np.argsort(own.astype(np.uint16), kind="stable")
-    cut = _cuts(own[order], buckets)
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint32), count)
-    pair, n_pair = _counted(pairs(token, count)[teaches])
-    pair_bucket = _bucket(pair, buckets)
-    pair_order = np.argsort(pair_bucket.astype(np.uint16), kind="stable")
-    pair, n_pair, pair_cut = pair[pair_order], n_pair[pair_order], _cuts(pair_bucket[pair_order], buckets)
-    out_b, singles, doubles = [], [], []
-    for b in range(buckets):
-        k = kind_order[kind_cut[b] : kind_cut[b + 1]]
-        part = order[cut[b] : cut[b + 1]]
-        texts_of, size = np.unique(owner[part], return_counts=True)
-        p, n = pair[pair_cut[b] : pair_cut[b + 1]], n_pair[pair_cut[b] : pair_cut[b + 1]]
-        if not len(k) and not len(p):
-            continue
-        wide = len(k) > 65535
-        out_b.append(b)
-        singles.append(struct.pack("<III?", len(k), len(texts_of), len(part), wide) + kinds[k].tobytes() + learned[k].astype("<u4").tobytes() + rows[texts_of].astype("<i8").tobytes() + size.astype("<u4").tobytes() + place[at[part]].astype("<u4" if wide else "<u2").tobytes())
-        more = n > 1
-        both = np.concatenate([p[~more], p[more]])
-        doubles.append(struct.pack("<II", int((~more).sum()), int(more.sum())) + both.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + n[more].astype("<u4").tobytes())
-    return out_b, singles, doubles
-
-
-def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
+class Items:
+    """Distinct tokens and pairs of a block of texts, in the order in which they are dealt.
+
+    Tokens stand by bucket; pairs by bucket, then by whether training texts have
+    them never, once or more often.
+    """
+
+    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int):
+        token, self.count = tokens(texts)
+        teaches = np.repeat(train, self.count)
+        kinds, at = np.unique(token, return_inverse=True)
+        bucket = _bucket(kinds, buckets)
+        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        self.kind, self.kind_cut, self.at = kinds[order], _cuts(bucket[order], buckets), _inverse(order)[at]
+        self.learned = np.bincount(self.at[teaches], minlength=len(kinds))
+        pair, back = np.unique(pairs(token, self.count), return_inverse=True)
+        times = np.bincount(back[teaches], minlength=len(pair))
+        bucket = _bucket(pair, buckets)
+        order = np.argsort((bucket * 4 + np.minimum(times, 2)).astype(np.uint16), kind="stable")
+        self.pair, self.pair_cut, self.back, self.times = pair[order], _cuts(bucket[order], buckets), _inverse(order)[back], times[order]
+
+    def dealt(self, b: int) -> bytes:
+        """What bucket ``b`` gets; empty where nothing falls into it."""
+        k, p = slice(*self.kind_cut[b : b + 2]), slice(*self.pair_cut[b : b + 2])
+        times = self.times[p]
+        if not len(times) and k.start == k.stop:
+            return b""
+        head = struct.pack("<IIII", k.stop - k.start, *np.bincount(np.minimum(times, 2), minlength=3).tolist())
+        return head + self.kind[k].tobytes() + self.learned[k].astype("<u4").tobytes() + self.pair[p].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + times[times > 1].astype("<u4").tobytes()
+
+
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _asked(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their counts, pairs, their counts: what one block dealt."""
+    k, zero, one, more = struct.unpack_from("<IIII", data)
+    n, p = zero + one + more, 16 + 12 * k
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(data, np.uint8, 6 * n, p).reshape(-1, 6)
+    times = np.concatenate([np.zeros(zero, np.int64), np.ones(one, np.int64), np.frombuffer(data, "<u4", more, p + 6 * n).astype(np.int64)])
+    return np.frombuffer(data, U64, k, 16), np.frombuffer(data, "<u4", k, 16 + 8 * k), raw.view(U64).ravel(), times
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Texts in blocks: ids, marks of held-out texts, sizes and compressed bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd", 1)
         for batch in batches:
-            texts, rows = column_bytes(batch.column("text")), batch.column("row").to_numpy()
-            train, at = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), 0
-            for part in groups_of(texts, _GROUP):
-                end = at + len(part)
-                b, singles, doubles = block(part, rows[at:end], ~train[at:end], buckets)
-                at = end
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "singles": pa.array(singles, pa.binary()), "doubles": pa.array(doubles, pa.binary())})
-
-    return docs.select("row", "held_out", "text").mapInArrow(runtime.trimmed(run), "bucket int, singles binary, doubles binary")
-
-
-def _met(table: pa.Table, most_bytes: int, buckets: int) -> pa.Table:
-    """One bucket: sums for each text, number of tokens and kinds, and the slices of the filter."""
-    kinds, learned, parts = [], [], []
-    for data in table.column("singles"):
-        data = data.as_buffer()
-        k, n, m, wide = struct.unpack_from("<III?", data)
-        p = 13
-        kinds.append(np.frombuffer(data, U64, k, p))
-        learned.append(np.frombuffer(data, "<u4", k, p + 8 * k))
-        p += 12 * k
-        parts.append((np.frombuffer(data, np.int64, n, p), np.frombuffer(data, "<u4", n, p + 8 * n), np.frombuffer(data, "<u4" if wide else "<u2", m, p + 12 * n)))
-    kind, at = np.unique(np.concatenate(kinds), return_inverse=True)
-    total = np.bincount(at, np.concatenate(learned), len(kind)).astype(np.int64)
-    log = np.rint(np.log10(total + 1.0) * _UNIT).astype(np.int64)
-    rows, sums, known, count = [], [], [], []
-    a = 0
-    for (row, size, index), own in zip(parts, kinds):
-        here = at[a : a + len(own)][index]
-        a += len(own)
-        size = size.astype(np.int64)
-        first = np.cumsum(size) - size
-        if len(first):
-            rows.append(row)
-            sums.append(np.add.reduceat(log[here], first))
-            known.append(np.add.reduceat((total[here] > 0).astype(np.int64), first))
-            count.append(size)
-    pair, n_pair = [], []
-    for data in table.column("doubles"):
-        data = data.as_buffer()
-        one, more = struct.unpack_from("<II", data)
-        raw = np.zeros((one + more, 8), np.uint8)
-        raw[:, :6] = np.frombuffer(data, np.uint8, 6 * (one + more), 8).reshape(-1, 6)
-        pair.append(raw.view(U64).ravel())
-        n_pair.append(np.append(np.ones(one, np.int64), np.frombuffer(data, "<u4", more, 8 + 6 * (one + more)).astype(np.int64)))
-    p, c = np.concatenate(pair), np.concatenate(n_pair)
-    order = np.argsort(p)
-    p, c = p[order], c[order]
-    edge = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.empty(0, np.int64)
-    taught = total > 0
-    one = log_bloom.build(kind[taught] & _KEPT, total[taught], most_bytes // 4)
-    two = log_bloom.build(p[edge], np.add.reduceat(c, edge) if len(edge) else c, most_bytes - most_bytes // 4)
-    row, log_sum, known_sum, number = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, sums, known, count))
-    dest = np.mod(row, buckets)
-    order = np.argsort(dest, kind="stable")
-    packed = np.stack([row, log_sum, known_sum, number], 1)[order]
-    cut = _cuts(dest[order], buckets)
-    to = [d for d in range(buckets) if cut[d] < cut[d + 1]]
-    k = len(to)
-    last = {"tokens": (pa.int64(), int(total.sum())), "kinds": (pa.int64(), int(taught.sum())), "one": (pa.binary(), one.data.tobytes()), "two": (pa.binary(), two.data.tobytes()), "least_one": (pa.int32(), one.least), "least_two": (pa.int32(), two.least), "bucket": (pa.int32(), table.column("bucket")[0].as_py())}
-    cols = {"dest": pa.array([*to, None], pa.int32()), "sums": pa.array([*(packed[cut[d] : cut[d + 1]].tobytes() for d in to), None], pa.binary())}
-    cols |= {name: pa.array([None] * k + [x], kind) for name, (kind, x) in last.items()}
-    return pa.table(cols).select([c.split()[0] for c in _MET.split(", ")])
-
-
-_MET = "dest int, sums binary, bucket int, tokens long, kinds long, one binary, two binary, least_one int, least_two int"
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """Sums of all buckets' blocks for the texts of one destination."""
-    parts = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in table.column("sums").to_pylist()])
-    row, at = np.unique(parts[:, 0], return_inverse=True)
-    out = np.zeros((len(row), 3), np.int64)
-    np.add.at(out, at, parts[:, 1:])
-    return pa.table({"row": row, "logs": out[:, 0], "known": out[:, 1], "count": out[:, 2]})
-
-
-class Model:
-    """Single tokens and pairs in filters, smoothed: ``(c(vw) + k p(w)) / (c(v) + k)``."""
-
-    def __init__(self, one: log_bloom.Filter, two: log_bloom.Filter, n: int, v: int):
-        self.one, self.two, self.n, self.v = one, two, n, v
-
-    def log_probabilities(self, token: np.ndarray, count: np.ndarray, buckets: int, weight: float = WEIGHT) -> np.ndarray:
-        """log10 probability of each token after the one before it."""
-        kinds, at = np.unique(token, return_inverse=True)
-        single = log_bloom.middle(self.one.levels(kinds & _KEPT, _bucket(kinds, buckets)))
-        c = single[at]
-        context = np.append(single[kinds == _END], c[:-1]) if len(c) else c
-        h, back = np.unique(pairs(token, count), return_inverse=True)
-        most = np.zeros(len(h))
-        np.maximum.at(most, back, np.minimum(c, context))
-        double = np.zeros(len(h))
-        ask = np.flatnonzero(most > 0)  # no pair is more frequent than its tokens
-        double[ask] = np.minimum(log_bloom.middle(self.two.levels(h[ask] & _KEPT, _bucket(h[ask], buckets))), most[ask])
-        single_p = (c + 1) / (self.n + self.v + 1)
-        return np.log10((double[back] + weight * single_p) / (context + weight))
-
-
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+            at = 0
+            for part in groups_of(column_bytes(batch.column("text")), _GROUP):
+                own = batch.slice(at, len(part))
+                at += len(part)
+                whole = b"".join(part)
+                yield pa.RecordBatch.from_pydict({
+                    "ids": pa.array([own.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "held": pa.array([own.column("held_out").to_pylist()], pa.list_(pa.bool_())),
+                    "sizes": pa.array([[len(t) for t in part]], pa.list_(pa.int64())),
+                    "texts": pa.array([zstd.compress(whole, asbytes=True) if whole else b""], pa.binary()),
+                })
+
+    return docs.mapInArrow(runtime.trimmed(run), "ids array<long>, held array<boolean>, sizes array<long>, texts binary")
+
+
+def _texts_of(sizes: list[int], packed: bytes) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    whole = pa.Codec("zstd").decompress(packed, ends[-1], asbytes=True) if ends[-1] else b""
+    return [whole[e - n : e] for n, e in zip(sizes, ends)]
+
+
+def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                block, held, sizes, texts = (batch.column(c)[i].as_py() for c in ("block", "held", "sizes", "texts"))
+                items = Items(_texts_of(sizes, texts), ~np.array(held, bool), buckets)
+                sent = {b: data for b in range(buckets) if (data := items.dealt(b))}
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(sent), pa.int32()), "block": pa.array([block] * len(sent), pa.int64()), "items": pa.array(list(sent.values()), pa.binary())})
+
+    return blocks.select("block", "held", "sizes", "texts").mapInArrow(runtime.trimmed(run), "bucket int, block long, items binary")
+
+
+_MET = "block long, bucket int, answer binary, tokens long, kinds long"
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """One bucket: its slices of the filter, what they answer each block, and numbers of tokens and kinds."""
+    parts = [_asked(memoryview(data.as_buffer())) for data in table.column("items")]
+    kind, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(kind)).astype(np.int64)
+    pair, back = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    times = np.bincount(back, np.concatenate([p[3] for p in parts]), len(pair)).astype(np.int64)
+    one, two = (_found(x, n) for x, n in ((kind & _KEPT, total), (pair, times)))
+    answers, k, p = [], 0, 0
+    for kinds, _, asked, _ in parts:
+        own, k = at[k : k + len(kinds)], k + len(kinds)
+        pairs_own, p = back[p : p + len(asked)], p + len(asked)
+        answers.append(total[own].astype("<i8").tobytes() + one[own].tobytes() + two[pairs_own].tobytes())
+    bucket = table.column("bucket")[0].as_py()
+    none = [None] * len(answers)
+    cols = (table.column("block").to_pylist() + [None], [bucket] * (len(answers) + 1), answers + [None], none + [int(total.sum())], none + [int((total > 0).sum())])
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in _MET.split(", ")])
+
+
+def _found(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Levels that a slice of all counted items has for each item."""
+    taught = counts > 0
+    made = log_bloom.Filter([log_bloom.build(items[taught], counts[taught])])
+    return made.levels(items, np.zeros(len(items), np.int64)).astype(np.uint8)
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(block: pa.Table, answers: pa.Table, n: int, v: int, buckets: int, weight: float = WEIGHT) -> pa.Table:
+    """Scores of one block's texts: pairs are smoothed, ``(c(vw) + k p(w)) / (c(v) + k)``."""
+    ids, held, sizes, texts = (block.column(c)[0].as_py() for c in ("ids", "held", "sizes", "texts"))
+    items = Items(_texts_of(sizes, texts), ~np.array(held, bool), buckets)
+    total, one, two = np.empty(len(items.kind), np.int64), np.empty(len(items.kind), np.uint8), np.empty(len(items.pair), np.uint8)
+    done = 0
+    for b, data in zip(answers.column("bucket").to_pylist(), answers.column("answer")):
+        data = memoryview(data.as_buffer())
+        k, p = slice(*items.kind_cut[b : b + 2]), slice(*items.pair_cut[b : b + 2])
+        m = k.stop - k.start
+        total[k], one[k], two[p] = np.frombuffer(data, "<i8", m), np.frombuffer(data, np.uint8, m, 8 * m), np.frombuffer(data, np.uint8, offset=9 * m)
+        done += m + p.stop - p.start
+    if done != len(items.kind) + len(items.pair):
+        raise ValueError(f"answers for {done} of {len(items.kind) + len(items.pair)} tokens and pairs of a block")
+    single = log_bloom.middle(one.astype(np.int64))
+    c = single[items.at]
+    context = np.append(single[items.kind == _END], c[:-1])
+    double = np.minimum(log_bloom.middle(two.astype(np.int64))[items.back], np.minimum(c, context))  # no pair is more frequent than its tokens
+    first = np.cumsum(items.count) - items.count
+    score = np.add.reduceat(np.log10((double + weight * (c + 1) / (n + v + 1)) / (context + weight)), first)
+    logs = np.add.reduceat(np.rint(np.log10(total + 1.0) * _UNIT).astype(np.int64)[items.at], first)
+    known = np.add.reduceat((total > 0).astype(np.int64)[items.at], first)
+    cols = (ids, held, items.count, known, np.full(len(ids), n), logs / _UNIT - items.count * np.log10(n + v + 1), score)
+    types = (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)
+    return pa.table([pa.array(x, t) for x, t in zip(cols, types)], [x.split()[0] for x in _SCORED.split(", ")])
+
+
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """Score every text; those with ``crc32(doc_id) % folds != held`` teach the model.
 
     Null text is empty and has the end mark only. Rows with equal ``doc_id`` are
@@ -207,34 +210,17 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, filter_bytes
     """
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), F.xxhash64(text, "doc_id").alias("row"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     runtime.prepare(spark)
     buckets = min(max(4, runtime.input_splits(docs) * 3 // 2), 4096)
-    share = max(1024, filter_bytes // buckets)
-    met = runtime.stored(spark, _dealt(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met, share, buckets), _MET), "counts")
-    slices = {r["bucket"]: r for r in met.filter("bucket IS NOT NULL").select("bucket", "tokens", "kinds", "one", "two", "least_one", "least_two").collect()}
-    n, v = (sum(r[c] for r in slices.values()) for c in ("tokens", "kinds"))
-    empty = log_bloom.Slice(np.zeros(1, np.uint8), 1)
-    filters = [log_bloom.Filter([log_bloom.Slice(np.frombuffer(slices[b][name], np.uint8), slices[b][f"least_{name}"]) if b in slices else empty for b in range(buckets)]) for name in ("one", "two")]
-    del slices
-    shared = spark.sparkContext.broadcast(Model(*filters, n, v))
-    del filters
+    blocks = runtime.stored(spark, _blocks(keyed).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    met = runtime.stored(spark, _dealt(blocks, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met), _MET), "counts")
+    n, v = (x or 0 for x in met.agg(F.sum("tokens"), F.sum("kinds")).first())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            at = 0
-            for part in groups_of(column_bytes(batch.column("text")), _GROUP):
-                token, count = tokens(part)
-                logs = np.add.reduceat(model.log_probabilities(token, count, buckets), np.cumsum(count) - count)
-                cols = [batch.column(c).slice(at, len(part)) for c in ("doc_id", "held_out", "row")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(logs)], ["doc_id", "held_out", "row", "n_tokens", "score"])
-                at += len(part)
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        out = _scored(block, answers, n, v, buckets)
+        runtime.release()
+        return out
 
-    scored = keyed.mapInArrow(runtime.trimmed(run), "doc_id long, held_out boolean, row long, n_tokens long, score double")
-    sums = met.filter("dest IS NOT NULL").select("dest", "sums").repartition(buckets, "dest").groupBy("dest").applyInArrow(runtime.lean(_summed), "row long, logs long, known long, count long")
-    # rows of one id and text share a key and have equal sums
-    times = F.col("count") / F.col("n_tokens")
-    base = F.col("logs") / F.lit(_UNIT) / times - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return scored.join(sums, "row").select("doc_id", "held_out", "n_tokens", (F.col("known") / times).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    answers = met.filter("block IS NOT NULL").select("block", "bucket", "answer").repartition(buckets, "block")
+    return blocks.repartition(buckets, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORED)

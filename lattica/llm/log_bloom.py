@@ -6,9 +6,8 @@ membership can only raise the answer, and rarely by more than one level.
 
 The filter is made in slices, one for each bucket of items, so that slices are
 built where their items are counted. A slice takes ``BITS`` bits for each entry
-and at most its share of the filter's size; where its items need more, those
-below the least sufficient count are left out of the slice (it keeps that
-count), so the size of what is broadcast is bounded by a parameter.
+and holds every item, unless a caller bounds its size: then items below the
+least sufficient count are left out (the slice keeps that count).
 """
 
 from __future__ import annotations
@@ -43,11 +42,11 @@ class Slice:
     least: int
 
 
-def build(items: np.ndarray, counts: np.ndarray, most_bytes: int) -> Slice:
-    """A slice of at most ``most_bytes``."""
+def build(items: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> Slice:
+    """A slice of all items, or one of at most ``most_bytes``."""
     level = levels(counts)
     least = 1
-    while int(level[counts >= least].sum()) * BITS > 8 * most_bytes:
+    while most_bytes is not None and int(level[counts >= least].sum()) * BITS > 8 * most_bytes:
         least += 1
     items, level = items[counts >= least], level[counts >= least]
     size = max(1, -(-int(level.sum()) * BITS // 8))

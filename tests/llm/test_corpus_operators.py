@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import components, jaccard_join, language_model, log_bloom, repeat_spans, suffix_array, tiling
@@ -209,6 +210,38 @@ def test_language_model_base_and_score(spark):
     assert language_model.score_documents(docs.limit(0)).count() == 0
 
 
+def test_language_model_leaves_no_count_out(monkeypatch):
+    real = log_bloom.build
+
+    def build(items, counts, *bound):
+        assert not bound, "a bound on the filter leaves rare pairs out"
+        return real(items, counts)
+
+    monkeypatch.setattr(log_bloom, "build", build)
+    rnd, buckets = random.Random(8), 3
+    blocks = [[" ".join(f"w{int(rnd.paretovariate(0.4)) % 900}" for _ in range(rnd.randint(0, 60))).encode() for _ in range(100)] for _ in range(2)]
+    held = [np.array([rnd.random() < 0.2 for _ in texts]) for texts in blocks]
+    items = [language_model.Items(texts, ~h, buckets) for texts, h in zip(blocks, held)]
+    met = [language_model._met(pa.table({"bucket": [b] * 2, "block": [0, 1], "items": pa.array([i.dealt(b) for i in items], pa.binary())})) for b in range(buckets)]
+    rows = [r for m in met for r in m.to_pylist()]
+    n, v = (sum(r[c] or 0 for r in rows) for c in ("tokens", "kinds"))
+    words = [[[None, *t.split(), None] for t in texts] for texts in blocks]
+    taught = [w for ws, h in zip(words, held) for w, x in zip(ws, h) if not x]
+    one, two = collections.Counter(x for w in taught for x in w[1:]), collections.Counter(x for w in taught for x in zip(w, w[1:]))
+    assert (n, v) == (sum(one.values()), len(one))
+    middle = lambda c: float(log_bloom.middle(log_bloom.levels(np.array([c])))[0])
+    for k, (texts, h) in enumerate(zip(blocks, held)):
+        of = {r["bucket"]: r["answer"] for r in rows if r["block"] == k}
+        packed = pa.Codec("zstd", 1).compress(b"".join(texts), asbytes=True)
+        block = pa.table({"ids": [list(range(100))], "held": [h.tolist()], "sizes": [[len(t) for t in texts]], "texts": pa.array([packed], pa.binary())})
+        got = language_model._scored(block, pa.table({"bucket": list(of), "answer": pa.array(list(of.values()), pa.binary())}), n, v, buckets)
+        want = [sum(math.log10((min(middle(two[x, y]), middle(one[x]), middle(one[y])) + 8 * (middle(one[y]) + 1) / (n + v + 1)) / (middle(one[x]) + 8)) for x, y in zip(w, w[1:])) for w in words[k]]
+        close = [math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got["score"].to_pylist(), want)]
+        assert sum(close) >= 80  # a false membership of the filter can raise a count
+        lacking = [i for b in range(buckets) for i in range(*items[k].pair_cut[b : b + 2]) if of[b][9 * (items[k].kind_cut[b + 1] - items[k].kind_cut[b]) + i - items[k].pair_cut[b]] < (items[k].times[i] > 0)]
+        assert not lacking
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
