@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm import jaccard_join, packing, quality_rules, queries, repeat_spans, runtime, tiling
 
 
+#: Passages of this many words that occur elsewhere go, however short; of longer words, the operator's window in bytes holds.
+PASSAGE_WORDS = 51
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_rules.keep_good(docs)
@@ -23,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of the window's length that occur elsewhere, too."""
-    return repeat_spans.without_repeats(docs)
+    """Texts without passages of ``PASSAGE_WORDS`` words, or byte strings of the window's length, that occur elsewhere, too."""
+    return repeat_spans.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,10 @@ with the same anchor form runs. Equal windows have equal anchors, so:
 
 Every window start belongs to exactly one run, so no string is compared with
 itself, and overlapping occurrences in one document count.
+
+Passages of a number of words are found in the same way in texts of which each
+word is written as ``CODE`` letters of its hash: a word window has a fixed length
+there, whatever the lengths of its words.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .suffix_array import permuted_prefixes, suffix_array
-from .textblocks import U64, chunks, column_bytes, joined, prefix_sums, span_hash
+from .textblocks import U64, Words, chunks, column_bytes, joined, prefix_sums, span_hash
 
 WINDOW, GRAM = 400, 128
+#: Letters of a coded word; words of the gram inside a window of words.
+CODE, GRAM_WORDS = 4, 24
 SEGMENT = 4 << 20
 _PLACE = 23
 SHARD_BYTES = 3 << 19
@@ -89,7 +95,7 @@ def runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarr
     return np.concatenate(out)
 
 
-_ROW, _MARKS = "_lattica_row", "_lattica_marks"
+_ROW, _MARKS, _WORD_MARKS = "_lattica_row", "_lattica_marks", "_lattica_word_marks"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -192,13 +198,10 @@ def _shard_marks(table: pa.Table, window: int) -> pa.Table:
     return pa.table({"row": pa.array(rows, pa.int64()), "marks": pa.array(marks, pa.binary())})
 
 
-def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs``, with the repeated window starts of each row as packed marks in a further column."""
-    spark = docs.sparkSession
-    runtime.prepare(spark)
-    keyed = _keyed(docs)
-    buckets = min(max(4, runtime.input_splits(docs)), 8192)
-    compared = runtime.stored(spark, _dealt(keyed.select(F.col(_ROW).alias("row"), "text"), buckets, window, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_compared), "row long, marks binary, asks binary"), "runs")
+def _row_marks(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+    """The repeated window starts of ``rows(row, text)`` as packed marks."""
+    spark = rows.sparkSession
+    compared = runtime.stored(spark, _dealt(rows, buckets, window, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_compared), "row long, marks binary, asks binary"), "runs")
     asked = compared.filter("asks IS NOT NULL")
     volume = asked.agg(F.sum(F.length("asks"))).first()[0] or 0
     shards = max(1, volume // ASK.itemsize * (window + (window - gram) // 2) // SHARD_BYTES)
@@ -208,12 +211,49 @@ def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             yield _texts_of_runs(batch, shards, window)
 
     wanted = asked.groupBy("row").agg(F.collect_list("asks").alias("asks"))
-    carried = keyed.select(F.col(_ROW).alias("row"), "text").join(wanted, "row").select("row", "text", "asks").mapInArrow(runtime.trimmed(carry), "shard int, heads binary, body binary")
+    carried = rows.join(wanted, "row").select("row", "text", "asks").mapInArrow(runtime.trimmed(carry), "shard int, heads binary, body binary")
     from_shards = runtime.stored(spark, carried.repartition(min(shards, 8192), "shard").groupBy("shard").applyInArrow(runtime.lean(_shard_marks, window), "row long, marks binary"), "shard-marks")
-    marks = compared.filter("marks IS NOT NULL").select("row", "marks").unionByName(from_shards).groupBy(F.col("row").alias(_ROW)).agg(F.collect_list("marks").alias(_MARKS))
+    return compared.filter("marks IS NOT NULL").select("row", "marks").unionByName(from_shards).groupBy("row").agg(F.collect_list("marks").alias("marks"))
+
+
+def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """``docs``, with the repeated window starts of each row as packed marks in a further column.
+
+    Where ``words`` is set, one more column marks the starts of repeated windows
+    of so many words, counted in letters of the coded text.
+    """
+    spark = docs.sparkSession
+    runtime.prepare(spark)
+    keyed = _keyed(docs)
+    buckets = min(max(4, runtime.input_splits(docs)), 8192)
+    rows = keyed.select(F.col(_ROW).alias("row"), "text")
+    marks = _row_marks(rows, buckets, window, gram).select(F.col("row").alias(_ROW), F.col("marks").alias(_MARKS))
+    if words:
+        more = _row_marks(_coded(rows), buckets, words * CODE, min(GRAM_WORDS, -(-words // 2)) * CODE)
+        marks = marks.join(more.select(F.col("row").alias(_ROW), F.col("marks").alias(_WORD_MARKS)), _ROW, "full")
     return keyed.join(marks, _ROW, "left")
 
 
+_LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+
+
+def coded(texts: list[bytes]) -> list[bytes]:
+    """Each word of a text as ``CODE`` letters."""
+    words = Words(texts)
+    letters = np.stack([_LETTERS[(words.hash >> U64(6 * k)) & U64(63)] for k in range(CODE)], 1).tobytes()
+    cut = (words.first * CODE).tolist()
+    return [letters[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in chunks(column_bytes(batch.column("text"))):
+                yield pa.RecordBatch.from_pydict({"row": batch.column("row").slice(first, len(part)), "text": pa.array(coded(part), pa.binary()).cast(pa.string())})
+
+    return rows.select("row", "text").mapInArrow(runtime.trimmed(run), "row long, text string")
+
+
 def spans(marks: list[bytes] | None, window: int) -> np.ndarray:
     """Maximal byte spans (start, end) that marked windows cover."""
     got = np.concatenate([np.frombuffer(m, MARK) for m in marks]) if marks else np.empty(0, MARK)
@@ -227,6 +267,29 @@ def spans(marks: list[bytes] | None, window: int) -> np.ndarray:
     return np.stack([start[edge], end[np.append(np.flatnonzero(edge)[1:] - 1, len(end) - 1)]], 1)
 
 
+def word_spans(text: bytes, marks: list[bytes] | None, words: int) -> np.ndarray:
+    """Maximal byte spans that marked windows of words cover, from marks of the coded text."""
+    got = np.concatenate([np.frombuffer(m, MARK) for m in marks]) if marks else np.empty(0, MARK)
+    first = -(-got["start"].astype(np.int64) // CODE)
+    last = (got["start"].astype(np.int64) + got["count"] - 1) // CODE
+    own = np.flatnonzero(first <= last)  # a start inside a word begins no window of words
+    if not len(own):
+        return np.empty((0, 2), np.int64)
+    place = Words([text])
+    return np.stack([place.start[first[own]], place.end[last[own] + words - 1]], 1)
+
+
+def _united(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spans of both, those that meet joined."""
+    both = np.concatenate([a, b])
+    if not len(b):
+        return a
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    end = np.maximum.accumulate(both[:, 1])
+    edge = np.append(True, both[1:, 0] > end[:-1])
+    return np.stack([both[edge, 0], end[np.append(np.flatnonzero(edge)[1:] - 1, len(end) - 1)]], 1)
+
+
 def _rest(text: bytes, cut: np.ndarray) -> bytes:
     at = 0
     out = []
@@ -256,9 +319,11 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     return marked(docs.select(F.col("doc_id").cast("long"), "text"), window, gram).mapInArrow(runtime.trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = 0) -> DataFrame:
     """``docs`` with the text that remains, and ``n_chars``, if there is one, to match.
 
+    Where ``words`` is set, passages of so many words or more that occur elsewhere
+    go, too, however short; case of A-Z and kind of white space don't matter there.
     Bytes of a character that a cut leaves incomplete go, too. Documents of
     which no word remains have nothing left to train on and are dropped.
     """
@@ -266,8 +331,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [_rest(text, spans(marks, window)).decode("utf-8", "ignore") for text, marks in zip(column_bytes(batch.column("text")), batch.column(_MARKS).to_pylist())]
+            texts, marks = column_bytes(batch.column("text")), batch.column(_MARKS).to_pylist()
+            more = batch.column(_WORD_MARKS).to_pylist() if words else [None] * len(texts)
+            rest = [_rest(t, _united(spans(m, window), word_spans(t, w, words))).decode("utf-8", "ignore") for t, m, w in zip(texts, marks, more)]
             new = {"text": pa.array(rest, pa.string()), "n_chars": pa.array([len(t) for t in rest], pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c].cast(batch.column(c).type) if c in new else batch.column(c) for c in schema.names], schema.names).filter(pa.array([bool(t.strip()) for t in rest], pa.bool_()))
 
-    return marked(docs, window, gram).select(*schema.names, _MARKS).mapInArrow(runtime.trimmed(run), schema)
+    return marked(docs, window, gram, words).select(*schema.names, _MARKS, *[_WORD_MARKS] * bool(words)).mapInArrow(runtime.trimmed(run), schema)

@@ -133,6 +133,25 @@ def test_repeats_edge_tables(spark):
     assert got == [(0, 0), (1, 600), (1, 600)]
 
 
+def test_pipeline_removes_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(1, 8))) for _ in range(n))
+    passage = {n: say(n) for n in range(45, 71)}
+    assert sum(len(passage[n]) < 400 for n in range(51, 71)) > 10
+    own = [(f"{say(80)} end{k}", f"on{k} {say(90)}") for k in range(2 * len(passage))]
+    texts = [f"{a} {p if k % 2 else p.upper().replace(' ', chr(10))} {b}" for k, ((a, b), p) in enumerate(zip(own, [p for p in passage.values() for _ in range(2)]))]
+    long = " ".join("x" * 30 + say(1) for _ in range(20))  # few words, but over 400 bytes
+    texts += [f"{say(60)} {long} {say(60)}" for _ in range(2)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    for k, n in enumerate(n for n in passage for _ in range(2)):
+        a, b = own[k]
+        assert got[k] == (f"{a}  {b}" if n >= 51 else texts[k]), n
+    assert long not in got[len(own)] and long not in got[len(own) + 1]
+
+
 def test_tiles_of_reordered_passages():
     h = lambda s: np.array([zlib.crc32(w.encode()) for w in s.split()], U64)
     item = h("a b c d e f g h i j k l")
