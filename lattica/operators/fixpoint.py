@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rounds after which what was seen is stored as one, so that no plan reads the files of all rounds.
+MERGED = 32
+
+
 def store(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: written to the folder that ``spark.checkpoint.dir`` names and read again."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +25,7 @@ def store(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reach(start: DataFrame, edges: DataFrame, hops: int = 0, most: int = 1000) -> DataFrame:
+def reach(start: DataFrame, edges: DataFrame, hops: int = 0) -> DataFrame:
     """Nodes reached over ``edges(src, dst)`` from ``start(node)``: ``(node, hop)``, start nodes at hop 0.
 
     Semi-naive: a round joins only the nodes that were new in the one before.
@@ -32,10 +36,12 @@ def reach(start: DataFrame, edges: DataFrame, hops: int = 0, most: int = 1000) -
 
     seen = store(spark, start.select("node").distinct().withColumn("hop", F.lit(0)))
     front, hop = seen, 0
-    while hop < most and not (hops and hop >= hops):
+    while not (hops and hop >= hops):
         hop += 1
         front = store(spark, front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % MERGED == 0:
+            seen = store(spark, seen)
     return seen

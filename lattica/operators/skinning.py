@@ -9,7 +9,7 @@ from .. import model
 from ..functions import numbering
 from ..model import Mesh, MeshError
 from . import adjacency, sets
-from .fixpoint import store
+from .fixpoint import MERGED, store
 
 
 def _trimmed(elements: DataFrame) -> DataFrame:
@@ -93,13 +93,13 @@ def classify_edges(mesh: Mesh, cosine: float = 0.5) -> DataFrame:
     return both.select("key", kind.alias("kind"))
 
 
-def depth(mesh: Mesh, dim: int, most: int = 1000) -> DataFrame:
+def depth(mesh: Mesh, dim: int) -> DataFrame:
     """``(handle, depth)``: 0 for elements touching the skin, then by shared vertices; -1 where unreached."""
     inc = mesh.incidence().join(mesh.elements.filter(model.of_dimension(F.col("handle"), dim)).select(F.col("handle").alias("elem")), "elem", "left_semi").select("elem", "vertex")
     inc = store(mesh.spark, inc)
     front_v = skin_vertices(mesh, dim).withColumnRenamed("handle", "vertex")
     seen, level = None, 0
-    while level < most:
+    while True:
         new = inc.join(front_v, "vertex", "left_semi").select("elem").distinct()
         if seen is not None:
             new = new.join(seen, "elem", "left_anti")
@@ -107,6 +107,8 @@ def depth(mesh: Mesh, dim: int, most: int = 1000) -> DataFrame:
         if new.isEmpty():
             break
         seen = new if seen is None else seen.unionByName(new)
+        if (level + 1) % MERGED == 0:
+            seen = store(mesh.spark, seen)
         front_v = inc.join(new.select("elem"), "elem", "left_semi").select("vertex").distinct()
         level += 1
     every = inc.select("elem").distinct()

@@ -9,7 +9,7 @@ from lattica import model
 from lattica.functions import numbering, quality
 from lattica.functions.geometry import V
 from lattica.model import HEX, QUAD, TET, TRI, MeshError, mesh_from_arrays
-from lattica.operators import adjacency, entities, fields, measures, mutation, ranges, sets, skinning, tags
+from lattica.operators import adjacency, entities, fields, fixpoint, measures, mutation, ranges, sets, skinning, tags
 from lattica.operators.structured import Box
 from lattica.plans import tables
 
@@ -172,3 +172,41 @@ def test_bad_arguments(spark, triangle):
         mutation.merge_entities(triangle, 1, (TRI << model.SHIFT) | 1)
     with pytest.raises(MeshError):
         entities.by_type_and_tag(triangle, TRI, [], op="xor")
+
+
+def _endless(rounds):
+    """Stands for ``store``: every round has rows until so many were stored."""
+    from unittest.mock import MagicMock
+
+    fronts = []
+
+    def store(spark, df):
+        fronts.append(MagicMock())
+        fronts[-1].isEmpty.return_value = len(fronts) > rounds
+        return fronts[-1]
+
+    return fronts, store
+
+
+def test_reach_and_depth_have_no_most_rounds(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    fronts, store = _endless(1500)
+    monkeypatch.setattr(fixpoint, "store", store)
+    fixpoint.reach(MagicMock(), MagicMock())
+    assert len(fronts) > 1500
+    fronts, store = _endless(1500)
+    monkeypatch.setattr(skinning, "store", store)
+    monkeypatch.setattr(skinning, "skin_vertices", MagicMock())
+    skinning.depth(MagicMock(), 2)
+    assert len(fronts) > 1500
+
+
+def test_merged_rounds_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "MERGED", 2)
+    monkeypatch.setattr(skinning, "MERGED", 2)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(7, 3)], "src long, dst long")
+    got = fixpoint.reach(spark.createDataFrame([(0,)], "node long"), edges)
+    assert values(got, "node", "hop") == [(i, i) for i in range(8)]
+    deep = skinning.depth(Box((0, 0, 0), (9, 9, 0)).mesh(spark), 2)
+    assert sorted(r.depth for r in deep.collect()) == sorted(min(i, j, 8 - i, 8 - j) for i in range(9) for j in range(9))
