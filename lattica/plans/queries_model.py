@@ -81,6 +81,7 @@ _ISL = f"SELECT min(handle) AS first, max(handle) AS last, count(*) AS size FROM
 on_orders("r10_intervals", lambda m: ranges.intervals(handles_of(m, _B)), _ISL)
 on_orders("r10_compactness", lambda m: ranges.compactness(handles_of(m, _B)).select("size", "psize"), f"SELECT sum(size)::BIGINT AS size, count(*) AS psize FROM ({_ISL})")
 on_orders("r11_text", lambda m: ranges.describe(handles_of(m, "handle % 50 < 3")), f"SELECT ['VERTEX','EDGE','TRI','QUAD','POLYGON'][t + 1] AS type, string_agg(s, ',' ORDER BY f) AS runs FROM (SELECT (min(handle) >> 56) AS t, min(handle) AS f, CASE WHEN min(handle) = max(handle) THEN (min(handle) & {model.ID_MASK})::VARCHAR ELSE (min(handle) & {model.ID_MASK}) || '-' || (max(handle) & {model.ID_MASK}) END AS s FROM (SELECT handle, handle - row_number() OVER (ORDER BY handle) AS g FROM elem WHERE handle % 50 < 3) GROUP BY g) GROUP BY t")
+on_orders("r11_text_all", lambda m: ranges.describe(m.elements.select("handle")), f"SELECT ['VERTEX','EDGE','TRI','QUAD','POLYGON'][t + 1] AS type, string_agg(s, ',' ORDER BY f) AS runs FROM (SELECT (min(handle) >> 56) AS t, min(handle) AS f, CASE WHEN min(handle) = max(handle) THEN (min(handle) & {model.ID_MASK})::VARCHAR ELSE (min(handle) & {model.ID_MASK}) || '-' || (max(handle) & {model.ID_MASK}) END AS s FROM (SELECT handle, handle - row_number() OVER (ORDER BY handle) AS g FROM elem) GROUP BY g) GROUP BY t")
 on_orders("r12_interval_map", lambda m: ranges.interval_lookup(m.vertices.select("handle"), m.spark.createDataFrame([(1, 40, 500), (60, 1400, 9000)], "first long, last long, start long")), "SELECT handle, 500 + handle - 1 AS value FROM vtx WHERE handle BETWEEN 1 AND 40 UNION ALL SELECT handle, 9000 + handle - 60 FROM vtx WHERE handle BETWEEN 60 AND 1400")
 
 # sets ------------------------------------------------------------------------------
@@ -112,6 +113,7 @@ on_orders("t04_clear_data", lambda m: tags.tagged(tags.clear_data(m, "PRIORITY",
 on_orders("t05_delete_data", lambda m: tags.tagged(tags.delete_data(m, "PRIORITY", handles_of(m, "handle % 2 = 0")), "PRIORITY"), "SELECT handle FROM eo WHERE o_orderpriority = '1-URGENT' AND handle % 2 <> 0")
 on_orders("t06_variable_length", lambda m: m.elements.select("handle", F.size("conn").cast("long").alias("length")), "SELECT handle, len(conn) AS length FROM elem")
 on_orders("t07_tags_on_entities", lambda m: tags.on_entities(m, handles_of(m, "handle % 5 = 0")), "SELECT handle, 'PRICE' AS tag FROM eo WHERE handle % 5 = 0 UNION ALL SELECT handle, 'PRIORITY' FROM eo WHERE handle % 5 = 0 AND o_orderpriority = '1-URGENT'")
+on_orders("t07_tags_on_entities_all", lambda m: tags.on_entities(m, m.elements.select("handle")), "SELECT handle, 'PRICE' AS tag FROM eo UNION ALL SELECT handle, 'PRIORITY' FROM eo WHERE o_orderpriority = '1-URGENT'")
 on_orders("t08_default_values", lambda m: tags.metadata(m).select("name", "default_value").filter("default_value IS NOT NULL"), "SELECT 'PRIORITY' AS name, '5-LOW' AS default_value")
 on_orders("t09_tagged", lambda m: tags.tagged(m, "PRIORITY", model.EDGE), "SELECT handle FROM eo WHERE o_orderpriority = '1-URGENT' AND (handle >> 56) = 1")
 on_orders("t10_with_value", lambda m: tags.with_value(m, "PRIORITY", "1-URGENT"), "SELECT handle FROM eo WHERE o_orderpriority = '1-URGENT'")
@@ -119,8 +121,10 @@ on_orders("t12_propagate", lambda m: tags.propagate(tags.set_data(tags.get_handl
 
 # adjacency on the orders mesh ----------------------------------------------------------
 on_orders("a01_union_to_vertices", lambda m: adj.adjacencies(m, handles_of(m, "etype = 2 AND handle % 10 = 0"), 0), "SELECT DISTINCT vertex AS handle FROM inc WHERE (elem >> 56) = 2 AND elem % 10 = 0")
+on_orders("a01_union_to_vertices_all", lambda m: adj.adjacencies(m, handles_of(m, "etype = 2"), 0), "SELECT DISTINCT vertex AS handle FROM inc WHERE (elem >> 56) = 2")
 on_orders("a02_intersect", lambda m: adj.adjacencies(m, m.vertices.filter("handle IN (2, 9)").select("handle"), 2, "intersect"), "SELECT elem AS handle FROM inc WHERE (elem >> 56) IN (2, 3, 4) AND vertex IN (2, 9) GROUP BY elem HAVING count(*) = 2")
 on_orders("a03_vertex_up", lambda m: adj.pairs(m, m.vertices.filter("handle < 200").select("handle"), 2), "SELECT vertex AS source, elem AS target FROM inc WHERE vertex < 200 AND (elem >> 56) IN (2, 3, 4)")
+on_orders("a03_vertex_up_all", lambda m: adj.pairs(m, m.vertices.select("handle"), 2), "SELECT vertex AS source, elem AS target FROM inc WHERE (elem >> 56) IN (2, 3, 4)")
 on_orders("a05_edge_up", lambda m: adj.upward(m, handles_of(m, "etype = 1"), 2), "SELECT a.elem AS source, b.elem AS target FROM inc a JOIN inc b ON a.vertex = b.vertex WHERE (a.elem >> 56) = 1 AND (b.elem >> 56) IN (2, 3, 4) GROUP BY 1, 2 HAVING count(*) = 2")
 on_orders("a06_owning_sets", lambda m: adj.owners(m, handles_of(m, "etype = 1")), f"SELECT handle AS source, {SET + CUSTOMER} + o_custkey AS target FROM eo WHERE (handle >> 56) = 1")
 on_orders("a08_explicit", lambda m: adj.add_explicit(m, m.members.filter((F.col("set") == SET + CUSTOMER + 7)).select(F.col("entity").alias("from"), F.lit(5).cast("long").alias("to"))).explicit, f"SELECT entity AS \"from\", 5::BIGINT AS \"to\" FROM members WHERE \"set\" = {SET + CUSTOMER + 7} UNION ALL SELECT 5, entity FROM members WHERE \"set\" = {SET + CUSTOMER + 7}")

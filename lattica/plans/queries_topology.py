@@ -67,6 +67,7 @@ add("a05_face_to_hex", lambda s: _faces_up(s), f"{HEX}{half('bh', 9, 2)}, f AS (
 add("a07_create_edges", lambda s: adj.missing(hexes(s), hexes(s).elements.select("handle"), 1).select(text("key").alias("key")), f"{HEX}{half('bh', 9, 1)} SELECT DISTINCT {K} FROM hf")
 add("a07_create_faces", lambda s: adj.create_missing(hexes(s), hexes(s).elements.select("handle"), 2).elements.filter("etype = 3").select("handle", text(numbering.key(F.col("conn"))).alias("key")), f"{HEX}{half('bh', 9, 2)} SELECT {(model.QUAD << 56)} + row_number() OVER (ORDER BY k) AS handle, {K} FROM (SELECT DISTINCT k FROM hf)")
 add("a09_bridge_layers", lambda s: adj.bridge(hexes(s), hexes(s).elements.filter("handle % 100 = 1").select("handle"), 0, 3, 2), f"{HEX}, src AS (SELECT * FROM bh WHERE handle % 100 = 1), one AS (SELECT DISTINCT b.* FROM src a JOIN bh b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1) SELECT DISTINCT b.handle FROM one a JOIN bh b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1")
+add("a09_bridge_layers_all", lambda s: adj.bridge(hexes(s), hexes(s).elements.select("handle"), 0, 3, 2), f"{HEX}, src AS (SELECT * FROM bh), one AS (SELECT DISTINCT b.* FROM src a JOIN bh b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1) SELECT DISTINCT b.handle FROM one a JOIN bh b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1")
 add("a10_face_neighbours", lambda s: adj.neighbours(hexes(s), 3), f"{HEX} SELECT a.handle AS elem, b.handle AS other FROM bh a JOIN bh b ON abs(a.i-b.i) + abs(a.j-b.j) + abs(a.k-b.k) = 1")
 add("a10_vertex_neighbours", lambda s: adj.neighbours(quads(s), 2, 0), f"{QUAD} SELECT a.handle AS elem, b.handle AS other FROM qh a JOIN qh b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND a.handle <> b.handle")
 add("a10_bridge_of_one", lambda s: adj.bridge_of(hexes(s), (9 << 56) | 50, 0, 3), f"{HEX} SELECT b.handle FROM bh a JOIN bh b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1 WHERE a.handle = {(9 << 56) | 50} AND b.handle <> a.handle")

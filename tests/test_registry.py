@@ -38,6 +38,14 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(str, got[cols].astype(str).values.tolist())) == sorted(map(str, want[cols].astype(str).values.tolist()))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", ["a01_union_to_vertices", "a03_vertex_up", "a09_bridge_layers", "r11_text", "t07_tags_on_entities"])
+def test_whole_mesh(spark, name):
+    test_query_equals_sql(spark, f"{name}_all")
+    if name != "r11_text":  # all handles are fewer runs than a part of them
+        assert registry.QUERIES[f"{name}_all"](spark, DATA).count() > registry.QUERIES[name](spark, DATA).count()
+
+
 def test_entry_needs_no_session():
     import subprocess
     import sys
