@@ -5,10 +5,14 @@ hash inside, at the same place, in both occurrences (its anchor). Window starts
 with the same anchor form runs. Equal windows have equal anchors, so:
 
 * runs are dealt by anchor; a run whose anchor occurs once repeats nothing;
-* runs with equal bytes repeat each other wholly, and one stands for all;
+* runs with equal bytes repeat each other wholly, and one stands for all; of the
+  equal runs of one batch a single record travels, so copies don't pile up;
 * the distinct runs of an anchor go, with their bytes, to one shard. There a
   suffix array is made by induced sorting, and permuted common prefixes of at
-  least ``window`` bytes mark the window starts that repeat.
+  least ``window`` bytes mark the window starts that repeat;
+* an anchor with more distinct runs than fill a shard (a passage in very many
+  surroundings) has its runs cut into single windows, which are dealt anew by
+  their own hashes.
 
 Every window start belongs to exactly one run, so no string is compared with
 itself, and overlapping occurrences in one document count.
@@ -39,7 +43,7 @@ CODE, GRAM_WORDS = 4, 24
 SEGMENT = 4 << 20
 _PLACE = 23
 SHARD_BYTES = 3 << 19
-RUN = np.dtype([("anchor", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("count", "<u2")])
+RUN = np.dtype([("anchor", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("count", "<u2"), ("more", "u1")])
 ASK = np.dtype([("anchor", "<u8"), ("start", "<u4"), ("count", "<u2")])
 MARK = np.dtype([("start", "<u4"), ("count", "<u4")])
 
@@ -84,7 +88,7 @@ def runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarr
         got = np.empty(len(edge), RUN)
         size = np.diff(np.append(edge, len(starts)))
         begin = starts[edge]
-        got["anchor"], got["count"] = h[a[edge]], size
+        got["anchor"], got["count"], got["more"] = h[a[edge]], size, 0
         got["doc"] = doc[first + owner[edge]]
         got["start"] = begin - lo[owner[edge]] + place[first + owner[edge]]
         view, digest = memoryview(buf), xxhash.xxh3_128_digest
@@ -95,76 +99,138 @@ def runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarr
     return np.concatenate(out)
 
 
-_ROW, _MARKS, _WORD_MARKS = "_lattica_row", "_lattica_marks", "_lattica_word_marks"
+#: Two 64-bit hashes of id and text, which tell rows of one id apart.
+_ROW = ("row", "row2")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """All columns (null text: empty), and a hash of id and text that tells rows of one id apart."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("text", text).withColumn(_ROW, F.xxhash64("text", F.col("doc_id").cast("long")))
+def _row_key() -> list:
+    return [F.xxhash64("text", "doc_id").alias(_ROW[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(_ROW[1])]
+
+
+def _row_ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(c)) for c in _ROW], 1)
+
+
+_PACKED = "bucket int, runs binary, row_ids binary, marks binary"
+
+
+def _packed(found: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Runs dealt by anchor: one record of those with equal bytes, which are marked here where there are several."""
+    bucket = (found["anchor"] % U64(buckets)).astype(np.int32)
+    order = np.lexsort((found["c2"], found["c1"], found["anchor"], bucket))
+    found, rows, bucket = found[order], rows[found["doc"][order]], bucket[order]
+    edge = np.flatnonzero(_changes(found, ("anchor", "c1", "c2")))
+    times = np.diff(np.append(edge, len(found)))
+    several = np.repeat(times > 1, times)
+    found["more"] = several
+    marks, marked_rows = _mark(found[several]), rows[several]
+    found, rows, bucket = found[edge], rows[edge], bucket[edge]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
+    to, ends = bucket[cut].tolist(), cut[1:] + [len(bucket)]
+    data, ids, none = [found[a:b].tobytes() for a, b in zip(cut, ends)], [rows[a:b].tobytes() for a, b in zip(cut, ends)], [None] * len(cut)
+    if len(marks):
+        to.append(int(marked_rows[0, 0] % buckets))
+        data, ids, none = [*data, None], [*ids, marked_rows.tobytes()], [*none, marks.tobytes()]
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(to, pa.int32()), "runs": pa.array(data, pa.binary()), "row_ids": pa.array(ids, pa.binary()), "marks": pa.array(none, pa.binary())})
+
+
+def _changes(records: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
+    out = np.ones(len(records), bool)
+    out[1:] = np.logical_or.reduce([records[n][1:] != records[n][:-1] for n in names])
+    return out
+
+
+def _mark(found: np.ndarray) -> np.ndarray:
+    out = np.empty(len(found), MARK)
+    out["start"], out["count"] = found["start"], found["count"]
+    return out
 
 
 def _dealt(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            found = runs(column_bytes(batch.column("text")), window, gram)
-            rows = np.asarray(batch.column("row").to_numpy())
-            bucket = (found["anchor"] % U64(buckets)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            found, cut = found[order], np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            b = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            data = [found[cut[k] : cut[k + 1]].tobytes() for k in b]
-            ids = [rows[found["doc"][cut[k] : cut[k + 1]]].tobytes() for k in b]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "runs": pa.array(data, pa.binary()), "row_ids": pa.array(ids, pa.binary())})
-
-    return docs.mapInArrow(runtime.trimmed(run), "bucket int, runs binary, row_ids binary")
-
-
-def _by_row(row: np.ndarray, records: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.argsort(row, kind="stable")
-    row, records = row[order], records[order]
-    edge = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
-    ends = np.append(edge[1:], len(row)).tolist()
-    return row[edge].tolist(), [records[a:b].tobytes() for a, b in zip(edge.tolist(), ends)]
-
-
-def _compared(table: pa.Table) -> pa.Table:
-    """Of one bucket of runs: those equal to another (marks), and one of each distinct run of a repeated anchor (asks)."""
-    found = np.concatenate([np.frombuffer(x, RUN) for x in table.column("runs").to_pylist()])
-    row = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("row_ids").to_pylist()])
+            if len(batch):
+                yield _packed(runs(column_bytes(batch.column("text")), window, gram), _row_ids(batch), buckets)
+
+    return docs.mapInArrow(runtime.trimmed(run), _PACKED)
+
+
+def _by_row(rows: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows, records = rows[order], records[order]
+    edge = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(1))) if len(rows) else np.empty(0, np.int64)
+    ends = np.append(edge[1:], len(rows)).tolist()
+    return rows[edge], [records[a:b].tobytes() for a, b in zip(edge.tolist(), ends)]
+
+
+_COMPARED = "row long, row2 long, marks binary, asks binary, hot boolean"
+
+
+def _compared(table: pa.Table, hot: int) -> pa.Table:
+    """Of one bucket of runs: those equal to another (marks), and one of each distinct run of a repeated anchor (asks).
+
+    Asks of anchors with more than ``hot`` distinct runs are told apart.
+    """
+    found = np.concatenate([np.empty(0, RUN), *(np.frombuffer(x, RUN) for x in table.column("runs").to_pylist() if x is not None)])
+    ids = [(r is not None, np.frombuffer(x, np.int64).reshape(-1, 2)) for r, x in zip(table.column("runs").to_pylist(), table.column("row_ids").to_pylist())]
+    row, known_row = (np.concatenate([np.empty((0, 2), np.int64), *(x for r, x in ids if r == of_runs)]) for of_runs in (True, False))
+    known = np.concatenate([np.empty(0, MARK), *(np.frombuffer(x, MARK) for x in table.column("marks").to_pylist() if x is not None)])
     order = np.lexsort((found["c2"], found["c1"], found["anchor"]))
     found, row = found[order], row[order]
-    new_anchor = np.append(True, found["anchor"][1:] != found["anchor"][:-1])
-    new_content = new_anchor | np.append(True, (found["c1"][1:] != found["c1"][:-1]) | (found["c2"][1:] != found["c2"][:-1]))
+    new_anchor = _changes(found, ("anchor",))
+    new_content = new_anchor | _changes(found, ("c1", "c2"))
     content = np.cumsum(new_content) - 1
     first = np.flatnonzero(new_content)
-    equal = np.bincount(content)[content] > 1
+    equal = (np.bincount(content, 1 + found["more"]) > 1)[content] & (found["more"] == 0)
     of_anchor = np.cumsum(new_anchor[first]) - 1
     kinds = np.bincount(of_anchor)[of_anchor]
-    rep = first[kinds > 1]
-    mark = np.empty(int(equal.sum()), MARK)
-    mark["start"], mark["count"] = found["start"][equal], found["count"][equal]
-    ask = np.empty(len(rep), ASK)
-    for name in ASK.names:
-        ask[name] = found[name][rep]
-    rows_m, marks = _by_row(row[equal], mark)
-    rows_a, asks = _by_row(row[rep], ask)
-    return pa.table({"row": pa.array(rows_m + rows_a, pa.int64()), "marks": pa.array(marks + [None] * len(asks), pa.binary()), "asks": pa.array([None] * len(marks) + asks, pa.binary())})
+    parts = [(*_by_row(np.concatenate([row[equal], known_row]), np.concatenate([_mark(found[equal]), known])), True, False)]
+    for rep, is_hot in ((first[(kinds > 1) & (kinds <= hot)], False), (first[kinds > hot], True)):
+        ask = np.empty(len(rep), ASK)
+        for name in ASK.names:
+            ask[name] = found[name][rep]
+        parts.append((*_by_row(row[rep], ask), False, is_hot))
+    keys = np.concatenate([p[0] for p in parts])
+    marks = [x if m else None for _, data, m, _ in parts for x in data]
+    asks = [None if m else x for _, data, m, _ in parts for x in data]
+    return pa.table({"row": pa.array(keys[:, 0]), "row2": pa.array(keys[:, 1]), "marks": pa.array(marks, pa.binary()), "asks": pa.array(asks, pa.binary()), "hot": pa.array([h for _, data, _, h in parts for _ in data], pa.bool_())})
+
+
+def windows(texts: list[bytes], asks: list[np.ndarray], window: int) -> np.ndarray:
+    """Each window of the asked runs as a run of its own, whose anchor is its own hash."""
+    doc, start, whole = [], [], []
+    for i, (text, own) in enumerate(zip(texts, asks)):
+        for _, a, count in own.tolist():
+            doc += [i] * count
+            start += range(a, a + count)
+            whole += [xxhash.xxh3_128_digest(text[k : k + window]) for k in range(a, a + count)]
+    out = np.zeros(len(start), RUN)
+    content = np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
+    out["doc"], out["start"], out["count"], out["anchor"], out["c1"], out["c2"] = doc, start, 1, content[:, 0], content[:, 0], content[:, 1]
+    return out
+
+
+def _dealt_windows(asked: DataFrame, buckets: int, window: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                asks = [np.concatenate([np.frombuffer(x, ASK) for x in own]) for own in batch.column("asks").to_pylist()]
+                yield _packed(windows(column_bytes(batch.column("text")), asks, window), _row_ids(batch), buckets)
+
+    return asked.mapInArrow(runtime.trimmed(run), _PACKED)
 
 
 def _texts_of_runs(table: pa.RecordBatch, shards: int, window: int) -> pa.RecordBatch:
     heads: dict[int, list[bytes]] = {}
     bodies: dict[int, list[bytes]] = {}
-    for row, text, asks in zip(table.column("row").to_pylist(), column_bytes(table.column("text")), table.column("asks").to_pylist()):
+    for row, text, asks in zip(_row_ids(table).tolist(), column_bytes(table.column("text")), table.column("asks").to_pylist()):
         for part in asks:
             for anchor, start, count in np.frombuffer(part, ASK).tolist():
                 s = anchor % shards
-                heads.setdefault(s, []).append(np.array([row, start, count], np.int64).tobytes())
+                heads.setdefault(s, []).append(np.array([*row, start, count], np.int64).tobytes())
                 bodies.setdefault(s, []).append(text[start : start + count + window - 1])
     keys = list(heads)
-    return pa.RecordBatch.from_pydict({"shard": pa.array(keys, pa.int32()), "heads": pa.array([b"".join(heads[k]) for k in keys], pa.binary()), "body": pa.array([b"\xff".join(bodies[k]) for k in keys], pa.binary())})
+    return pa.RecordBatch.from_pydict({"shard": pa.array(keys, pa.int64()), "heads": pa.array([b"".join(heads[k]) for k in keys], pa.binary()), "body": pa.array([b"\xff".join(bodies[k]) for k in keys], pa.binary())})
 
 
 def repeated_starts(texts: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
@@ -182,12 +248,12 @@ def repeated_starts(texts: list[bytes], counts: np.ndarray, window: int) -> list
 
 
 def _shard_marks(table: pa.Table, window: int) -> pa.Table:
-    head = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in table.column("heads").to_pylist()])
+    head = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in table.column("heads").to_pylist()])
     bodies: list[bytes] = []
     for data in table.column("body").to_pylist():
         bodies += data.split(b"\xff")
     rows, marks = [], []
-    for (row, start, _), hit in zip(head.tolist(), repeated_starts(bodies, head[:, 2], window)):
+    for (*row, start, _), hit in zip(head.tolist(), repeated_starts(bodies, head[:, 3], window)):
         if len(hit):
             edge = np.flatnonzero(np.append(True, np.diff(hit) > 1))
             got = np.empty(len(edge), MARK)
@@ -195,43 +261,52 @@ def _shard_marks(table: pa.Table, window: int) -> pa.Table:
             got["count"] = np.diff(np.append(edge, len(hit)))
             rows.append(row)
             marks.append(got.tobytes())
-    return pa.table({"row": pa.array(rows, pa.int64()), "marks": pa.array(marks, pa.binary())})
+    return pa.table({"row": pa.array([r[0] for r in rows], pa.int64()), "row2": pa.array([r[1] for r in rows], pa.int64()), "marks": pa.array(marks, pa.binary())})
 
 
 def _row_marks(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """The repeated window starts of ``rows(row, text)`` as packed marks."""
+    """The repeated window starts of ``rows(row, row2, text)`` as packed marks."""
     spark = rows.sparkSession
-    compared = runtime.stored(spark, _dealt(rows, buckets, window, gram).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_compared), "row long, marks binary, asks binary"), "runs")
+    run_bytes = window + (window - gram) // 2
+    compare = lambda df: runtime.stored(spark, df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_compared, SHARD_BYTES // run_bytes), _COMPARED), "runs")
+    compared = compare(_dealt(rows, buckets, window, gram))
     asked = compared.filter("asks IS NOT NULL")
-    volume = asked.agg(F.sum(F.length("asks"))).first()[0] or 0
-    shards = max(1, volume // ASK.itemsize * (window + (window - gram) // 2) // SHARD_BYTES)
+    volume = {r["hot"]: r["bytes"] for r in asked.groupBy("hot").agg(F.sum(F.length("asks")).alias("bytes")).collect()}
+    shards = max(1, volume.get(False, 0) // ASK.itemsize * run_bytes // SHARD_BYTES)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _texts_of_runs(batch, shards, window)
 
-    wanted = asked.groupBy("row").agg(F.collect_list("asks").alias("asks"))
-    carried = rows.join(wanted, "row").select("row", "text", "asks").mapInArrow(runtime.trimmed(carry), "shard int, heads binary, body binary")
-    from_shards = runtime.stored(spark, carried.repartition(min(shards, 8192), "shard").groupBy("shard").applyInArrow(runtime.lean(_shard_marks, window), "row long, marks binary"), "shard-marks")
-    return compared.filter("marks IS NOT NULL").select("row", "marks").unionByName(from_shards).groupBy("row").agg(F.collect_list("marks").alias("marks"))
+    def texts(hot: bool) -> DataFrame:
+        wanted = asked.filter(F.col("hot") == hot).groupBy(*_ROW).agg(F.collect_list("asks").alias("asks"))
+        return rows.join(wanted, [*_ROW]).select(*_ROW, "text", "asks")
+
+    carried = texts(False).mapInArrow(runtime.trimmed(carry), "shard long, heads binary, body binary")
+    from_shards = runtime.stored(spark, carried.repartition(shards, "shard").groupBy("shard").applyInArrow(runtime.lean(_shard_marks, window), "row long, row2 long, marks binary"), "shard-marks")
+    found = compared.filter("marks IS NOT NULL").select(*_ROW, "marks").unionByName(from_shards)
+    if volume.get(True):
+        found = found.unionByName(compare(_dealt_windows(texts(True), buckets, window)).filter("marks IS NOT NULL").select(*_ROW, "marks"))
+    return found.groupBy(*_ROW).agg(F.collect_list("marks").alias("marks"))
 
 
 def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = 0) -> DataFrame:
-    """``docs``, with the repeated window starts of each row as packed marks in a further column.
+    """``docs`` without its text as a struct ``doc``, its text (null: empty) as ``text``, and packed marks of its repeated window starts.
 
-    Where ``words`` is set, one more column marks the starts of repeated windows
-    of so many words, counted in letters of the coded text.
+    Where ``words`` is set, the column ``word_marks`` marks the starts of repeated
+    windows of so many words, counted in letters of the coded text.
     """
-    spark = docs.sparkSession
-    runtime.prepare(spark)
-    keyed = _keyed(docs)
-    buckets = min(max(4, runtime.input_splits(docs)), 8192)
-    rows = keyed.select(F.col(_ROW).alias("row"), "text")
-    marks = _row_marks(rows, buckets, window, gram).select(F.col("row").alias(_ROW), F.col("marks").alias(_MARKS))
+    runtime.prepare(docs.sparkSession)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc")
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), whole)
+    keyed = texts.select(*_row_key(), "text", "doc")
+    buckets = max(4, runtime.input_splits(docs))
+    rows = keyed.select(*_ROW, "text")
+    marks = _row_marks(rows, buckets, window, gram)
     if words:
         more = _row_marks(_coded(rows), buckets, words * CODE, min(GRAM_WORDS, -(-words // 2)) * CODE)
-        marks = marks.join(more.select(F.col("row").alias(_ROW), F.col("marks").alias(_WORD_MARKS)), _ROW, "full")
-    return keyed.join(marks, _ROW, "left")
+        marks = marks.join(more.withColumnRenamed("marks", "word_marks"), [*_ROW], "full")
+    return keyed.join(marks, [*_ROW], "left")
 
 
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -249,9 +324,9 @@ def _coded(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in chunks(column_bytes(batch.column("text"))):
-                yield pa.RecordBatch.from_pydict({"row": batch.column("row").slice(first, len(part)), "text": pa.array(coded(part), pa.binary()).cast(pa.string())})
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(part)) for c in _ROW), pa.array(coded(part), pa.binary()).cast(pa.string())], [*_ROW, "text"])
 
-    return rows.select("row", "text").mapInArrow(runtime.trimmed(run), "row long, text string")
+    return rows.select(*_ROW, "text").mapInArrow(runtime.trimmed(run), "row long, row2 long, text string")
 
 
 def spans(marks: list[bytes] | None, window: int) -> np.ndarray:
@@ -309,14 +384,15 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, marks in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), batch.column(_MARKS).to_pylist()):
+            for key, text, marks in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), batch.column("marks").to_pylist()):
                 cut = spans(marks, window)
                 rows.append((key, len(text), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(_rest(text, cut)).hexdigest()))
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked(docs.select(F.col("doc_id").cast("long"), "text"), window, gram).mapInArrow(runtime.trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = marked(docs.select(F.col("doc_id").cast("long"), "text"), window, gram).select("doc.doc_id", "text", "marks")
+    return whole.mapInArrow(runtime.trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = 0) -> DataFrame:
@@ -328,13 +404,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wor
     which no word remains have nothing left to train on and are dropped.
     """
     schema = docs.schema
+    names = [f"c{i}" for i in range(len(schema))]  # columns of docs may be called as those added here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = column_bytes(batch.column("text")), batch.column(_MARKS).to_pylist()
-            more = batch.column(_WORD_MARKS).to_pylist() if words else [None] * len(texts)
+            texts, marks = column_bytes(batch.column("text")), batch.column("marks").to_pylist()
+            more = batch.column("word_marks").to_pylist() if words else [None] * len(texts)
             rest = [_rest(t, _united(spans(m, window), word_spans(t, w, words))).decode("utf-8", "ignore") for t, m, w in zip(texts, marks, more)]
             new = {"text": pa.array(rest, pa.string()), "n_chars": pa.array([len(t) for t in rest], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c].cast(batch.column(c).type) if c in new else batch.column(c) for c in schema.names], schema.names).filter(pa.array([bool(t.strip()) for t in rest], pa.bool_()))
+            old = {c: batch.column(n) for c, n in zip(schema.names, names) if c != "text"}
+            yield pa.RecordBatch.from_arrays([new["text"] if c == "text" else new[c].cast(old[c].type) if c in new else old[c] for c in schema.names], schema.names).filter(pa.array([bool(t.strip()) for t in rest], pa.bool_()))
 
-    return marked(docs, window, gram, words).select(*schema.names, _MARKS, *[_WORD_MARKS] * bool(words)).mapInArrow(runtime.trimmed(run), schema)
+    whole = marked(docs, window, gram, words)
+    columns = [F.col("doc").getField(c).alias(n) for c, n in zip(schema.names, names) if c != "text"]
+    return whole.select(*columns, "text", "marks", *["word_marks"] * bool(words)).mapInArrow(runtime.trimmed(run), schema)

@@ -3,14 +3,19 @@
 Suffixes are classified as smaller or larger than their right neighbour;
 leftmost-smaller (LMS) substrings are sorted by inducing, named, and the string
 of names is sorted in turn; from the order of LMS suffixes all others are
-induced in two linear passes. A pass goes bucket by bucket, and all suffixes of
-a bucket induce at once, which keeps the order a sequential scan would give.
+induced in two linear passes. Over the few, large buckets of a byte string a pass
+goes bucket by bucket, and all suffixes of a bucket induce at once, which keeps the
+order a sequential scan would give; over the many buckets of a string of names it
+is that scan. The recursion ends where all names differ, whatever the alphabet.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Letters up to which a pass goes bucket by bucket.
+FEW_BUCKETS = 512
+
 
 def _induce(v: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """All suffixes in order, induced from ``lms`` suffixes in their order. ``v`` ends with a single 0."""
@@ -62,22 +67,33 @@ def _induce(v: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by doubling of ranks: the recursion's base for large alphabets."""
-    n = len(names)
-    rank, k = names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.append(False, key[1:] != key[:-1]).cumsum()
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        k *= 2
+def _induce_scan(v: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """The same order as ``_induce`` gives, by one scan in either direction, for many small buckets.
+
+    Buckets are ranges of one array, with a head and a tail for each; a scan
+    meets what it has itself put further on.
+    """
+    count = np.bincount(v, minlength=size)
+    tails = np.cumsum(count)
+    order = np.full(len(v), -1, np.int64)
+    at = lms[np.argsort(v[lms], kind="stable")]
+    own = np.bincount(v[at], minlength=size)
+    order[np.repeat(tails - np.cumsum(own), own) + np.arange(len(at))] = at
+    # the letter before each place if that suffix is larger, or smaller, than its right neighbour; else 0, as for -1
+    before = np.zeros((2, len(v) + 1), np.int64)
+    before[0, 1:-1], before[1, 1:-1] = np.where(smaller[:-1], 0, v[:-1]), np.where(smaller[:-1], v[:-1], 0)
+    out, larger, less = order.tolist(), before[0].tolist(), before[1].tolist()
+    head, tail = (tails - count).tolist(), tails.tolist()
+    for i in out:
+        if c := larger[i]:
+            k = head[c]
+            out[k] = i - 1
+            head[c] = k + 1
+    for i in reversed(out):
+        if c := less[i]:
+            tail[c] = k = tail[c] - 1
+            out[k] = i - 1
+    return np.array(out, np.int64)
 
 
 def _same_as_before(v: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -101,6 +117,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def _sorted(v: np.ndarray, size: int) -> np.ndarray:
+    """Order of the suffixes of ``v``, whose letters are below ``size`` and whose last one is a single 0."""
     n = len(v)
     if n == 1:
         return np.zeros(1, np.int64)
@@ -110,7 +127,8 @@ def _sorted(v: np.ndarray, size: int) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[1:] = smaller[1:] & ~smaller[:-1]
     lms = np.flatnonzero(is_lms)
-    order = _induce(v, lms, size)
+    induce = (lambda at: _induce(v, at, size)) if size <= FEW_BUCKETS else (lambda at: _induce_scan(v, smaller, at, size))
+    order = induce(lms)
     order = order[is_lms[order]]
     length = np.ones(n, np.int64)
     length[lms[:-1]] = np.diff(lms) + 1
@@ -118,11 +136,9 @@ def _sorted(v: np.ndarray, size: int) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         name_at = np.empty(n, np.int64)
         name_at[order] = names
-        reduced = name_at[lms]
         # the last name is the end mark's, the smallest and alone: the recursion's own end
-        inner = _sorted(reduced, int(names[-1]) + 1) if names[-1] < 512 else _doubled(reduced)
-        order = lms[inner]
-    return _induce(v, order, size)
+        order = lms[_sorted(name_at[lms], int(names[-1]) + 1)]
+    return induce(order)
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -93,6 +93,26 @@ def test_suffix_array_and_prefixes():
             assert before[c] == a and common[c] == k
 
 
+def test_suffix_array_recursion_on_real_text():
+    words = [f"w{i}e"[-1 - i % 5 :] for i in range(700)]
+    rnd = random.Random(12)
+    text = " ".join(rnd.choice(words[: rnd.choice([30, 700])]) for _ in range(9000)).encode() * 2
+    seen = []
+    real = suffix_array._sorted
+
+    def sort(v, size):
+        seen.append(size)
+        return real(v, size)
+
+    suffix_array._sorted, old = sort, real
+    try:
+        order = suffix_array.suffix_array(np.frombuffer(text, np.uint8))
+    finally:
+        suffix_array._sorted = old
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    assert len(seen) >= 3 and max(seen) > suffix_array.FEW_BUCKETS
+
+
 def brute_repeats(texts, window):
     count = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
     out = []
@@ -125,6 +145,36 @@ def test_repeats_match_brute_force(spark, window, gram):
     assert left.columns == docs.columns and all(r.text.strip() for r in left.collect())
 
 
+def test_repeats_of_a_hot_passage_and_clashing_names(spark, monkeypatch):
+    rnd = random.Random(31)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    hot = say(70)
+    texts = [say(rnd.randint(1, 30)) + hot + say(rnd.randint(1, 30)) for _ in range(80)] + [hot] * 12 + [say(100)] * 2
+    want = brute_repeats([t.encode() for t in texts], 40)
+    names = "doc_id long, text string, row long, row2 string, marks string, doc string, c0 string"
+    docs = spark.createDataFrame([(i, t, 1, "a", "b", "c", "d") for i, t in enumerate(texts)], names).repartition(3)
+    monkeypatch.setattr(repeat_spans, "SHARD_BYTES", 400)  # more distinct runs of an anchor than fill a shard
+    seen = []
+    real = repeat_spans._dealt_windows
+    monkeypatch.setattr(repeat_spans, "_dealt_windows", lambda *a: seen.append(1) or real(*a))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.report(docs, 40, 16).collect()}
+    assert got == dict(enumerate(want)) and seen
+    left = repeat_spans.without_repeats(docs, 40, 16)
+    assert left.schema == docs.schema and all(r[2:] == (1, "a", "b", "c", "d") for r in left.collect())
+
+
+def test_repeats_in_a_very_long_text(spark, monkeypatch):
+    rnd = random.Random(32)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    monkeypatch.setattr(repeat_spans, "SEGMENT", 3000)
+    passages = [say(n) for n in (300, 399, 400, 401, 900)]
+    texts = [say(2700) + "".join(p + say(150) for p in passages) + say(9000), *(say(50) + p + say(60) for p in passages)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.report(docs).collect()}
+    want = brute_repeats([t.encode() for t in texts], 400)
+    assert got == dict(enumerate(want)) and [w[1] >= 400 for w in want[1:]] == [False, False, True, True, True]
+
+
 def test_repeats_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert repeat_spans.report(empty).count() == 0 and repeat_spans.without_repeats(empty).count() == 0
