@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (seconds a document) and selectivity (share of documents it
-rejects) are estimated on a sample, and the rules then run in order of
-rejection per cost; a document that a rule rejects is not measured again. The
-order changes the cost only: a document is kept if no rule rejects it.
+Each rule's cost (seconds a document, with the statistics that it needs first) and
+selectivity (share of documents it rejects) are estimated on a sample, and the
+rules then run in order of rejection per cost; a document that a rule rejects is
+not measured again. The order changes the cost only: a document is kept if no rule
+rejects it. So each task draws its own sample from the rows that it has anyway:
+nothing is read twice, and no sample travels.
 """
 
 from __future__ import annotations
@@ -43,8 +45,14 @@ RULES = (
     Rule("exclaiming", "bytes", lambda m: 25 * m["exclaim"] > m["word_chars"]),
     Rule("digits", "bytes", lambda m: 2 * m["digit"] > m["word_chars"]),
     Rule("repeated_lines", "lines", lambda m: 10 * m["n_dup_lines"] > 4 * m["n_lines"]),
+    Rule("letterless", "letters", lambda m: 2 * m["letterless"] > m["words"]),
+    Rule("one_word", "top", lambda m: 10 * m["top"] > 4 * m["words"]),
+    Rule("lists", "marks", lambda m: (m["lines"] >= 5) & (10 * m["listed"] > 9 * m["lines"])),
+    Rule("cut_lines", "marks", lambda m: (m["lines"] >= 5) & (10 * m["cut_short"] > 4 * m["lines"])),
 )
-SAMPLE_DOCS = 2000
+#: Statistics that the base counts need for every document.
+BASE_GROUPS = ("bytes", "words", "lines")
+SAMPLE_DOCS = 64
 
 
 def cascade(texts: list[bytes], rules: tuple[Rule, ...], order: list[int], measures: Measures | None = None) -> np.ndarray:
@@ -60,49 +68,62 @@ def cascade(texts: list[bytes], rules: tuple[Rule, ...], order: list[int], measu
     return kept
 
 
-def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE_DOCS) -> list[int]:
-    """Order of the rules by rejection per cost, from a sample of ``docs``.
+def plan(texts: list[bytes], rules: tuple[Rule, ...] = RULES, made: tuple[str, ...] = (), sample: int = SAMPLE_DOCS) -> list[int]:
+    """Order of the rules by rejection per cost, from a sample drawn evenly from ``texts``.
 
-    The sample's texts stay on the executors; the driver gets one row a rule
-    and batch.
+    The next rule is the one that rejects most of what is left for its cost. A
+    group of statistics is paid for by the first rule that needs it; those in
+    ``made`` are there already.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = column_bytes(batch.column("text"))
-            rows, seconds, rejected = np.arange(len(texts)), [], []
-            for rule in rules:
-                began = time.perf_counter()
-                rejected.append(int(rule.rejects(Measures(texts).get(rule.group, rows)).sum()) if texts else 0)
-                seconds.append(time.perf_counter() - began)
-            yield pa.RecordBatch.from_pydict({"rule": pa.array(range(len(rules)), pa.int32()), "seconds": seconds, "rejected": pa.array(rejected, pa.int64())})
-
-    picked = docs.select("text").limit(sample)
-    seen = {r["rule"]: r for r in picked.mapInArrow(runtime.trimmed(run), "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()}
-    if not seen:
+    if not texts:
         return list(range(len(rules)))
-    return sorted(range(len(rules)), key=lambda k: (-(seen[k]["rejected"] + 0.5) / max(seen[k]["seconds"], 1e-9), k))
+    rows = np.unique(np.linspace(0, len(texts) - 1, min(sample, len(texts))).astype(np.int64))
+    picked = [texts[i] for i in rows.tolist()]
+    everyone, group_cost, rule_cost, fails = np.arange(len(picked)), {}, [], []
+    m = Measures(picked)
+    for rule in rules:
+        began = time.perf_counter()
+        got = m.get(rule.group, everyone)
+        if rule.group not in group_cost:
+            group_cost[rule.group] = time.perf_counter() - began
+        began = time.perf_counter()
+        fails.append(rule.rejects(got))
+        rule_cost.append(time.perf_counter() - began)
+    order, left, paid = [], np.ones(len(picked), bool), set(made)
+    while len(order) < len(rules):
+        worth = {k: ((fails[k] & left).sum() + 0.5) / max(1e-9, rule_cost[k] + group_cost[rules[k].group] * (rules[k].group not in paid)) for k in range(len(rules)) if k not in order}
+        best = max(worth, key=lambda k: (worth[k], -k))
+        order.append(best)
+        left &= ~fails[best]
+        paid.add(rules[best].group)
+    return order
 
 
 def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document: the base counts, whether the base rules fail it, and whether it is kept.
 
+    The base counts are made for every document; the cascade runs on those that
+    the base rules pass, and makes further statistics only for what is left.
     Null text has no words and is rejected. Rows stand alone, so ties, repeated
-    ids and further columns of ``docs`` change nothing.
+    ids and rows, and further columns of ``docs`` change nothing; very long texts
+    are measured whole, one at a time; an empty table gives no rows.
     """
-    order = plan(docs, rules)
-    rest = [k for k in order if rules[k] not in BASE_RULES]
+    runtime.prepare(docs.sparkSession)
+    rest = tuple(r for r in rules if r not in BASE_RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order: list[int] = []
         for batch in batches:
             texts = column_bytes(batch.column("text"))
+            if not order and texts:
+                order = plan(texts, rest, BASE_GROUPS)
             for first, part in chunks(texts):
                 m, rows = Measures(part), np.arange(len(part))
                 b, w, li = m.get("bytes", rows), m.get("words", rows), m.get("lines", rows)
                 failed = np.logical_or.reduce([r.rejects(w) for r in BASE_RULES])
                 kept = ~failed
                 passing = _Rows(m, np.flatnonzero(kept))
-                kept[kept] = cascade(passing.texts, rules, rest, passing)
+                kept[kept] = cascade(passing.texts, rest, order, passing)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(first, len(part)),
                     "n_words": pa.array(w["n_words"], pa.int64()), "word_chars": pa.array(b["word_chars"], pa.int64()),
@@ -124,13 +145,16 @@ class _Rows(Measures):
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
-    order = plan(docs, rules)
+    """The documents that no rule rejects, with all their columns (null text: rejected)."""
+    runtime.prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order: list[int] = []
         for batch in batches:
             texts = column_bytes(batch.column(at))
+            if not order and texts:
+                order = plan(texts, rules)
             kept = [cascade(part, rules, order) for _, part in chunks(texts)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
 

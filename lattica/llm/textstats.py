@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textblocks import U64, Words, mix64
+from .textblocks import IS_SPACE, U64, Words, joined, mix64
 
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: What list items begin with, and cut lines end in.
+LIST_MARKS, ELLIPSES = (b"-", b"*", "•".encode()), (b"...", "…".encode())
 _NAMES = ("inner", "upper", "lower", "digit", "symbol", "exclaim", "stop", "comma", "bar", "blank", "newline", "other_space", "wide", "control", "punct", "quote")
 _CLASS = np.full(256, _NAMES.index("punct"), np.int64)
 _CLASS[:32] = _NAMES.index("control")
@@ -69,7 +71,43 @@ def line_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"n_lines": out[:, 0], "n_dup_lines": out[:, 1], "longest_line": out[:, 2]}
 
 
-GROUPS = {"bytes": byte_counts, "words": word_counts, "lines": line_counts}
+_IS_LETTER = np.zeros(256, np.int64)
+_IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def letter_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Per text: words, and those of them without an ASCII letter or a wider character."""
+    buf, first, _ = joined(texts)
+    edge = np.diff(np.concatenate([[0], (~IS_SPACE[buf]).astype(np.int8), [0]]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    letters = np.concatenate([[0], np.cumsum(_IS_LETTER[buf])])
+    without = np.concatenate([[0], np.cumsum(letters[end] == letters[start])])
+    cut = np.append(np.searchsorted(start, first), len(start))
+    return {"words": np.diff(cut), "letterless": without[cut[1:]] - without[cut[:-1]]}
+
+
+def top_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Per text: words, and how often its most frequent word stands there."""
+    words = Words(texts, lower=False)
+    doc = np.repeat(np.arange(len(texts)), words.count)
+    own = words.hash ^ mix64(doc.astype(U64) + U64(1))
+    order = np.argsort(own)
+    edge = np.flatnonzero(np.append(True, own[order[1:]] != own[order[:-1]])) if len(own) else np.empty(0, np.int64)
+    top = np.zeros(len(texts), np.int64)
+    np.maximum.at(top, doc[order[edge]], np.diff(np.append(edge, len(own))))
+    return {"words": words.count, "top": top}
+
+
+def mark_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Per text: lines with a word, those that begin with a list mark, and those that end in an ellipsis."""
+    out = np.zeros((len(texts), 3), np.int64)
+    for i, t in enumerate(texts):
+        lines = [x for line in t.split(b"\n") if (x := line.strip())]
+        out[i] = len(lines), sum(x.startswith(LIST_MARKS) for x in lines), sum(x.endswith(ELLIPSES) for x in lines)
+    return {"lines": out[:, 0], "listed": out[:, 1], "cut_short": out[:, 2]}
+
+
+GROUPS = {"bytes": byte_counts, "words": word_counts, "lines": line_counts, "letters": letter_counts, "top": top_counts, "marks": mark_counts}
 
 
 class Measures:
