@@ -9,6 +9,10 @@ Candidates must pass that test under each of these orders:
 2. by hash, with shingles that occur once before all others;
 3. by another hash, likewise.
 
+A join of prefixes under order 1 makes the pairs; a join with the prefixes under
+orders 2 and 3 leaves those that share a token in every one. Only then do the
+whole sets travel to be verified.
+
 Documents with equal sets form a class first, and all that follows works on
 classes, so copies never meet in pairs. Shingles that occur in one class only
 match nothing; a class of which fewer than ``t |A|`` shingles occur elsewhere has
@@ -63,14 +67,14 @@ def _class_key(s: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, how: Similarity) -> DataFrame:
-    """Per document: the size of its shingle set and the key of the set."""
+    """Per document: a hash of its text, the size of its shingle set and the key of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = distinct_shingles(column_bytes(batch.column("text")), how.words)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array([_class_key(s) for s in sets], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array([_class_key(s) for s in sets], pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, n long, key long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, row long, n long, key long")
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -84,6 +88,14 @@ def _unpack(data: bytes | memoryview) -> np.ndarray:
     return out.view(U64).ravel()
 
 
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket by hash bits; the upper ones of a token, which don't travel, serve for up to 2**14 buckets."""
+    upper = tokens >> U64(8 * _TOKEN_BYTES)
+    if buckets > 1 << 14:  # 16 bits don't deal evenly to so many
+        upper = mix64(tokens)
+    return (upper % U64(buckets)).astype(np.int64 if buckets > 1 << 16 else np.uint16)
+
+
 def _blocks(docs: DataFrame, how: Similarity, buckets: int) -> DataFrame:
     """Shingles dealt by hash, as packed blocks: class keys, set sizes, counts, then tokens."""
 
@@ -99,18 +111,14 @@ def _blocks(docs: DataFrame, how: Similarity, buckets: int) -> DataFrame:
                 keys = np.array([k for k, _ in sets], np.int64)
                 sizes = np.array([n for _, n in sets], np.uint32)
                 tokens = np.concatenate(list(sets.values()))
-                bucket = ((tokens >> U64(48)) % U64(buckets)).astype(np.uint16)
+                bucket = _bucket(tokens, buckets)
                 owner = np.repeat(np.arange(len(keys), dtype=np.int64), sizes)
                 order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows_b, rows_p = [], []
-                for b in range(buckets):
-                    part = order[cut[b] : cut[b + 1]]
-                    if not len(part):
-                        continue
+                for b, part in zip(*_runs(bucket[order], order)):
                     counts = np.bincount(owner[part], minlength=len(keys))
                     have = np.flatnonzero(counts)
-                    rows_b.append(b)
+                    rows_b.append(int(b))
                     rows_p.append(struct.pack(_HEAD, len(have), len(part)) + keys[have].tobytes() + sizes[have].tobytes() + counts[have].astype("<u4").tobytes() + _pack(tokens[part]))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows_b, pa.int32()), "payload": pa.array(rows_p, pa.binary())})
 
@@ -191,10 +199,14 @@ def _prefixes(table: pa.Table, how: Similarity) -> pa.Table:
         if length < 1:
             continue
         first = np.lexsort((token, df))[:length]
-        rows.append((k, n, len(token), _pack(np.sort(token)), _bitmap(token), token[first].astype(np.int64).tolist()))
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], ["key", "n", "shared", "tokens", "bitmap", "prefix"])
+        rest = [_prefix(token, length, other).astype(np.uint32).view(np.int32).tolist() for other in (False, True)]
+        rows.append((k, n, len(token), _pack(np.sort(token)), _bitmap(token), token[first].astype(np.int64).tolist(), *rest))
+    cols = list(zip(*rows)) if rows else [[]] * 8
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in _CLASS.split(", ")])
+
+
+_CLASS = "key long, n long, shared long, tokens binary, bitmap array<long>, prefix array<long>, prefix2 array<int>, prefix3 array<int>"
 
 
 def _bitmap(tokens: np.ndarray) -> list[int]:
@@ -205,26 +217,31 @@ def _bitmap(tokens: np.ndarray) -> list[int]:
 
 
 def _prefix(tokens: np.ndarray, length: int, other: bool) -> np.ndarray:
+    """The first ``length`` tokens under order 2 or, if ``other``, order 3."""
     rank = mix64(tokens ^ U64(0xA0761D6478BD642F)) if other else tokens
-    return tokens if length >= len(tokens) else tokens[np.argpartition(rank, length - 1)[:length]] if other else tokens[:length]
+    return tokens if length >= len(tokens) else tokens[np.argpartition(rank, length - 1)[:length]]
 
 
 def verified(a: np.ndarray, n: int, b: np.ndarray, m: int, how: Similarity) -> bool:
-    """Orders 2 and 3, then the exact test, on the sorted shared tokens of two sets of sizes n and m."""
-    la, lb = (len(x) - int(how.least_shared(np.int64(k))) + 1 for x, k in ((a, n), (b, m)))
-    for other in (False, True):
-        if not np.isin(_prefix(a, la, other), _prefix(b, lb, other), assume_unique=True).any():
-            return False
+    """The exact test, on the sorted shared tokens of two sets of sizes n and m."""
     both = np.concatenate([a, b])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
     return how.denominator * shared >= how.numerator * (n + m - shared)
 
 
+def filtered(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` that share a prefix token under order 1, those that share one under orders 2 and 3, too."""
+    sides = [table.select(*(F.col(c).alias(f"{s}_{c}") for c in ("key", "prefix2", "prefix3"))) for s in "ab"]
+    joined = pairs.join(sides[0], pairs.a == F.col("a_key")).join(sides[1], pairs.b == F.col("b_key"))
+    return joined.filter(F.arrays_overlap("a_prefix2", "b_prefix2") & F.arrays_overlap("a_prefix3", "b_prefix3")).select("a", "b")
+
+
 def _verify(pairs: DataFrame, table: DataFrame, how: Similarity) -> DataFrame:
     """Of candidate ``pairs(a, b)`` of classes, those that link."""
+    pairs = filtered(pairs, table)
     sides = [table.select(*(F.col(c).alias(f"{s}_{c}") for c in ("key", "n", "tokens"))) for s in "ab"]
-    joined = pairs.join(sides[0], pairs.a == F.col("a_key")).join(sides[1], pairs.b == F.col("b_key"))
+    joined = pairs.join(sides[1], pairs.b == F.col("b_key")).join(sides[0], pairs.a == F.col("a_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +267,10 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
     """
     spark = docs.sparkSession
     runtime.prepare(spark)
-    buckets = min(max(4, 2 * runtime.input_splits(docs)), 8192)
+    buckets = max(4, 2 * runtime.input_splits(docs))
     blocks = _blocks(docs, how, buckets)
     shared = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_shared, buckets), "bucket int, payload binary")
-    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_prefixes, how), "key long, n long, shared long, tokens binary, bitmap array<long>, prefix array<long>"), "classes")
+    table = runtime.stored(spark, shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_prefixes, how), _CLASS), "classes")
     postings = table.select("key", "n", "shared", F.posexplode("prefix").alias("pos", "token"))
     num, den = how.numerator, how.denominator
     # what two sets share is bounded by what each shares with anyone
@@ -275,6 +292,8 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = runtime.stored(spark, pairs, "pairs")
+        if pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = runtime.stored(spark, _verify(pairs, table, how), "similar")
         links = new if links is None else links.unionByName(new)
@@ -300,10 +319,27 @@ def class_links(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFr
     ahead = F.least(F.col("shared") - F.col("pos"), F.col("m_shared") - F.col("o_pos")) * (num + den) >= (F.col("n") + F.col("m")) * num
     met = one.join(other, ["token", "band"]).filter((F.col("root") != F.col("o_root")) & fits & ahead & close)
     rest = met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
-    new = runtime.stored(spark, _verify(rest.join(tried, ["a", "b"], "left_anti"), table, how), "similar")
-    if new.isEmpty():
-        return links, roots
-    return links.unionByName(new), extended(roots, new)
+    rest = runtime.stored(spark, rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        new = runtime.stored(spark, _verify(rest, table, how), "similar")
+        links, roots = (new if links is None else links.unionByName(new)), extended(roots, new)
+    if links is None:
+        return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+    return links, roots
+
+
+def _labelled(docs: DataFrame, how: Similarity) -> DataFrame:
+    """``classes``, with the smallest ``doc_id`` that each document is linked to."""
+    spark = docs.sparkSession
+    own = runtime.stored(spark, classes(docs, how), "class-keys")
+    _, roots = class_links(docs, how)
+    full = own.filter("n > 0")
+    smallest = full.groupBy("key", "n").agg(F.min("doc_id").alias("least"))
+    smallest = runtime.stored(spark, smallest.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "least")
+    # stored by itself, so that a large component's rows may be split in the join
+    by_root = runtime.stored(spark, smallest.groupBy("root").agg(F.min("least").alias("component_id")), "by-root")
+    named = runtime.stored(spark, smallest.join(by_root, "root").select("key", "n", "component_id"), "named")
+    return full.join(named, ["key", "n"]).unionByName(own.filter("n = 0").withColumn("component_id", F.col("doc_id")))
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -312,27 +348,23 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
     Words are split at ASCII white space after lower-casing A-Z. A document of
     fewer words than a shingle has its whole word sequence as one shingle; one
     without words (or null) has none and stays alone. Repeated rows and equal
-    ids are rows of one class; a null ``doc_id`` names no component.
+    ids are rows of one class; a null ``doc_id`` names no component. Very long
+    texts are one row of tokens; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    own = runtime.stored(spark, classes(docs, how), "class-keys")
-    _, roots = class_links(docs, how)
-    full = own.filter("n > 0")
-    smallest = full.groupBy("key", "n").agg(F.min("doc_id").alias("least"))
-    smallest = smallest.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    by_root = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = runtime.stored(spark, smallest.join(by_root, "root").select("key", "n", "component_id"), "named")
-    joined = full.join(named, ["key", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return _labelled(docs, how).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """Documents whose ``doc_id`` names their component, all columns kept; one row where that id repeats.
+    """Documents whose ``doc_id`` names their component, all columns kept.
 
-    Documents without words are not linked with anything, so each stays; so do
-    rows without a ``doc_id``, which cannot name a component.
+    Of rows that share this ``doc_id`` and their shingles one stays; unlike texts
+    of one ``doc_id`` each stay. Documents without words are not linked with
+    anything, so each stays (once, where id and text repeat); so do rows without
+    a ``doc_id``, which cannot name a component.
     """
-    found = near_duplicates(docs, how)
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_shingles"))
-    out = docs.join(keep.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return out.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = _labelled(docs, how).filter("doc_id = component_id")
+    keep = found.groupBy("doc_id", "key", "n", F.when(F.col("n") == 0, F.col("row")).alias("own")).agg(F.min("row").alias("row"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    keyed = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), whole)
+    kept = keyed.join(keep.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return kept.select("doc.*").unionByName(docs.filter(F.col("doc_id").isNull()))
