@@ -22,6 +22,8 @@ from .textblocks import U64, Words, chunks, column_bytes, mix64
 
 #: Words of a seed and of the shortest tile; covered share of an item that counts; bytes of benchmark text broadcast at a time.
 LEAST, SHARE, PART_BYTES = 5, 0.5, 16 << 20
+#: Parts of the benchmark that one pass over the documents looks for.
+PARTS_AT_ONCE = 3
 #: Punctuation is read as white space.
 _AS_WORDS = bytes(32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c for c in range(256))
 _RADIX = 0x9E3779B97F4A7C15 | 1
@@ -135,45 +137,79 @@ def matches(texts: list[bytes], bench: Seeds, least: int = LEAST) -> list[tuple[
     return out
 
 
+def _parts(benchmark: DataFrame, least: int) -> Iterator:
+    """The benchmark's seeds as broadcasts of about ``PART_BYTES`` of text each, made when asked for."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    for part in range(parts):
+        rows = benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)).select(F.col("item_id").cast("long"), "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(seeds([r["item_id"] for r in rows], [r["text"].encode() for r in rows], least))
+
+
+_FOUND = "doc_id long, row long, row2 long, coverage double, best_item long, n_tiles int, n_items int"
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """Per document row: the best covered item, its share and tiles, and the number of items met.
 
     The benchmark is broadcast in parts of at most about ``PART_BYTES`` of text,
     one pass over ``docs`` for each, so no part outgrows a worker. Null or empty
-    texts and items match nothing; among equal shares the smallest item id wins.
+    texts and items match nothing; among equal shares the smallest item id wins;
+    repeated items are items of their own, and repeated rows of ``docs`` each
+    give a row. An item of fewer than ``least`` words is found as a whole, so one
+    of a single word is met in every text that has this word. Very long texts are
+    one row; empty tables give no rows or no matches.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    found = None
-    for part in range(parts):
-        rows = benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)).select(F.col("item_id").cast("long"), "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(seeds([r["item_id"] for r in rows], [r["text"].encode() for r in rows], least))
+    runtime.prepare(docs.sparkSession)
+    found, parts = None, 0
+    for shared in _parts(benchmark, least):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, texts in chunks(column_bytes(batch.column("text"))):
-                    best: dict[int, tuple[float, int, int, int]] = {}
+                    best: dict[int, tuple[float, int, int]] = {}
                     met: dict[int, int] = {}
                     for t, k, share, n in matches(texts, shared.value, least):
                         item = shared.value.ids[k]
                         met[t] = met.get(t, 0) + 1
                         if t not in best or (-share, item) < (-best[t][0], best[t][1]):
-                            best[t] = share, item, n, 0
-                    got = [best.get(t, (0.0, None, 0, 0)) for t in range(len(texts))]
+                            best[t] = share, item, n
+                    got = [best.get(t, (0.0, None, 0)) for t in range(len(texts))]
                     cols = [batch.column(c).slice(first, len(texts)) for c in batch.schema.names if c != "text"]
                     new = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32()), pa.array([met.get(t, 0) for t in range(len(texts))], pa.int32())]
                     yield pa.RecordBatch.from_arrays([*cols, *new], [*(c for c in batch.schema.names if c != "text"), "coverage", "best_item", "n_tiles", "n_items"])
 
-        got = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id").alias("row"), "text").mapInArrow(runtime.trimmed(run), "doc_id long, row long, coverage double, best_item long, n_tiles int, n_items int")
-        found = got if found is None else found.unionByName(got)
+        keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id").alias("row"), F.xxhash64(F.lit(1), "doc_id", "text").alias("row2"), "text")
+        got = keyed.mapInArrow(runtime.trimmed(run), _FOUND)
+        found, parts = got if found is None else found.unionByName(got), parts + 1
     if parts > 1:  # rows of one id and text share a key; each part has as many of them
         best = F.max_by(F.struct("best_item", "n_tiles"), F.struct("coverage", -F.col("best_item")))
-        found = found.groupBy("doc_id", "row").agg(F.max("coverage").alias("coverage"), best.alias("b"), F.sum("n_items").cast("int").alias("n_items"), (F.count("*") / parts).cast("int").alias("times"))
-        found = found.select("doc_id", "row", "coverage", "b.best_item", "b.n_tiles", "n_items", F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
+        found = found.groupBy("doc_id", "row", "row2").agg(F.max("coverage").alias("coverage"), best.alias("b"), F.sum("n_items").alias("met"), F.count("*").alias("rows"))
+        times = F.explode(F.sequence(F.lit(1), (F.col("rows") / parts).cast("int"))).alias("time")
+        met = (F.col("met") * parts / F.col("rows")).cast("int").alias("n_items")
+        found = found.select("doc_id", "row", "row2", "coverage", "b.best_item", "b.n_tiles", met, times).drop("time")
     return found
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept."""
-    bad = overlaps(docs, benchmark, least).filter(F.col("coverage") >= share).select(F.col("row").alias("_lattica_row")).distinct()
-    return docs.withColumn("_lattica_row", F.xxhash64("text", F.col("doc_id").cast("long"))).join(bad, "_lattica_row", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, all columns kept.
+
+    Each part of the benchmark filters the rows where they are; nothing is
+    joined. After every few parts what is left is stored, so that few parts are
+    in a worker's memory at a time.
+    """
+    runtime.prepare(docs.sparkSession)
+    at, schema = docs.columns.index("text"), docs.schema
+    for n, shared in enumerate(_parts(benchmark, least)):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                for first, texts in chunks(column_bytes(batch.column(at))):
+                    clean[[first + t for t, _, covered, _ in matches(texts, shared.value, least) if covered >= share]] = False
+                yield batch.filter(pa.array(clean))
+
+        if n and n % PARTS_AT_ONCE == 0:
+            docs = runtime.stored(docs.sparkSession, docs, "clean")
+        docs = docs.mapInArrow(runtime.trimmed(run), schema)
+    return docs
