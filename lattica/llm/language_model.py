@@ -49,11 +49,16 @@ def pairs(token: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> U64(48)) % U64(buckets)).astype(np.int64)
+    """By the upper bits, which don't travel with a pair; by all of them where those are too few."""
+    return ((h >> U64(48) if buckets <= 1 << 14 else mix64(h)) % U64(buckets)).astype(np.int64)
 
 
-def _cuts(bucket: np.ndarray, buckets: int) -> list[int]:
-    return np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+def _cuts(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(bucket, np.arange(buckets + 1))
+
+
+def _by(bucket: np.ndarray) -> np.ndarray:
+    return np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
 
 
 class Items:
@@ -68,15 +73,19 @@ class Items:
         teaches = np.repeat(train, self.count)
         kinds, at = np.unique(token, return_inverse=True)
         bucket = _bucket(kinds, buckets)
-        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        order = _by(bucket)
         self.kind, self.kind_cut, self.at = kinds[order], _cuts(bucket[order], buckets), _inverse(order)[at]
         self.learned = np.bincount(self.at[teaches], minlength=len(kinds))
         pair, back = np.unique(pairs(token, self.count), return_inverse=True)
         times = np.bincount(back[teaches], minlength=len(pair))
         bucket = _bucket(pair, buckets)
-        order = np.argsort((bucket * 4 + np.minimum(times, 2)).astype(np.uint16), kind="stable")
+        order = _by(bucket * 4 + np.minimum(times, 2))
         self.pair, self.pair_cut, self.back, self.times = pair[order], _cuts(bucket[order], buckets), _inverse(order)[back], times[order]
 
+    def filled(self) -> list[int]:
+        """Buckets into which something falls."""
+        return np.flatnonzero((np.diff(self.kind_cut) > 0) | (np.diff(self.pair_cut) > 0)).tolist()
+
     def dealt(self, b: int) -> bytes:
         """What bucket ``b`` gets; empty where nothing falls into it."""
         k, p = slice(*self.kind_cut[b : b + 2]), slice(*self.pair_cut[b : b + 2])
@@ -136,7 +145,7 @@ def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
             for i in range(len(batch)):
                 block, held, sizes, texts = (batch.column(c)[i].as_py() for c in ("block", "held", "sizes", "texts"))
                 items = Items(_texts_of(sizes, texts), ~np.array(held, bool), buckets)
-                sent = {b: data for b in range(buckets) if (data := items.dealt(b))}
+                sent = {b: items.dealt(b) for b in items.filled()}
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(sent), pa.int32()), "block": pa.array([block] * len(sent), pa.int64()), "items": pa.array(list(sent.values()), pa.binary())})
 
     return blocks.select("block", "held", "sizes", "texts").mapInArrow(runtime.trimmed(run), "bucket int, block long, items binary")
@@ -212,7 +221,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     runtime.prepare(spark)
-    buckets = min(max(4, runtime.input_splits(docs) * 3 // 2), 4096)
+    buckets = max(4, runtime.input_splits(docs) * 3 // 2)
     blocks = runtime.stored(spark, _blocks(keyed).withColumn("block", F.monotonically_increasing_id()), "blocks")
     met = runtime.stored(spark, _dealt(blocks, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met), _MET), "counts")
     n, v = (x or 0 for x in met.agg(F.sum("tokens"), F.sum("kinds")).first())
