@@ -29,6 +29,8 @@ MAGIC = b"LTKF1\0\0\0"
 _HEAD = struct.Struct("<8sQqB")
 #: Ids of a file, about: what a reader holds at once.
 FILE_IDS = 8_000_000
+#: Documents whose places are selected at a time.
+READ_DOCS = 4096
 
 
 def pack_file(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -37,21 +39,35 @@ def pack_file(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
     own = np.array(doc_ids[missing:], np.int64)
     base = int(own[0]) if len(own) else 0
     bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-    flat = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    if len(flat) and int(flat.max()) >> 8 * width:
+        raise ValueError(f"token id {flat.max()} needs more than {width} bytes")
+    flat = flat.astype(f"<u{width}")
     return _HEAD.pack(MAGIC, missing, base, width) + elias_fano.encode(bounds) + elias_fano.encode((own - base).astype(np.uint64)) + flat.tobytes()
 
 
 class TokenFile:
-    """An opened file: ``ids(i)`` are the token ids of its i-th document."""
+    """An opened file. Places are selected from the coded boundaries; no table of offsets is made.
+
+    ``doc_id(i)``, ``start(i)`` and ``ids(i)`` are of its i-th document.
+    """
 
     def __init__(self, data: bytes):
         magic, missing, base, self.width = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.bounds = elias_fano.Reader(data, _HEAD.size)
-        own = elias_fano.Reader(data, _HEAD.size + self.bounds.size)
-        self.doc_ids: list[int | None] = [None] * missing + (own.all() + base).tolist()
-        self.flat = np.frombuffer(data, f"<u{self.width}", offset=_HEAD.size + self.bounds.size + own.size)
+        self.own, self.missing, self.base = elias_fano.Reader(data, _HEAD.size + self.bounds.size), missing, base
+        self.flat = np.frombuffer(data, f"<u{self.width}", offset=_HEAD.size + self.bounds.size + self.own.size)
+
+    def __len__(self) -> int:
+        return self.missing + self.own.n
+
+    def doc_id(self, i: int) -> int | None:
+        return self.own[i - self.missing] + self.base if i >= self.missing else None
+
+    def start(self, i: int) -> int:
+        return self.bounds[i]
 
     def ids(self, i: int) -> np.ndarray:
         return self.flat[self.bounds[i] : self.bounds[i + 1]]
@@ -68,8 +84,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, drops_space
     """Write ``docs(doc_id, text)`` as token files in ascending ``doc_id`` order.
 
     Null text is empty (only the end id); documents without ``doc_id`` come
-    first. Equal ``doc_id`` values keep no order among themselves. Returns the
-    table of files: path, first ``doc_id``, documents and ids in it.
+    first. Equal ``doc_id`` values, repeated rows among them, keep no order among
+    themselves. A very long text stands in one file, whose size it sets; an empty
+    table gives no file. An id that does not fit in ``id_width`` bytes is an
+    error. Returns the table of files: path, first ``doc_id``, documents and ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +150,12 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                 store, inner = _open(path)
                 with store.open_input_stream(inner) as f:
                     t = TokenFile(f.read())
-                n = len(t.doc_ids)
-                wide = t.flat.astype("<u4").tobytes()
-                bounds = t.bounds.all()
-                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(t.doc_ids, pa.int64()), "start": pa.array(bounds[:n] + base), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64())})
+                for first in range(0, len(t), READ_DOCS):
+                    places = range(first, min(first + READ_DOCS, len(t)))
+                    starts = [t.start(i) for i in places] + [t.start(places[-1] + 1)]
+                    crc = [zlib.crc32(t.flat[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:])]
+                    bounds = np.array(starts, np.int64)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([t.doc_id(i) for i in places], pa.int64()), "start": pa.array(bounds[:-1] + base), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64())})
 
     return table.mapInArrow(runtime.trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -144,5 +163,5 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, drops_space: bool = True) -> DataFrame:
     """Write the files to the shared folder, then return what reading them gives."""
     spark = docs.sparkSession
-    folder = f"{runtime.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = runtime.folder(spark, "tokens")
     return read(spark, runtime.stored(spark, write(docs, folder, tokenizer, end_id, drops_space), "token-files"))
