@@ -64,7 +64,10 @@ def pack(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarra
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = LENGTH, drops_space: bool = False) -> DataFrame:
     """Token pieces of ``docs(doc_id, text)``: the ids and ``end_id``, cut where longer than ``size``.
 
-    The first piece of a cut document is the shorter one. Null text is empty.
+    The first piece of a cut document is the shorter one. Null text is empty and
+    gives the end id alone. Rows stand alone: those with one ``doc_id``, and
+    repeated ones, each give their own pieces, numbered from 0. Texts of any
+    length are encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,5 +136,11 @@ def pack_pieces(cut: DataFrame, size: int = LENGTH, group_pieces: int = GROUP_PI
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = LENGTH) -> DataFrame:
-    """Pack whole documents: one row per piece with its place."""
+    """Pack whole documents: one row per piece with its place.
+
+    Pieces of equal length are dealt with in order of document, piece and start.
+    Columns of ``docs`` other than ``doc_id`` and ``text`` are not looked at; an
+    empty table gives no rows.
+    """
+    runtime.prepare(docs.sparkSession)
     return pack_pieces(runtime.stored(docs.sparkSession, pieces(docs, tokenizer, end_id, size), "pieces"), size)

@@ -127,7 +127,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     """Score every document; ``labels(doc_id, quality)`` outside fold 0 of 5 teach the model.
 
     Several labels of one document count as one (the largest); null labels
-    don't count. The fit takes at most ``train_rows`` labelled rows.
+    don't count. The fit takes at most ``train_rows`` labelled rows. Null text is
+    empty and is scored like any other; rows with one ``doc_id`` are scored each
+    by its own text, and each of them learns from the id's label. Very long texts
+    are measured whole. Without labels every score is 0.5; without documents
+    there are no rows. Further columns are not looked at.
     """
     spark = docs.sparkSession
     table = runtime.stored(spark, measured(docs), "measured")

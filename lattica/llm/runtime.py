@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,11 +32,41 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     lost executor costs no recomputation of what came before.
     """
     prepare(spark)
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_folders: list[str] = []
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, for ``clear`` to delete."""
+    if not _folders:
+        atexit.register(clear)
+    _folders.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def clear() -> None:
+    """Delete all tables that ``stored`` has written in this session; DataFrames that read them end.
+
+    Called when the driver's Python ends; a long-lived driver may call it after
+    it has written its results.
+    """
+    spark = SparkSession.getActiveSession()
+    paths, _folders[:] = _folders[:], []
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone before the Python side
+        return
+
+
 #: Documents that a Python worker gets at a time.
 BATCH_ROWS = 2000
 

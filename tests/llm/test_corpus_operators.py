@@ -69,6 +69,41 @@ def test_near_duplicates_of_nothing(spark):
     assert jaccard_join.one_of_each(alone).count() == 3
 
 
+def test_one_of_each_tells_unlike_texts_of_one_id_apart(spark):
+    names = "doc_id long, text string, key long, row string, doc string"
+    rows = [(1, "a b c d e f"), (1, "A b c d e f"), (1, "something else that is said"), (2, "a b  c d e f"), (3, ""), (3, ""), (3, None), (4, "x y " * 60_000)]
+    docs = spark.createDataFrame([(*r, 7, "r", "d") for r in rows], names)
+    got = sorted((r.doc_id, (r.text or "").lower()[:9]) for r in jaccard_join.one_of_each(docs).collect())
+    assert got == [(1, "a b c d e"), (1, "something"), (3, ""), (3, ""), (4, "x y x y x")]
+    assert jaccard_join.one_of_each(docs).columns == docs.columns
+
+
+def test_filters_lose_no_link(spark):
+    rnd = np.random.default_rng(5)
+    how = jaccard_join.Similarity()
+    sets = [np.unique(rnd.integers(0, 400, rnd.integers(1, 90)).astype(U64)) for _ in range(60)]
+    sets += [np.unique(np.append(s[rnd.random(len(s)) > 0.1], rnd.integers(400, 500, 3).astype(U64))) for s in sets]
+    rows = []
+    for k, s in enumerate(sets):
+        length = max(1, len(s) - int(how.least_shared(np.int64(len(s)))) + 1)
+        rows.append((k, *(jaccard_join._prefix(s, length, other).astype(np.int32).tolist() for other in (False, True))))
+    table = spark.createDataFrame(rows, "key long, prefix2 array<int>, prefix3 array<int>")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    left = {(r.a, r.b) for r in jaccard_join.filtered(spark.createDataFrame(pairs, "a long, b long"), table).collect()}
+    links = {(i, j) for i, j in pairs if jaccard_join.verified(sets[i], len(sets[i]), sets[j], len(sets[j]), how)}
+    assert links <= left and len(links) > 20 and len(left) < len(pairs) / 2
+
+
+def test_shared_passage_makes_few_pairs(spark):
+    rnd = random.Random(77)
+    say = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    passage = say(70)
+    docs = spark.createDataFrame([(i, " ".join(passage + say(30))) for i in range(2000)], "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == set(range(2000))
+    links, roots = jaccard_join.class_links(docs)  # no pair of them, as none has enough that occurs elsewhere
+    assert links.count() == 0 and roots.count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(2, 40)]
@@ -224,6 +259,34 @@ def test_tiles_of_reordered_passages():
             assert max(k for *_, k in laid) == longest
 
 
+def plain_tiles(item, doc, least):
+    """Greedy string tiling as it is defined: all longest common runs of what is free, one after the other."""
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and free_i[i + k] and free_d[j + k] and item[i + k] == doc[j + k]:
+                    k += 1
+                best.append((-k, i, j))
+        if not best or -min(best)[0] < max(1, min(least, len(item))):
+            return out
+        k, i, j = min(best)
+        for d in range(-k):
+            free_i[i + d] = free_d[j + d] = False
+        out.append((i, j, -k))
+
+
+def test_tiles_match_the_definition():
+    rnd = random.Random(21)
+    for n in range(300):
+        words = 4 if n % 2 else 30
+        p = [rnd.randint(0, words) for _ in range(rnd.randint(0, 45))]
+        q = [rnd.randint(0, words) for _ in range(rnd.randint(0, 20))] + p[rnd.randint(0, 20) :] + p[: rnd.randint(0, 30)]
+        assert sorted(tiling.tiles(np.array(p, U64), np.array(q, U64), 3)) == sorted(plain_tiles(p, q, 3)), n
+
+
 def test_decontamination(spark, monkeypatch):
     rnd = random.Random(3)
     say = lambda n: [f"w{rnd.randint(0, 500)}" for _ in range(n)]
@@ -242,6 +305,13 @@ def test_decontamination(spark, monkeypatch):
     monkeypatch.setattr(tiling, "PART_BYTES", 300)  # several broadcasts
     parted = {r.doc_id: r for r in tiling.overlaps(docs, bench).collect()}
     assert {k: (r.best_item, r.coverage, r.n_items) for k, r in parted.items()} == {k: (r.best_item, r.coverage, r.n_items) for k, r in best.items()}
+    monkeypatch.setattr(tiling, "PARTS_AT_ONCE", 1)
+    assert sorted(r.doc_id for r in tiling.decontaminated(docs, bench).collect()) == want
+    monkeypatch.undo()
+    twice = tiling.overlaps(docs.unionByName(docs), bench)
+    assert twice.count() == 2 * len(texts) and tiling.decontaminated(docs.unionByName(docs), bench).count() == 2 * len(want)
+    long = spark.createDataFrame([(1, "some other words " * 40_000 + whole), (2, "some other words " * 40_000)], "doc_id long, text string")
+    assert [r.doc_id for r in tiling.decontaminated(long, bench).collect()] == [2]
     assert tiling.decontaminated(docs, bench.limit(0)).count() == len(texts) and tiling.decontaminated(docs.limit(0), bench).count() == 0
 
 
