@@ -6,13 +6,14 @@ adjacency counts shared vertices, and both are equi-joins on keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import numbering
 from ..model import Mesh
 from .fixpoint import store
+from .ranges import ranked
 
 
 def sub_entities(elements: DataFrame, dim: int, types: list[int] | None = None) -> DataFrame:
@@ -91,8 +92,10 @@ def create_missing(mesh: Mesh, sources: DataFrame, dim: int) -> Mesh:
     new = missing(mesh, sources, dim)
     last = {r["etype"]: r["last"] for r in mesh.elements.groupBy("etype").agg(F.max(model.id_of(F.col("handle"))).alias("last")).collect()}
     base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in last.items() for x in kv]), F.col("sub_etype")) if last else F.lit(None).cast("long"), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("sub_etype").orderBy("key"))
-    rows = new.select(model.handle(F.col("sub_etype"), base + rank).alias("handle"), F.col("sub_etype").cast(mesh.elements.schema["etype"].dataType).alias("etype"), "conn")
+    placed = ranked(new, ["sub_etype", "key"], "_n")
+    first = placed.groupBy("sub_etype").agg(F.min("_n").alias("_first"))
+    placed = placed.join(F.broadcast(first), "sub_etype")  # a row for each type
+    rows = placed.select(model.handle(F.col("sub_etype"), base + F.col("_n") - F.col("_first") + 1).alias("handle"), F.col("sub_etype").cast(mesh.elements.schema["etype"].dataType).alias("etype"), "conn")
     return mesh.with_(elements=mesh.elements.unionByName(store(mesh.spark, rows)))
 
 

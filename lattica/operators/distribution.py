@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..model import Mesh
 from . import adjacency
 from .fixpoint import store
+from .ranges import ranked
 
 # Status bits.
 NOT_OWNED, SHARED, MULTISHARED, INTERFACE, GHOST = 1, 2, 4, 8, 16
@@ -74,8 +75,10 @@ def bisect(points: DataFrame, levels: int) -> DataFrame:
         box = out.groupBy("part").agg(*((F.max(c) - F.min(c)).alias(f"w{c}") for c in "xyz"))
         wide = out.join(box, "part")
         key = F.when((F.col("wx") >= F.col("wy")) & (F.col("wx") >= F.col("wz")), F.col("x")).when(F.col("wy") >= F.col("wz"), F.col("y")).otherwise(F.col("z"))
-        half = F.ntile(2).over(Window.partitionBy("part").orderBy("_key", "handle")) - 1
-        out = wide.withColumn("_key", key).select("handle", "x", "y", "z", (F.col("part") * 2 + half).alias("part"))
+        placed = ranked(wide.select("handle", "x", "y", "z", "part", key.alias("_key")), ["part", "_key", "handle"], "_n")
+        each = placed.groupBy("part").agg(F.min("_n").alias("_first"), F.count("*").alias("_all"))
+        half = F.when((F.col("_n") - F.col("_first")) * 2 < F.col("_all"), 0).otherwise(1)
+        out = placed.join(F.broadcast(each), "part").select("handle", "x", "y", "z", (F.col("part") * 2 + half).alias("part"))  # a row for each part
     return out.select("handle", "part")
 
 
@@ -98,19 +101,12 @@ def curve_partition(points: DataFrame, parts: int, cell: float) -> DataFrame:
 
     Shares are taken from the ranks within ranges of the curve.
     """
-    from .ranges import index
-
     low = points.agg(*(F.min(c).alias(c) for c in "xyz")).first()
     code = z_order(*(F.floor((F.col(c) - F.lit(low[c])) / cell) for c in "xyz"))
     coded = points.select("handle", code.alias("code"))
     if parts <= 1:
         return coded.select("handle", F.lit(0).cast("long").alias("part"))
-    by_code = coded.groupBy("code").agg(F.count("*").alias("n"))
-    first = index(by_code.select(F.col("code").alias("handle")))
-    sums = by_code.join(first.withColumnRenamed("handle", "code"), "code").withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = coded.count()
-    within = F.row_number().over(Window.partitionBy("code").orderBy("handle")) - 1
-    return coded.withColumn("_k", within).join(sums.select("code", "before"), "code").select("handle", F.floor((F.col("before") + F.col("_k")) * parts / total).alias("part"))
+    return ranked(coded, ["code", "handle"], "_n").select("handle", F.floor(F.col("_n") * parts / coded.count()).alias("part"))
 
 
 def round_robin(elements: DataFrame, parts: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
@@ -112,4 +112,9 @@ def global_ids(entities: DataFrame, start: int = 1) -> DataFrame:
 
 def spread(values: DataFrame, parts: int) -> DataFrame:
     """Contiguous blocks of handles, ``(part, handle)``; the first ``n % parts`` blocks are one longer."""
-    return values.select((F.ntile(parts).over(Window.orderBy("handle")) - 1).alias("part"), "handle")
+    from .ranges import index
+
+    size, more = divmod(values.count(), parts)
+    at, long = F.col("index"), more * (size + 1)
+    part = F.when(at < long, F.floor(at / (size + 1))).otherwise(more + F.floor((at - long) / max(1, size)))
+    return index(values).select(part.alias("part"), "handle")

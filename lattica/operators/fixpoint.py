@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,10 +22,35 @@ def store(spark: SparkSession, df: DataFrame) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    if not _rounds:
+        atexit.register(clear)
+    _rounds.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_rounds: list[str] = []
+
+
+def clear() -> None:
+    """Delete all rounds that ``store`` has written in this session; DataFrames that read them end.
+
+    Called when the driver's Python ends; a long-lived driver may call it after
+    it has written its results.
+    """
+    spark = SparkSession.getActiveSession()
+    paths, _rounds[:] = _rounds[:], []
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone before the Python side
+        return
+
+
 def reach(start: DataFrame, edges: DataFrame, hops: int = 0) -> DataFrame:
     """Nodes reached over ``edges(src, dst)`` from ``start(node)``: ``(node, hop)``, start nodes at hop 0.
 
@@ -34,6 +60,7 @@ def reach(start: DataFrame, edges: DataFrame, hops: int = 0) -> DataFrame:
     spark = start.sparkSession
     from pyspark.sql import functions as F
 
+    edges = store(spark, edges.select("src", "dst"))  # what makes them runs once, not in every round
     seen = store(spark, start.select("node").distinct().withColumn("hop", F.lit(0)))
     front, hop = seen, 0
     while not (hops and hop >= hops):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
@@ -10,21 +10,22 @@ from ..functions import numbering
 from ..model import Mesh, MeshError
 from . import adjacency, skinning
 from .fixpoint import store
+from .ranges import ranked
 
 
 def create_vertices(mesh: Mesh, points: DataFrame) -> Mesh:
     """Add ``points(ord, x, y, z)``; ids follow the largest there is, in order of ``ord``."""
     last = mesh.vertices.agg(F.coalesce(F.max("handle"), F.lit(0)).alias("last"))
-    numbered = points.withColumn("_n", F.row_number().over(Window.orderBy("ord"))).crossJoin(F.broadcast(last))  # one row
-    return mesh.with_(vertices=mesh.vertices.unionByName(numbered.select((F.col("last") + F.col("_n")).alias("handle"), "x", "y", "z")))
+    numbered = ranked(points, ["ord"], "_n").crossJoin(F.broadcast(last))  # one row
+    return mesh.with_(vertices=mesh.vertices.unionByName(numbered.select((F.col("last") + F.col("_n") + 1).alias("handle"), "x", "y", "z")))
 
 
 def create_elements(mesh: Mesh, etype: int, conns: DataFrame) -> Mesh:
     """Add elements ``conns(ord, conn)`` of one type."""
     own = mesh.elements.filter(model.of_type(F.col("handle"), etype))
     last = own.agg(F.coalesce(F.max("handle"), F.lit(etype << model.SHIFT)).alias("last"))
-    numbered = conns.withColumn("_n", F.row_number().over(Window.orderBy("ord"))).crossJoin(F.broadcast(last))  # one row
-    rows = numbered.select((F.col("last") + F.col("_n")).alias("handle"), F.lit(etype).cast(mesh.elements.schema["etype"].dataType).alias("etype"), "conn")
+    numbered = ranked(conns, ["ord"], "_n").crossJoin(F.broadcast(last))  # one row
+    rows = numbered.select((F.col("last") + F.col("_n") + 1).alias("handle"), F.lit(etype).cast(mesh.elements.schema["etype"].dataType).alias("etype"), "conn")
     return mesh.with_(elements=mesh.elements.unionByName(rows))
 
 
@@ -149,8 +150,7 @@ def add_mid_edge_nodes(mesh: Mesh, dim: int) -> Mesh:
     for n in "ab":
         ends = ends.join(mesh.vertices.select(F.col("handle").alias(n), *(F.col(c).alias(f"{n}{c}") for c in "xyz")), n)
     last = mesh.vertices.agg(F.max("handle").alias("last"))
-    rank = F.row_number().over(Window.orderBy("key"))
-    mids = store(mesh.spark, ends.withColumn("_n", rank).crossJoin(F.broadcast(last)).select("key", (F.col("last") + F.col("_n")).alias("handle"), *(((F.col(f"a{c}") + F.col(f"b{c}")) / 2).alias(c) for c in "xyz")))  # one row
+    mids = store(mesh.spark, ranked(ends, ["key"], "_n").crossJoin(F.broadcast(last)).select("key", (F.col("last") + F.col("_n") + 1).alias("handle"), *(((F.col(f"a{c}") + F.col(f"b{c}")) / 2).alias(c) for c in "xyz")))  # one row
     extra = sub.join(mids.select("key", F.col("handle").alias("mid")), "key").groupBy(F.col("elem").alias("handle")).agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "mid"))), lambda s: s["mid"]).alias("extra"))
     elements = mesh.elements.join(extra, "handle", "left").select("handle", "etype", F.when(F.col("extra").isNull(), F.col("conn")).otherwise(F.concat("conn", "extra")).alias("conn"))
     return mesh.with_(vertices=mesh.vertices.unionByName(mids.select("handle", "x", "y", "z")), elements=elements)
@@ -171,10 +171,11 @@ def reorder(values: DataFrame, skip: int | None = None) -> DataFrame:
     handles that they held before.
     """
     free = values if skip is None else values.filter(F.col("value") != skip)
-    t = model.etype_of(F.col("entity"))
-    ranked = free.select(F.col("entity").alias("handle"), t.alias("t"), F.row_number().over(Window.partitionBy(t).orderBy("value", "entity")).alias("n"))
-    slots = free.select(F.col("entity").alias("new"), t.alias("t"), F.row_number().over(Window.partitionBy(t).orderBy("entity")).alias("n"))
-    return ranked.join(slots, ["t", "n"]).select("handle", "new")
+    free = free.select("entity", "value", model.etype_of(F.col("entity")).alias("t"))
+    # both lists go type by type and have as many of each, so equal ranks are of one type
+    by_value = ranked(free, ["t", "value", "entity"], "n").select(F.col("entity").alias("handle"), "n")
+    slots = ranked(free.select("t", "entity"), ["t", "entity"], "n").select(F.col("entity").alias("new"), "n")
+    return by_value.join(slots, "n").select("handle", "new")
 
 
 # uniform refinement ------------------------------------------------------------
@@ -206,7 +207,7 @@ def refine(mesh: Mesh, etype: int) -> Mesh:
     nodes = store(spark, nodes)
     fresh = nodes.select("key").distinct()
     last = mesh.vertices.agg(F.max("handle")).first()[0]
-    named = store(spark, fresh.withColumn("handle", (F.lit(last) + F.row_number().over(Window.orderBy(F.size("key"), "key"))).cast("long")))
+    named = store(spark, ranked(fresh.withColumn("_size", F.size("key")), ["_size", "key"], "_n").select("key", (F.lit(last) + F.col("_n") + 1).cast("long").alias("handle")))
     placed = named.select("handle", F.explode("key").alias("v")).join(mesh.vertices.withColumnRenamed("handle", "v"), "v").groupBy("handle").agg(*(F.avg(c).alias(c) for c in "xyz"))
     local = nodes.join(named, "key").groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "side", "handle"))), lambda s: s["handle"]).alias("mids"))
     whole = own.join(local, own.handle == local.elem).select("handle", F.concat("conn", "mids").alias("all"))

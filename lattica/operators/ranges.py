@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
+from .fixpoint import store
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -71,18 +72,23 @@ def contains(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.join(a, "handle", "left_anti").agg((F.count("*") == 0).alias("contains"))
 
 
-def _ranked(a: DataFrame, column: str, by: Column | None = None) -> DataFrame:
-    """Global rank from 0, without gathering all rows in one task.
+def ranked(df: DataFrame, by: list[str], column: str = "index") -> DataFrame:
+    """``df`` with the rank of each row, from 0, in order of some columns; no task sees all rows.
 
-    Handles are dealt into ranges; the sizes of the ranges (one row each) give
-    every range its first rank.
+    Rows are dealt into ranges and stored, so that the ranges are the same in
+    both uses; the sizes of the ranges (one row each) give every range its first
+    rank.
     """
-    parted = a.distinct().repartitionByRange("handle").withColumn("_part", F.spark_partition_id())
-    parted = parted.persist()  # the ids of the ranges must be the same in both uses
-    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"), F.min("handle").alias("_low"))
-    first = sizes.withColumn("_first", F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("handle")) - 1
-    return parted.withColumn("_own", own).join(F.broadcast(first.select("_part", F.coalesce("_first", F.lit(0)).alias("_first"))), "_part").select("handle", (F.col("_own") + F.col("_first")).cast("long").alias(column))
+    parted = store(df.sparkSession, df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    out = parted.withColumn("_own", own).join(F.broadcast(first.select("_part", "_first")), "_part")  # a row for each range
+    return out.withColumn(column, (F.col("_own") + F.col("_first")).cast("long")).drop("_part", "_own", "_first")
+
+
+def _ranked(a: DataFrame, column: str) -> DataFrame:
+    return ranked(a.select("handle").distinct(), ["handle"], column)
 
 
 def index(a: DataFrame) -> DataFrame:

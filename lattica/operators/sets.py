@@ -86,7 +86,8 @@ def contains(mesh: Mesh, meshset: int, entities: DataFrame, op: str = "intersect
     """One row: whether all (or, with union, any) of the entities are members."""
     own = mesh.members.filter(F.col("set") == meshset).select(F.col("entity").alias("handle"), F.lit(True).alias("_in")).distinct()
     found = entities.join(own, "handle", "left").select(F.coalesce("_in", F.lit(False)).alias("_in"))
-    return found.agg((F.bool_and("_in") if op == "intersect" else F.bool_or("_in")).alias("contains"))
+    every = F.coalesce(F.bool_and("_in"), F.lit(True)) if op == "intersect" else F.coalesce(F.bool_or("_in"), F.lit(False))
+    return found.agg(every.alias("contains"))
 
 
 def replace(mesh: Mesh, meshset: int, pairs: DataFrame) -> Mesh:

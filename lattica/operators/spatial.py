@@ -1,8 +1,9 @@
 """Spatial queries as bucketed equi-joins: containment, nearest, radius, rays.
 
 Boxes are cut into cells of a uniform grid and joined on equal cells; an exact
-test follows. Boxes that would cover too many cells go to a coarser grid, so a
-few large elements don't multiply the rows.
+test follows. Each box lies in the grid whose cells are about as wide as itself,
+there being as many grids as sizes ask for, so large elements don't multiply the
+rows. The nearest triangle is found by going down a tree of cells.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
@@ -20,8 +21,7 @@ from ..functions import geometry as G
 from ..functions.geometry import V
 from ..model import Mesh
 from . import measures
-
-LEVELS = 6
+from .fixpoint import store
 
 
 def bounds(mesh: Mesh, dim: int) -> DataFrame:
@@ -39,10 +39,15 @@ def bounding_box(mesh: Mesh) -> DataFrame:
 
 def _level(size: Column, cell: float) -> Column:
     """The finest grid level at which a box spans at most two cells a direction; level n has cells ``2**n`` as wide."""
-    out = F.lit(LEVELS - 1)
-    for n in reversed(range(LEVELS - 1)):
-        out = F.when(size <= cell * 2**n, F.lit(n)).otherwise(out)
-    return out
+    return F.greatest(F.lit(0), F.ceil(F.log2(size / cell))).cast("int")
+
+
+def _levels(*levels: DataFrame) -> list[int]:
+    """The levels that boxes lie at: a few dozen numbers at most, whatever the sizes."""
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.union(more)
+    return sorted(r[0] for r in found.distinct().collect() if r[0] is not None) or [0]
 
 
 def _cells(df: DataFrame, low: list[Column], high: list[Column], cell: float, level: Column) -> DataFrame:
@@ -69,7 +74,7 @@ def candidates(points: DataFrame, boxes: DataFrame, reach: float = 0.0, cell: fl
     cell = max(cell or cell_size(boxes), reach, 1e-12)
     side = F.greatest(*(F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz")) + 2 * reach
     cut = _cells(boxes, [F.col(f"{c}0") - reach for c in "xyz"], [F.col(f"{c}1") + reach for c in "xyz"], cell, _level(side, cell))
-    at = points.withColumn("_level", F.explode(F.array(*map(F.lit, range(LEVELS)))))
+    at = points.withColumn("_level", F.explode(F.array(*map(F.lit, _levels(boxes.select(_level(side, cell)))))))
     wide = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
     at = at.select("*", *(F.floor(F.col(c) / wide).alias(f"_{c}") for c in "xyz"))
     met = at.join(cut, ["_level", "_x", "_y", "_z"])
@@ -79,37 +84,69 @@ def candidates(points: DataFrame, boxes: DataFrame, reach: float = 0.0, cell: fl
 
 def within_radius(points: DataFrame, tris: DataFrame, radius: float) -> DataFrame:
     """``(pid, handle, squared)`` of triangles ``(handle, a, b, c)`` within a distance of points ``(pid, x, y, z)``."""
-    box = tris.select("*", *(F.least(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}0") for c in "xyz"), *(F.greatest(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}1") for c in "xyz"))
-    met = candidates(points, box, radius)
+    met = candidates(points, _boxed(tris), radius)
     p = V(F.col("x"), F.col("y"), F.col("z"))
     q = G.closest_on_triangle(p, V.of("a"), V.of("b"), V.of("c"))
     return met.select("pid", "handle", (p - q).squared().alias("squared")).filter(F.col("squared") <= radius * radius)
 
 
-def closest_triangle(points: DataFrame, tris: DataFrame, radius: float, rounds: int = 12) -> DataFrame:
-    """``(pid, handle, squared)`` of each point's nearest triangle; the smallest handle among equals.
+def _boxed(tris: DataFrame) -> DataFrame:
+    """Triangles with their boxes."""
+    return tris.select("*", *(F.least(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}0") for c in "xyz"), *(F.greatest(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}1") for c in "xyz"))
 
-    The search radius doubles for the points that have found nothing yet; after
-    ``rounds`` doublings the rest are compared block by block with all.
+
+def _tree(boxes: DataFrame, cell: float) -> list[DataFrame]:
+    """Levels of a tree of cells, ``(cx, cy, cz, x0 .. z1)``, from the leaves to a single root.
+
+    A box belongs to the cell of its middle; a cell's bounds are those of all its
+    boxes. Cells are numbered from the lowest middle, so halving leads to one root.
     """
-    from .fixpoint import store
+    spark = boxes.sparkSession
+    bounds_ = [F.min(f"{c}0").alias(f"{c}0") for c in "xyz"] + [F.max(f"{c}1").alias(f"{c}1") for c in "xyz"]
+    out = [store(spark, boxes.groupBy("cx", "cy", "cz").agg(*bounds_))]
+    top = out[0].agg(F.max(F.greatest("cx", "cy", "cz"))).first()[0] or 0
+    while top:
+        top //= 2
+        up = out[-1].select(*(F.floor(F.col(f"c{c}") / 2).alias(f"c{c}") for c in "xyz"), *(f"{c}{i}" for i in (0, 1) for c in "xyz"))
+        out.append(store(spark, up.groupBy("cx", "cy", "cz").agg(*bounds_)))
+    return out
+
 
+def closest_triangle(points: DataFrame, tris: DataFrame) -> DataFrame:
+    """``(pid, handle, squared)`` of each point's nearest triangle; the smallest handle among equals.
+
+    From the root of a tree of cells, each point keeps the cells that are no
+    farther, at their nearest, than some cell is at its farthest, and goes on with
+    their children; the triangles of the leaves that are left are measured.
+    """
     spark = points.sparkSession
-    left, out, r = store(spark, points.select("pid", "x", "y", "z")), None, radius
-    for _ in range(rounds):
-        found = within_radius(left, tris, r).groupBy("pid").agg(F.min(F.struct("squared", "handle")).alias("m")).select("pid", "m.handle", "m.squared")
-        found = store(spark, found)
-        out = found if out is None else out.unionByName(found)
-        left = store(spark, left.join(found, "pid", "left_anti"))
-        if left.isEmpty():
-            return out
-        r *= 2
-    rest = within_radius(left, tris, 1e300).groupBy("pid").agg(F.min(F.struct("squared", "handle")).alias("m")).select("pid", "m.handle", "m.squared")
-    return out.unionByName(rest)
-
-
-def _ray_cells(rays: DataFrame, box: tuple[V, V], cell: float) -> DataFrame:
-    """Grid cells along each ray within a box: one slice of its leading axis at a time."""
+    box = store(spark, _boxed(tris))
+    cell = max(cell_size(box), 1e-300)
+    middle = {c: (F.col(f"{c}0") + F.col(f"{c}1")) / 2 for c in "xyz"}
+    low = box.agg(*(F.min(m).alias(c) for c, m in middle.items())).first()
+    if low["x"] is None:
+        return points.select("pid", F.lit(None).cast("long").alias("handle"), F.lit(None).cast("double").alias("squared")).limit(0)
+    box = store(spark, box.select("*", *(F.floor((m - F.lit(low[c])) / cell).alias(f"c{c}") for c, m in middle.items())))
+    levels = _tree(box, cell)
+    at = store(spark, points.select("pid", "x", "y", "z", *(F.lit(0).cast("long").alias(f"p{c}") for c in "xyz")))
+    near = sum(F.pow(F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0)), 2) for c in "xyz")
+    far = sum(F.pow(F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1"))), 2) for c in "xyz")
+    for level in reversed(levels[:-1]):
+        kids = level.select("*", *(F.floor(F.col(f"c{c}") / 2).alias(f"p{c}") for c in "xyz"))
+        met = at.join(kids, ["px", "py", "pz"]).select("pid", "x", "y", "z", "cx", "cy", "cz", near.alias("near"), far.alias("far"))
+        least = F.min("far").over(Window.partitionBy("pid"))
+        at = store(spark, met.withColumn("least", least).filter(F.col("near") <= F.col("least")).select("pid", "x", "y", "z", *(F.col(f"c{c}").alias(f"p{c}") for c in "xyz")))
+    p = V(F.col("x"), F.col("y"), F.col("z"))
+    q = G.closest_on_triangle(p, V.of("a"), V.of("b"), V.of("c"))
+    leaves = box.select("handle", "a", "b", "c", *(F.col(f"c{c}").alias(f"p{c}") for c in "xyz"))
+    found = at.join(leaves, ["px", "py", "pz"]).select("pid", "handle", (p - q).squared().alias("squared"))
+    return found.groupBy("pid").agg(F.min(F.struct("squared", "handle")).alias("m")).select("pid", "m.handle", "m.squared")
+
+
+def _ray_cells(rays: DataFrame, box: tuple[V, V], finest: float, levels: list[int]) -> DataFrame:
+    """Grid cells along each ray within a box, at each level: one slice of its leading axis at a time."""
+    rays = rays.withColumn("_level", F.explode(F.array(*map(F.lit, levels))))
+    cell = F.lit(finest) * F.pow(F.lit(2.0), F.col("_level"))
     o, d = V.of("o"), V.of("d")
     span = G.ray_box(o, d, *box)
     inside = rays.withColumn("_span", span).filter("_span IS NOT NULL")
@@ -132,29 +169,27 @@ def ray_hits(rays: DataFrame, tris: DataFrame, limit: float | None = None) -> Da
 
     ``direction`` is 1 where the ray runs with the triangle's normal (leaving),
     -1 against it. Rays and triangles meet in the cells of a grid: a ray visits
-    the cells along its way, a triangle lies in those of its box.
+    the cells along its way at each level, a triangle lies in those of its box at
+    its own.
     """
-    sides = [F.least(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}0") for c in "xyz"] + [F.greatest(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}1") for c in "xyz"]
-    box = tris.select("*", *sides)
+    box = _boxed(tris)
     cell = cell_size(box)
     whole = box.agg(*(F.min(f"{c}0").alias(f"{c}0") for c in "xyz"), *(F.max(f"{c}1").alias(f"{c}1") for c in "xyz")).first()
     if whole["x0"] is None:
         whole = dict.fromkeys(("x0", "y0", "z0", "x1", "y1", "z1"), 0.0)
     wide = [V.const(*(whole[f"{c}{i}"] for c in "xyz")) for i in (0, 1)]
-    cut = box
-    for c in "xyz":
-        cut = cut.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell))))
+    level = _level(F.greatest(*(F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz")), cell)
+    cut = _cells(box, [F.col(f"{c}0") for c in "xyz"], [F.col(f"{c}1") for c in "xyz"], cell, level)
     o, d, a, b, c = (V.of(n) for n in ("o", "d", "a", "b", "c"))
     normal = (b - a).cross(c - a).dot(d)
-    met = _ray_cells(rays, (wide[0], wide[1]), cell).join(cut, ["_x", "_y", "_z"])
+    met = _ray_cells(rays, (wide[0], wide[1]), cell, _levels(box.select(level))).join(cut, ["_level", "_x", "_y", "_z"])
     hits = met.withColumn("t", G.ray_triangle(o, d, a, b, c, limit)).filter("t IS NOT NULL")
     return hits.select("rid", "handle", "t", F.when(normal > 0, 1).when(normal < 0, -1).otherwise(0).alias("direction")).distinct()
 
 
 def axis_ray_hits(origins: DataFrame, tris: DataFrame) -> DataFrame:
     """Hits of rays along +x from ``origins(rid, x, y, z)``: dealt by cells of y and z, an equi-join."""
-    box = tris.select("*", *(F.least(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}0") for c in "xyz"), *(F.greatest(*(F.col(f"{n}.{c}") for n in "abc")).alias(f"{c}1") for c in "xyz"))
-    flat = box.withColumn("x0", F.lit(0.0)).withColumn("x1", F.lit(0.0))
+    flat = _boxed(tris).withColumn("x0", F.lit(0.0)).withColumn("x1", F.lit(0.0))
     met = candidates(origins.select(F.col("rid").alias("pid"), F.lit(0.0).alias("x"), "y", "z", F.col("x").alias("from_x")), flat)
     o, d = V(F.col("from_x"), F.col("y"), F.col("z")), V.const(1, 0, 0)
     a, b, c = (V.of(n) for n in "abc")
@@ -237,11 +272,11 @@ def box_overlap_pairs(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> Dat
     cell = max(cell_size(a), cell_size(b), 1e-12)
     low, high = [F.col(f"{c}0") - tolerance for c in "xyz"], [F.col(f"{c}1") + tolerance for c in "xyz"]
     side = F.greatest(*(F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz")) + 2 * tolerance
-    found = None
+    found, levels = None, _levels(a.select(_level(side, cell)), b.select(_level(side, cell)))
     for first, second, tie in ((a, b, True), (b, a, False)):
         # every box of `first` at its own level, those of `second` at that level or a finer one
         one = _cells(first.withColumn("_own", _level(side, cell)), low, high, cell, _level(side, cell))
-        own = second.withColumn("_own2", _level(side, cell)).withColumn("_at", F.explode(F.array(*map(F.lit, range(LEVELS))))).filter(F.col("_at") >= F.col("_own2") if tie else F.col("_at") > F.col("_own2"))
+        own = second.withColumn("_own2", _level(side, cell)).withColumn("_at", F.explode(F.array(*map(F.lit, levels)))).filter(F.col("_at") >= F.col("_own2") if tie else F.col("_at") > F.col("_own2"))
         two = _cells(own, low, high, cell, F.col("_at")).select("_level", "_x", "_y", "_z", *(F.col(c).alias(f"o_{c}") for c in ("handle", *(f"{x}{i}" for x, i in itertools.product("xyz", "01")))))
         near = None
         for c in "xyz":

@@ -155,7 +155,7 @@ add("p12_locate_hex", lambda s, d: spatial.locate_in_hexes(points(s, d), t.hex_m
 add("p12_locate_tet", lambda s, d: spatial.locate_in_tets(points(s, d), t.tet_mesh(s, 4)).select("pid", F.floor((model.id_of(H()) - 1) / 6).alias("cell")), f"WITH {PTS} SELECT pid, ceil(x)::BIGINT - 1 + 4*(ceil(y)::BIGINT - 1) + 16*(ceil(z)::BIGINT - 1) AS cell FROM pts WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 AND z BETWEEN 0 AND 4", True)
 add("p03_grid_cells", lambda s, d: spatial.candidates(points(s, d), spatial.bounds(t.hex_mesh(s, 4), 3)).select("pid", "handle"), f"WITH {t.hex_sql(4)}, {PTS} SELECT pid, handle FROM pts p JOIN bh b ON p.x BETWEEN b.i AND b.i + 1 AND p.y BETWEEN b.j AND b.j + 1 AND p.z BETWEEN b.k AND b.k + 1", True)
 add("p04_boxes_within", lambda s, d: spatial.candidates(points(s, d), spatial.bounds(t.hex_mesh(s, 4), 3), 0.25).select("pid", "handle"), f"WITH {t.hex_sql(4)}, {PTS} SELECT pid, handle FROM pts p JOIN bh b ON p.x BETWEEN b.i - 0.25 AND b.i + 1.25 AND p.y BETWEEN b.j - 0.25 AND b.j + 1.25 AND p.z BETWEEN b.k - 0.25 AND b.k + 1.25", True)
-add("p05_closest_triangle", lambda s, d: spatial.closest_triangle(points(s, d), measures.triangles(t.tri_mesh(s, 8)), 4.0).select("pid", micro(F.col("squared")).alias("squared")), f"WITH {PTS} SELECT pid, {u('(x - greatest(0, least(8, x)))**2 + (y - greatest(0, least(8, y)))**2 + z*z')} AS squared FROM pts", True)
+add("p05_closest_triangle", lambda s, d: spatial.closest_triangle(points(s, d), measures.triangles(t.tri_mesh(s, 8))).select("pid", micro(F.col("squared")).alias("squared")), f"WITH {PTS} SELECT pid, {u('(x - greatest(0, least(8, x)))**2 + (y - greatest(0, least(8, y)))**2 + z*z')} AS squared FROM pts", True)
 add("p06_sphere_triangles", lambda s, d: spatial.within_radius(points(s, d), measures.triangles(t.tri_mesh(s, 8)), 2.0).groupBy("pid").agg(micro(F.min("squared")).alias("least")), f"WITH {PTS}, q AS (SELECT pid, (x - greatest(0, least(8, x)))**2 + (y - greatest(0, least(8, y)))**2 + z*z AS d FROM pts) SELECT pid, {u('d')} AS least FROM q WHERE d <= 4", True)
 add("p07_axis_rays", lambda s, d: spatial.axis_ray_hits(_origins(s, d), _surface(s)).select("rid", micro(F.col("t")).alias("t"), F.col("direction").cast("long")), f"WITH {t.points_sql(0.7, 1.5)} SELECT pid AS rid, {u('0.0 - (-10.0)')} AS t, -1::BIGINT AS direction FROM pts WHERE y > 0 AND y < 3 AND z > 0 AND z < 3 UNION ALL SELECT pid, {u('13.0')}, 1 FROM pts WHERE y > 0 AND y < 3 AND z > 0 AND z < 3", True)
 add("p07_rays", lambda s, d: spatial.ray_hits(_slanted(s, d), _surface(s)).groupBy("rid").agg(F.count("*").alias("n"), micro(F.min("t")).alias("first"), micro(F.max("t")).alias("last")), f"WITH {t.points_sql(0.7, 1.5)}, r AS (SELECT pid, x AS px, y AS py, z AS pz, -0.5 AS dx, 0.25 AS dy, 1.0 AS dz FROM pts), o AS (SELECT pid, px - 8*dx AS ox, py - 8*dy AS oy, pz - 8*dz AS oz, dx, dy, dz FROM r), s AS (SELECT pid, greatest(least((0-ox)/dx, (3-ox)/dx), least((0-oy)/dy, (3-oy)/dy), least((0-oz)/dz, (3-oz)/dz)) AS a, least(greatest((0-ox)/dx, (3-ox)/dx), greatest((0-oy)/dy, (3-oy)/dy), greatest((0-oz)/dz, (3-oz)/dz)) AS b FROM o) SELECT pid AS rid, 2::BIGINT AS n, {u('a')} AS first, {u('b')} AS last FROM s WHERE a < b AND b > 0", True)
