@@ -112,3 +112,19 @@ def curve_partition(points: DataFrame, parts: int, cell: float) -> DataFrame:
 def round_robin(elements: DataFrame, parts: int) -> DataFrame:
     """``(handle, part)`` by id."""
     return elements.select("handle", F.pmod(model.id_of(F.col("handle")), F.lit(parts)).alias("part"))
+
+
+def merged_parts(copies: DataFrame, tolerance: float) -> DataFrame:
+    """``(part, handle, gid)``: vertices ``(part, handle, x, y, z)`` of all parts that lie within a tolerance get one id, the smallest handle."""
+    from .mutation import merge_map
+
+    pairs = merge_map(copies.select("handle", "x", "y", "z"), tolerance)
+    return copies.select("part", "handle").join(pairs, "handle", "left").select(F.col("part").cast("long").alias("part"), "handle", F.coalesce("keep", "handle").alias("gid"))
+
+
+def migration(entities: DataFrame, sources: int, targets: int) -> DataFrame:
+    """``(handle, source, target)``: entities in contiguous shares of one number of parts, and where they go in shares of another."""
+    from .fields import spread
+
+    one = spread(entities, sources).withColumnRenamed("part", "source")
+    return one.join(spread(entities, targets).withColumnRenamed("part", "target"), "handle").select("handle", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"))

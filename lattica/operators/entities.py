@@ -156,3 +156,37 @@ def ordered_members(mesh: Mesh, meshset: int) -> DataFrame:
     """Members of a set in order, ``(pos, handle)`` counted from 0 without gaps."""
     own = mesh.members.filter(F.col("set") == meshset)
     return own.select((F.row_number().over(Window.partitionBy("set").orderBy("pos")) - 1).cast("long").alias("pos"), F.col("entity").alias("handle"))
+
+
+def coordinate_blocks(mesh: Mesh, work) -> DataFrame:
+    """``work(handles, coords)`` over blocks of vertices as arrays, ``coords`` of three columns; what it returns replaces them."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            handles = batch.column(0).to_numpy(zero_copy_only=False)
+            got = work(handles, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(3))], ["handle", "x", "y", "z"])
+
+    return mesh.vertices.select("handle", "x", "y", "z").mapInArrow(run, "handle long, x double, y double, z double")
+
+
+def connectivity_blocks(mesh: Mesh, etype: int, work) -> DataFrame:
+    """``work(handles, conn)`` over blocks of one type's elements, ``conn`` with a row each; blocks have one length of connectivity."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            handles, conn = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes = np.diff(np.asarray(conn.offsets)) if len(batch) else np.empty(0, np.int64)
+            flat, starts = np.asarray(conn.values), np.asarray(conn.offsets)[:-1]
+            for n in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == n)
+                got = np.ascontiguousarray(work(handles[own], flat[starts[own][:, None] + np.arange(n)]))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, max(1, got.shape[1])), pa.int32()), pa.array(got.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(handles[own]), lists], ["handle", "conn"])
+
+    own = mesh.elements.filter(model.of_type(F.col("handle"), etype))
+    return own.select("handle", "conn").mapInArrow(run, "handle long, conn array<long>")

@@ -118,3 +118,39 @@ def spread(values: DataFrame, parts: int) -> DataFrame:
     at, long = F.col("index"), more * (size + 1)
     part = F.when(at < long, F.floor(at / (size + 1))).otherwise(more + F.floor((at - long) / max(1, size)))
     return index(values).select(part.alias("part"), "handle")
+
+
+def locate_points(source: Mesh, etype: int, points: DataFrame, nearest: bool = False) -> DataFrame:
+    """``(pid, handle, xi, eta, zeta)`` of points ``(pid, x, y, z)`` in elements of the source.
+
+    With ``nearest``, points in no element get the one whose box is closest (the
+    smallest handle among equals), with the coordinates of its middle.
+    """
+    found = (spatial.locate_in_tets if etype == model.TET else spatial.locate_in_hexes)(points, source)
+    if not nearest:
+        return found
+    left = points.join(found, "pid", "left_anti")
+    corner = lambda i: F.struct(*(F.col(f"{c}{i}").alias(c) for c in "xyz"))
+    boxes = spatial.bounds(source, 3).select("handle", corner(0).alias("a"), corner(1).alias("b"), corner(0).alias("c"))
+    middle = 0.25 if etype == model.TET else 0.0
+    close = spatial.closest_triangle(left.select("pid", "x", "y", "z"), boxes).select("pid", "handle", *(F.lit(middle).alias(c) for c in ("xi", "eta", "zeta")))
+    return found.unionByName(close)
+
+
+def locate_entities(source: Mesh, etype: int, target: Mesh, dim: int, nearest: bool = False) -> DataFrame:
+    """The source elements that hold a target's vertices (``dim`` 0) or the centroids of its elements; ``pid`` is the target's handle."""
+    at = target.vertices.select("handle", "x", "y", "z") if dim == 0 else measures.centroids(target, dim)
+    return locate_points(source, etype, at.withColumnRenamed("handle", "pid"), nearest)
+
+
+class Coupler:
+    """Points located in a source mesh once, for as many fields as wanted."""
+
+    def __init__(self, source: Mesh, etype: int, points: DataFrame, nearest: bool = False):
+        from .fixpoint import store
+
+        self.source, self.etype = source, etype
+        self.located = store(source.spark, locate_points(source, etype, points, nearest))
+
+    def interpolate(self, values: DataFrame, method: str = "linear_fe") -> DataFrame:
+        return interpolate(self.located, self.source, self.etype, values, method)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import numbering
+from ..functions import numbering, shapes
 from ..model import Mesh, MeshError
 from . import adjacency, skinning
 from .fixpoint import store
@@ -178,66 +181,104 @@ def reorder(values: DataFrame, skip: int | None = None) -> DataFrame:
     return by_value.join(slots, "n").select("handle", "new")
 
 
-# uniform refinement ------------------------------------------------------------
+def split_shared(mesh: Mesh, dim: int, facets: DataFrame) -> Mesh:
+    """Cut the mesh open along facets ``(key)``, the sorted vertices of each.
+
+    At every vertex of the cut, elements that no longer meet through facets left
+    whole get a vertex of their own; those with the smallest element keep the old one.
+    """
+    spark = mesh.spark
+    cut = store(spark, facets.select("key").distinct())
+    touched = store(spark, cut.select(F.explode("key").alias("vertex")).distinct())
+    half = adjacency.facets(mesh, dim).select("elem", "key")
+    corner = half.join(cut, "key", "left_anti").select("elem", "key", F.explode("key").alias("vertex")).join(touched, "vertex", "left_semi")
+    near = store(spark, corner.join(corner.select(F.col("elem").alias("other"), "key", "vertex"), ["key", "vertex"]).filter("elem != other").select("vertex", "elem", "other").distinct())
+    own = mesh.elements.filter(model.of_dimension(F.col("handle"), dim))
+    label = store(spark, own.select(F.col("handle").alias("elem"), F.explode("conn").alias("vertex")).join(touched, "vertex", "left_semi").withColumn("low", F.col("elem")))
+    while True:  # the smallest element on the same side of each vertex; a side has as many elements as the vertex, at most
+        low = near.join(label.select("vertex", F.col("elem").alias("other"), F.col("low").alias("o")), ["vertex", "other"]).groupBy("vertex", "elem").agg(F.min("o").alias("o"))
+        new = store(spark, label.join(low, ["vertex", "elem"], "left").select("vertex", "elem", F.col("low").alias("old"), F.least("low", F.coalesce("o", "low")).alias("low")))
+        if new.filter("old != low").isEmpty():
+            break
+        label = new.drop("old")
+    sides = label.select("vertex", "low").distinct()
+    first = sides.groupBy("vertex").agg(F.min("low").alias("first"))
+    last = mesh.vertices.agg(F.max("handle")).first()[0]
+    fresh = store(spark, ranked(sides.join(first, "vertex").filter("low != first").select("vertex", "low"), ["vertex", "low"], "_n").select("vertex", "low", (F.lit(last) + F.col("_n") + 1).cast("long").alias("twin")))
+    swap = label.join(fresh, ["vertex", "low"]).select("elem", "vertex", "twin")
+    inc = mesh.incidence().join(swap, ["elem", "vertex"], "left")
+    conn = inc.groupBy(F.col("elem").alias("handle")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("twin", "vertex").alias("v")))), lambda x: x["v"]).alias("conn"))
+    more = fresh.join(mesh.vertices.withColumnRenamed("handle", "vertex"), "vertex").select(F.col("twin").alias("handle"), "x", "y", "z")
+    return set_connectivity(mesh, conn).with_(vertices=mesh.vertices.unionByName(more))
 
-# Children of degree-2 templates; 0.. are corners, then nodes as numbered by the sides.
-TRI_CHILDREN = ((0, 3, 5), (3, 1, 4), (5, 4, 2), (3, 4, 5))
-QUAD_CHILDREN = ((0, 4, 8, 7), (4, 1, 5, 8), (8, 5, 2, 6), (7, 8, 6, 3))
 
+# uniform refinement ------------------------------------------------------------
 
-def refine(mesh: Mesh, etype: int) -> Mesh:
-    """One level of uniform refinement (degree 2) of edges, triangles, quads or hexahedra.
+def _template(etype: int, degree: int) -> tuple[list[dict[int, int]], list[tuple[int, ...]]]:
+    """Points of an element cut into ``degree`` parts along each edge, as whole weights of its corners, and its children.
 
-    New vertices are named by the sorted corners of the edge, face or cell in
-    whose middle they lie, so neighbours agree on them without any search.
+    Simplices are cut along lattice directions (a tetrahedron into the path
+    simplices of lattice cubes), others into boxes; children turn as the parent does.
     """
-    own = mesh.elements.filter(model.of_type(F.col("handle"), etype))
-    parts = {model.EDGE: [1], model.TRI: [1], model.QUAD: [1, 2], model.HEX: [1, 2, 3]}.get(etype)
-    if parts is None:
-        raise MeshError("NOT_IMPLEMENTED", model.ETYPES[etype])
-    nodes = None
-    for d in parts:
-        if d == model.DIMENSIONS[etype]:
-            sub = own.select(F.col("handle").alias("elem"), F.lit(0).alias("side"), numbering.key(F.col("conn")).alias("key"))
-        else:
-            sub = adjacency.sub_entities(own, d, [etype]).select("elem", "side", "key")
-        sub = sub.withColumn("d", F.lit(d))
-        nodes = sub if nodes is None else nodes.unionByName(sub)
+    d, dim = degree, model.DIMENSIONS[etype]
+    if etype in (model.EDGE, model.TRI, model.TET):
+        # d >= a >= b >= .. >= 0 has the corner weights d - a, a - b, ..
+        inside = lambda p: all(x >= y for x, y in zip((d, *p), (*p, 0)))
+        spots = [p for p in itertools.product(range(d + 1), repeat=dim) if inside(p)]
+        weights = [{k: w for k, w in enumerate(x - y for x, y in zip((d, *p), (*p, 0))) if w} for p in spots]
+        number = {p: i for i, p in enumerate(spots)}
+        children = []
+        for base in spots:
+            for axes in itertools.permutations(range(dim)):
+                path = [base]
+                for axis in axes:
+                    path.append(tuple(x + (k == axis) for k, x in enumerate(path[-1])))
+                if all(p in number for p in path):
+                    odd = sum(axes[i] > axes[j] for i in range(dim) for j in range(i + 1, dim)) % 2
+                    children.append(tuple(number[p] for p in ((*path[:-2], path[-1], path[-2]) if odd else path)))
+        return weights, children
+    ends = [tuple((x + 1) // 2 for x in c) for c in shapes.CORNERS[etype]]
+    spots = list(itertools.product(range(d + 1), repeat=dim))
+    weights = [{k: w for k, e in enumerate(ends) if (w := math.prod(x if one else d - x for x, one in zip(p, e)))} for p in spots]
+    number = {p: i for i, p in enumerate(spots)}
+    children = [tuple(number[tuple(x + y for x, y in zip(p, e))] for e in ends) for p in itertools.product(range(d), repeat=dim)]
+    return weights, children
+
+
+def refine(mesh: Mesh, etype: int, degree: int = 2) -> Mesh:
+    """One level of uniform refinement of edges, triangles, quads, tetrahedra or hexahedra.
+
+    New vertices are named by the corners that span them, with reduced weights,
+    so neighbours agree on them without any search.
+    """
+    if etype not in (model.EDGE, model.TRI, model.QUAD, model.TET, model.HEX) or degree < 2:
+        raise MeshError("NOT_IMPLEMENTED", f"{model.ETYPES[etype]} by {degree}")
+    weights, children = _template(etype, degree)
     spark = mesh.spark
-    nodes = store(spark, nodes)
-    fresh = nodes.select("key").distinct()
+    own = mesh.elements.filter(model.of_type(F.col("handle"), etype))
+    spots = F.array(*(F.array(*(F.struct(F.lit(k + 1).alias("corner"), F.lit(w // math.gcd(*own_w.values())).alias("w")) for k, w in own_w.items())) for own_w in weights))
+    named = F.transform(spots, lambda spot: F.array_sort(F.transform(spot, lambda s: F.struct(F.element_at("conn", s["corner"]).alias("v"), s["w"].alias("w")))))
+    nodes = store(spark, own.select(F.col("handle").alias("elem"), F.posexplode(named).alias("spot", "key")))
+    fresh = nodes.filter(F.size("key") > 1).select("key").distinct().withColumn("_size", F.size("key"))
     last = mesh.vertices.agg(F.max("handle")).first()[0]
-    named = store(spark, ranked(fresh.withColumn("_size", F.size("key")), ["_size", "key"], "_n").select("key", (F.lit(last) + F.col("_n") + 1).cast("long").alias("handle")))
-    placed = named.select("handle", F.explode("key").alias("v")).join(mesh.vertices.withColumnRenamed("handle", "v"), "v").groupBy("handle").agg(*(F.avg(c).alias(c) for c in "xyz"))
-    local = nodes.join(named, "key").groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "side", "handle"))), lambda s: s["handle"]).alias("mids"))
-    whole = own.join(local, own.handle == local.elem).select("handle", F.concat("conn", "mids").alias("all"))
-    if etype == model.EDGE:
-        children = ((0, 2), (2, 1))
-    elif etype == model.TRI:
-        children = TRI_CHILDREN
-    elif etype == model.QUAD:
-        children = QUAD_CHILDREN
-    else:
-        children = tuple(_hex_child(c) for c in range(8))
-    n = len(children)
-    kids = F.array(*(F.struct(F.lit(i).alias("i"), F.array(*(F.element_at("all", v + 1) for v in c)).alias("conn")) for i, c in enumerate(children)))
-    rows = whole.select("handle", F.explode(kids).alias("k"))
-    out = rows.select(model.handle(etype, (model.id_of(F.col("handle")) - 1) * n + F.col("k.i") + 1).alias("handle"), F.lit(etype).alias("etype"), F.col("k.conn").alias("conn"))
+    new = store(spark, ranked(fresh, ["_size", "key"], "_n").select("key", (F.lit(last) + F.col("_n") + 1).cast("long").alias("handle")))
+    parts = new.select("handle", F.explode("key").alias("s")).select("handle", F.col("s.v").alias("v"), F.col("s.w").alias("w"))
+    placed = parts.join(mesh.vertices.withColumnRenamed("handle", "v"), "v").groupBy("handle").agg(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in "xyz"))
+    at = nodes.join(new, "key", "left").select("elem", "spot", F.coalesce("handle", F.element_at("key", 1)["v"]).alias("node"))
+    whole = at.groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("spot", "node"))), lambda s: s["node"]).alias("all"))
+    kids = F.array(*(F.array(*(F.lit(i + 1) for i in c)) for c in children))
+    rows = whole.select("elem", F.posexplode(F.transform(kids, lambda c: F.transform(c, lambda i: F.element_at("all", i)))).alias("k", "conn"))
+    out = rows.select(model.handle(etype, (model.id_of(F.col("elem")) - 1) * len(children) + F.col("k") + 1).alias("handle"), F.lit(etype).alias("etype"), "conn")
     return mesh.with_(vertices=mesh.vertices.unionByName(placed.select("handle", "x", "y", "z")), elements=out)
 
 
-def _hex_child(corner: int) -> tuple[int, ...]:
-    """Nodes of the child at a corner: along each direction either the corner's own end or the middle."""
-    ends = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-    place = {tuple(2 * x for x in e): i for i, e in enumerate(ends)}
-    at = 8
-    for d in (1, 2):
-        for _, local in numbering.sides(model.HEX, d):
-            mid = tuple(sum(ends[v][k] for v in local) * 2 // len(local) for k in range(3))
-            place[mid] = at
-            at += 1
-    place[1, 1, 1] = at
-    return tuple(place[tuple(ends[corner][k] + e[k] for k in range(3))] for e in ends)
+def hierarchy(mesh: Mesh, etype: int, degrees: list[int]) -> list[Mesh]:
+    """The mesh and its refinements, each level made of the one before."""
+    out = [mesh]
+    for degree in degrees:
+        fine = refine(out[-1], etype, degree)
+        out.append(fine.with_(vertices=store(mesh.spark, fine.vertices), elements=store(mesh.spark, fine.elements)))
+    return out
 
 
 def parent_of(handle, children: int):

@@ -139,3 +139,11 @@ def update_tracer(overlap: DataFrame, values: DataFrame, target_area: DataFrame)
     """``(handle, value)``: tracer moved from departure cells by overlap areas, over each arrival cell's area."""
     moved = overlap.join(values.withColumnRenamed("entity", "source"), "source").groupBy("target").agg(F.sum(F.col("area") * F.col("value")).alias("mass"))
     return moved.join(target_area.withColumnRenamed("handle", "target"), "target").select(F.col("target").alias("handle"), (F.col("mass") / F.col("area")).alias("value"))
+
+
+def covering(source: Mesh, parts: DataFrame, target: Mesh) -> DataFrame:
+    """``(part, handle)``: source cells that may meet what a part ``(handle, part)`` holds of the target, by the part's box."""
+    held = spatial.bounds(target, 2).join(parts, "handle")
+    box = held.groupBy("part").agg(*(F.min(f"{c}0").alias(f"{c}0") for c in "xyz"), *(F.max(f"{c}1").alias(f"{c}1") for c in "xyz"))
+    pairs = spatial.box_overlap_pairs(spatial.bounds(source, 2), box.withColumn("handle", F.col("part").cast("long")))
+    return pairs.select(F.col("b").alias("part"), F.col("a").alias("handle"))

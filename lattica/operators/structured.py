@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from ..model import Mesh
+from ..model import Mesh, Tag
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,65 @@ class Box:
         return self._params(spark, tuple(n)).select("i", "j", "k", self.vertex(i, j, k).alias("v0"), self.vertex(i + step[0], j + step[1], k + step[2]).alias("v1"))
 
 
+BOX_DIMS = "BOX_DIMS"
+
+
+def add_box(mesh: Mesh, box: Box) -> tuple[Mesh, int]:
+    """A set for a box of the mesh, with its bounds, periods and first ids in tag BOX_DIMS; returns the set's handle."""
+    spark = mesh.spark
+    none = mesh.sets is None
+    sets = spark.createDataFrame([], "handle long, flags int") if none else mesh.sets
+    last = sets.agg(F.max("handle")).first()[0] or (model.ENTITYSET << model.SHIFT)
+    handle = last + 1
+    row = [*box.low, *box.high, *map(int, box.periodic), box.first_vertex, box.first_element]
+    value = spark.createDataFrame([(handle, row)], "entity long, value array<long>")
+    old = mesh.tags.get(BOX_DIMS)
+    tag = Tag(BOX_DIMS, "long", value if old is None else old.values.unionByName(value), None, len(row), "sparse")
+    made = spark.createDataFrame([(handle, model.SET_LIKE)], "handle long, flags int")
+    inside = box.vertices(spark).select("handle").union(box.elements(spark).select("handle"))
+    rows = inside.select(F.lit(handle).alias("set"), F.lit(0).cast("long").alias("pos"), F.col("handle").alias("entity"))
+    members = rows if mesh.members is None else mesh.members.unionByName(rows)
+    return mesh.with_(sets=sets.unionByName(made), members=members, tags=mesh.tags | {BOX_DIMS: tag}), handle
+
+
+def find_boxes(mesh: Mesh) -> list[tuple[int, Box]]:
+    """All boxes that sets of the mesh describe, by handle (a row each)."""
+    if BOX_DIMS not in mesh.tags:
+        return []
+    rows = mesh.tags[BOX_DIMS].values.orderBy("entity").collect()
+    return [(r["entity"], Box(tuple(v[:3]), tuple(v[3:6]), (bool(v[6]), bool(v[7])), v[8], v[9])) for r in rows for v in [r["value"]]]
+
+
+def remove_box(mesh: Mesh, handle: int) -> Mesh:
+    """Without the set and its tag; entities stay."""
+    from dataclasses import replace
+
+    tag = mesh.tag(BOX_DIMS)
+    kept = replace(tag, values=tag.values.filter(F.col("entity") != handle))
+    return mesh.with_(sets=mesh.sets.filter(F.col("handle") != handle), members=mesh.members.filter((F.col("set") != handle) & (F.col("entity") != handle)), tags=mesh.tags | {BOX_DIMS: kept})
+
+
+def box_of(mesh: Mesh, entities: DataFrame) -> DataFrame:
+    """``(handle, set)``: the box that each entity lies in, by the boxes' id ranges; a few rows are sent to all tasks."""
+    rows = []
+    for s, b in find_boxes(mesh):
+        nv, ne = b.vertex_counts, b.element_counts
+        t = (model.QUAD if b.flat else model.HEX) << model.SHIFT
+        rows += [(s, b.first_vertex, b.first_vertex + nv[0] * nv[1] * nv[2] - 1), (s, t + b.first_element, t + b.first_element + ne[0] * ne[1] * ne[2] - 1)]
+    spans = mesh.spark.createDataFrame(rows, "set long, low long, high long")
+    return entities.join(F.broadcast(spans), F.col("handle").between(F.col("low"), F.col("high"))).select("handle", "set")
+
+
+def shared_vertices(spark: SparkSession, boxes: list[Box]) -> DataFrame:
+    """``(part, other, handle, twin)``: vertices of two parts' boxes with the same parameters."""
+    every = None
+    for part, b in enumerate(boxes):
+        own = b.vertices(spark).select(F.lit(part).cast("long").alias("part"), "handle", "i", "j", "k")
+        every = own if every is None else every.unionByName(own)
+    other = every.select(F.col("part").alias("other"), F.col("handle").alias("twin"), "i", "j", "k")
+    return every.join(other, ["i", "j", "k"]).filter("part != other").select("part", "other", "handle", "twin")
+
+
 def partition(low: tuple[int, int, int], high: tuple[int, int, int], parts: int, method: str = "alljorkori") -> list[tuple[tuple[int, int, int], tuple[int, int, int]]]:
     """Blocks of an element range for each part.
 

@@ -120,3 +120,23 @@ def propagate(mesh: Mesh, name: str, vertices: bool = False) -> DataFrame:
     if vertices:
         found = found.join(mesh.incidence().withColumnRenamed("elem", "entity"), "entity").select("set", "value", F.col("vertex").alias("entity"))
     return found.groupBy("entity").agg(F.max_by("value", "set").alias("value"))
+
+
+# How values may be compared.
+COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
+
+
+def compared(mesh: Mesh, name: str, op: str, value: Any) -> DataFrame:
+    """Entities whose own value stands in a relation to another; NaN stands in none."""
+    if op not in COMPARISONS:
+        raise MeshError("UNSUPPORTED_OPERATION", op)
+    tag, v = mesh.tag(name), F.col("value")
+    met = {"==": v == value, "!=": v != value, "<": v < value, "<=": v <= value, ">": v > value, ">=": v >= value}[op]
+    if tag.dtype == "double":
+        met &= ~F.isnan("value")
+    return tag.values.filter(met).select(F.col("entity").alias("handle"))
+
+
+def compared_bytes(mesh: Mesh, name: str, value: bytes) -> DataFrame:
+    """Entities whose value has just these bytes."""
+    return mesh.tag(name).values.filter(F.col("value").cast("binary") == F.lit(bytearray(value))).select(F.col("entity").alias("handle"))

@@ -188,7 +188,7 @@ add("g06_closest_on_box", lambda s, d: _p(s, d).select("pid", micro((G.closest_o
 add("g08_vectors", lambda s, d: _p(s, d).select("pid", micro(G.angle(_v(), V.const(1, 0, 0))).alias("angle"), micro(_v().length()).alias("length")), P + f" SELECT pid, {u('acos(greatest(-1, least(1, x / sqrt(x*x+y*y+z*z))))')} AS angle, {u('sqrt(x*x+y*y+z*z)')} AS length FROM pts", True)
 add("g11_gnomonic_plane", lambda s, d: _p(s, d).select("pid", G.gnomonic_plane(_v()).cast("long").alias("plane")), P + " SELECT pid, (CASE WHEN abs(z) >= abs(x) AND abs(z) >= abs(y) THEN CASE WHEN z < 0 THEN 5 ELSE 6 END WHEN abs(y) >= abs(x) THEN CASE WHEN y < 0 THEN 4 ELSE 2 END WHEN x < 0 THEN 3 ELSE 1 END)::BIGINT AS plane FROM pts", True)
 add("g11_sphere_areas", lambda s: _sphere_areas(s), f"SELECT {u(4 * math.pi)} AS girard, {u(4 * math.pi)} AS lhuilier")
-add("g12_fields", lambda s, d: _p(s, d).select("pid", micro(G.slotted_cylinder(F.atan2("y", "x"), F.asin(F.col("z") / _v().length()), 0.5, 0.2, 0.1, 1.0, 0.8)).alias("v")), None, True)
+add("g12_fields", lambda s, d: _p(s, d).select("pid", micro(G.slotted_cylinder(F.atan2("y", "x"), F.asin(F.col("z") / _v().length()), 0.5, 0.2, 0.1, 1.0, 0.8)).alias("v")), P + ", q AS (SELECT pid, atan2(y, x) AS lon, asin(z / sqrt(x*x+y*y+z*z)) AS lat FROM pts), r AS (SELECT *, acos(greatest(-1, least(1, sin(0.2)*sin(lat) + cos(0.2)*cos(lat)*cos(lon - 0.5)))) AS r FROM q) SELECT pid, CASE WHEN r <= 0.8 AND (abs(lon - 0.5) >= 0.8 / 6 OR lat - 0.2 < -5.0 / 12 * 0.8) THEN 1000000 ELSE 100000 END::BIGINT AS v FROM r", True)
 add("x05_sphere_cell_area", lambda s: _sphere_cells(s), "SELECT 64::BIGINT AS n")
 
 

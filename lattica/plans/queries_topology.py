@@ -51,7 +51,7 @@ add("c01_table", lambda s: long(numbering.table(s).withColumn("local", text("loc
 add("c02_sub_connectivity", lambda s: adj.sub_entities(hexes(s).elements, 1).select("elem", F.col("side").cast("long"), text("sub_conn").alias("conn")), f"{HEX}{half('bh', 9, 1)} SELECT elem, side::BIGINT AS side, array_to_string(sc, ',') AS conn FROM hf")
 add("c02_tet_faces", lambda s: adj.sub_entities(tets(s).elements, 2).select("elem", F.col("side").cast("long"), text("sub_conn").alias("conn")), f"{TET}{half('bt', 5, 2)} SELECT elem, side::BIGINT AS side, array_to_string(sc, ',') AS conn FROM hf")
 add("c03_adjacent_sides", lambda s: s.createDataFrame([(f, e) for f in range(6) for e in numbering.adjacent_sides(model.HEX, 2, [f], 1, False)], "face long, edge long"), f"WITH {S} SELECT f.side::BIGINT AS face, e.side::BIGINT AS edge FROM sub f JOIN sub e ON f.etype = 9 AND f.subdim = 2 AND e.etype = 9 AND e.subdim = 1 AND list_has_all(f.local, e.local)")
-add("c04_side_numbers", lambda s: long(adj.side_numbers(adj.create_missing(tets(s), tets(s).elements.select("handle"), 2), 3, 2), "side", "sense", "offset").groupBy("side", "sense").agg(F.count("*").alias("n")))
+add("c04_side_numbers", lambda s: long(adj.side_numbers(adj.create_missing(tets(s), tets(s).elements.select("handle"), 2), 3, 2), "side", "sense", "offset").groupBy("side", "sense").agg(F.count("*").alias("n")), f"{TET}{half('bt', 5, 2)}, f AS (SELECT k, arg_min(sc, elem * 8 + side) AS c FROM hf GROUP BY k) SELECT side::BIGINT AS side, (CASE WHEN sc = c OR sc = [c[2], c[3], c[1]] OR sc = [c[3], c[1], c[2]] THEN 1 ELSE -1 END)::BIGINT AS sense, count(*) AS n FROM hf JOIN f USING (k) GROUP BY 1, 2")
 add("c05_opposite_sides", lambda s: s.createDataFrame([(f, numbering.opposite_side(model.HEX, 2, f)[1]) for f in range(6)], "face long, opposite long"), f"WITH {S} SELECT a.side::BIGINT AS face, b.side::BIGINT AS opposite FROM sub a JOIN sub b ON a.etype = 9 AND a.subdim = 2 AND b.etype = 9 AND b.subdim = 2 AND NOT list_has_any(a.local, b.local)")
 add("c06_match", lambda s: long(s.range(4).select(numbering.match(F.array(*map(F.lit, (5, 7, 9, 11))), F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in ((9, 11, 5, 7), (7, 5, 11, 9), (5, 9, 7, 11), (5, 7, 9, 11)))), (F.col("id") + 1).cast("int"))).alias("m"), "id").select("id", "m.direct", "m.offset"), "direct", "offset"), "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 2::BIGINT), (1, -1, 1), (2, 0, -1), (3, 1, 0)) v(id, direct, \"offset\")")
 add("c07_side_element", lambda s: adj.sub_entities(hexes(s).elements, 2).filter("side = 3").select("elem", text("key").alias("key")), f"{HEX}{half('bh', 9, 2)} SELECT elem, {K} FROM hf WHERE side = 3")
@@ -124,6 +124,11 @@ add("k15_partition_square", lambda s: s.createDataFrame([(len(partition((0, 0, 0
 add("k19_refine_quads", lambda s: _counts(mutation.refine(quads(s), model.QUAD)), "SELECT 289::BIGINT AS vertices, 256::BIGINT AS elements")
 add("k19_refine_tris", lambda s: _counts(mutation.refine(tris(s), model.TRI)), "SELECT 289::BIGINT AS vertices, 512::BIGINT AS elements")
 add("k19_refine_hexes", lambda s: _counts(mutation.refine(t.hex_mesh(s, 3), model.HEX)), "SELECT 343::BIGINT AS vertices, 216::BIGINT AS elements")
+add("k19_refine_tris_by_3", lambda s: _counts(mutation.refine(tris(s), model.TRI, 3)), "SELECT 625::BIGINT AS vertices, 1152::BIGINT AS elements")
+add("k19_refine_quads_by_5", lambda s: _counts(mutation.refine(quads(s), model.QUAD, 5)), "SELECT 1681::BIGINT AS vertices, 1600::BIGINT AS elements")
+add("k19_refine_hexes_by_3", lambda s: _counts(mutation.refine(t.hex_mesh(s, 2), model.HEX, 3)), "SELECT 343::BIGINT AS vertices, 216::BIGINT AS elements")
+add("k19_refine_tets", lambda s: _tet_volumes(mutation.refine(tets(s), model.TET, 2)), "SELECT 343::BIGINT AS vertices, 1296::BIGINT AS n, 20833::BIGINT AS low, 20833::BIGINT AS high, 27000000::BIGINT AS total")
+add("k19_hierarchy", lambda s: _levels(mutation.hierarchy(t.tri_mesh(s, 3), model.TRI, [2, 3])), "SELECT * FROM (VALUES (0::BIGINT, 16::BIGINT, 18::BIGINT), (1, 49, 72), (2, 361, 648)) v(level, vertices, elements)")
 add("k19_refined_volume", lambda s: _volume(mutation.refine(t.hex_mesh(s, 3), model.HEX)), "SELECT 27000000::BIGINT AS volume, 216::BIGINT AS positive")
 add("k20_parents", lambda s: mutation.refine(quads(s), model.QUAD).elements.select("handle", mutation.parent_of(H(), 4).alias("parent")), f"SELECT {3 << 56} + c AS handle, {3 << 56} + (c - 1) // 4 + 1 AS parent FROM range(1, 257) t(c)")
 add("k21_on_boundary", lambda s: skinning.on_boundary(hexes(s), 3), f"{HEX} SELECT handle, (i IN (0, {N - 1}) OR j IN (0, {N - 1}) OR k IN (0, {N - 1})) AS boundary FROM bh")
@@ -153,6 +158,22 @@ def _counts(m):
     return m.spark.range(1).select(F.lit(m.vertices.count()).cast("long").alias("vertices"), F.lit(m.elements.count()).cast("long").alias("elements"))
 
 
+def _tet_volumes(m):
+    from ..operators.measures import measures
+
+    v = F.col("measure")
+    micro = lambda c: F.floor(c * 1e6 + 0.5).cast("long")
+    return measures(m, 3).agg(F.count("*").alias("n"), micro(F.min(v)).alias("low"), micro(F.max(v)).alias("high"), micro(F.sum(v)).alias("total")).withColumn("vertices", F.lit(m.vertices.count()).cast("long"))
+
+
+def _levels(levels):
+    out = None
+    for i, m in enumerate(levels):
+        row = _counts(m).withColumn("level", F.lit(i).cast("long"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _volume(m):
     from ..operators.measures import quality_of
 

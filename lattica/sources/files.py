@@ -2,24 +2,25 @@
 
 A reader parses each file in one task (files are read in parallel) into rows of
 one relation, from which vertices, elements, sets and tags are lazy selections.
-Handles of the n-th file (by path) are shifted by ``n << 36``. Writers stream
-rows in handle order from the executors.
+Handles of the n-th file (by path) are shifted by ``n << 36``. Writers make the
+lines on the executors, in ranges of handles, and one task joins the pieces.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
 from ..model import EDGE, HEX, POLYGON, PRISM, PYRAMID, QUAD, TET, TRI, VERTEX, Mesh, MeshError, Tag
+from .options import Options
 
 FILE_SHIFT = 36
 
@@ -32,6 +33,7 @@ class Parsed:
     cells: list[tuple[int, list[int]]] = field(default_factory=list)
     values: list[tuple[str, bool, int, float]] = field(default_factory=list)
     sets: dict[str, list[int]] = field(default_factory=dict)
+    point_sets: dict[str, list[int]] = field(default_factory=dict)
 
 
 # VTK cell types, their entity types and, where it differs, their vertex order.
@@ -354,6 +356,7 @@ def _table(path: str, p: Parsed) -> pa.Table:
     rows: list[tuple] = [("v", i + 1, 0, None, *q, None) for i, q in enumerate(p.points)]
     rows += [("e", ids[i], t, [c + 1 for c in conn], None, None, None, None) for i, (t, conn) in enumerate(p.cells)]
     rows += [("s", ids[c], p.cells[c][0], None, None, None, None, name) for name, cells in p.sets.items() for c in cells]
+    rows += [("s", i + 1, VERTEX, None, None, None, None, name) for name, points in p.point_sets.items() for i in points]
     rows += [("p" if on else "c", i + 1 if on else ids[i], 0 if on else p.cells[i][0], None, v, None, None, name) for name, on, i, v in p.values]
     cols = list(zip(*rows)) if rows else [[]] * 8
     types = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.float64(), pa.string())
@@ -361,15 +364,21 @@ def _table(path: str, p: Parsed) -> pa.Table:
     return pa.table([pa.array([path] * len(rows), pa.string()), *arrays], ["path", "kind", "num", "etype", "conn", "x", "y", "z", "name"])
 
 
-def load(spark: SparkSession, path: str, format: str | None = None, **options: str) -> Mesh:
+def load(spark: SparkSession, path: str, format: str | None = None, options: str = "", **more: str) -> Mesh:
     """Read one file, or all files of a folder or pattern, into a mesh.
 
-    The reader is chosen by ``format`` or the suffix. Unknown options are an
-    error. Sets get list handles in order of file and name, with their names in
-    tag NAME; values become tags named as in the file.
+    The reader is chosen by ``format`` or the suffix. Sets get list handles in
+    order of file and name, with their names in tag NAME; values become tags named
+    as in the file. ``options`` is an option string: NO_TAGS leaves out values,
+    NO_SETS sets, PARALLEL=READ_PART with RANK and RANKS keeps one of equal shares
+    of each dimension's elements with their vertices (BCAST, the default, keeps
+    all). Options that no part of the reader asks for are an error.
     """
-    if options:
-        raise MeshError("UNHANDLED_OPTION", ", ".join(options))
+    asked = Options.parse(";".join([options, *(f"{n}={v}" for n, v in more.items())]))
+    no_tags, no_sets = asked.flag("NO_TAGS"), asked.flag("NO_SETS")
+    way = asked.choice("PARALLEL", ["NONE", "BCAST", "READ_PART"]) if "parallel" in {n.lower() for n, _ in asked.items} else 0
+    share = (asked.integer("RANK"), asked.integer("RANKS")) if way == 2 else None
+    asked.done()
     if format is not None:
         _parser_of("", format)
 
@@ -392,7 +401,25 @@ def load(spark: SparkSession, path: str, format: str | None = None, **options: s
     names = [r["name"] for r in rows.filter("kind IN ('p', 'c')").select("name").distinct().collect()]
     tags = {n: Tag(n, "double", placed.filter((F.col("name") == n) & F.col("kind").isin("p", "c")).select(entity.alias("entity"), F.col("x").alias("value"))) for n in names}
     tags["NAME"] = Tag("NAME", "string", named.select(F.col("set").alias("entity"), F.col("name").alias("value")))
-    return Mesh(vertices, elements, named.select(F.col("set").alias("handle"), F.lit(model.SET_LIKE).alias("flags")), members, spark.createDataFrame([], "parent long, child long, pos int"), None, tags)
+    if no_tags:
+        tags = {"NAME": tags["NAME"]}
+    if no_sets:
+        named, members, tags = named.limit(0), members.limit(0), {n: t for n, t in tags.items() if n != "NAME"}
+    mesh = Mesh(vertices, elements, named.select(F.col("set").alias("handle"), F.lit(model.SET_LIKE).alias("flags")), members, spark.createDataFrame([], "parent long, child long, pos int"), None, tags)
+    return mesh if share is None else part(mesh, *share)
+
+
+def part(mesh: Mesh, rank: int, ranks: int) -> Mesh:
+    """What one of several readers keeps: its share of the elements, their vertices, and what sets and tags say of both."""
+    from dataclasses import replace
+
+    from .util import gathered_nodes, part_of
+
+    own = mesh.elements.join(part_of(mesh.elements.select("handle"), rank, ranks), "handle", "left_semi")
+    vertices = gathered_nodes(mesh, own.select("handle"))
+    kept = own.select("handle").union(vertices.select("handle")).union(mesh.sets.select("handle")).withColumnRenamed("handle", "entity")
+    tags = {n: replace(t, values=t.values.join(kept, "entity", "left_semi")) for n, t in mesh.tags.items()}
+    return mesh.with_(vertices=vertices, elements=own, members=mesh.members.join(kept, "entity", "left_semi").select("set", "pos", "entity"), tags=tags)
 
 
 def load_tetgen(spark: SparkSession, node: str) -> Mesh:
@@ -416,107 +443,145 @@ def load_tetgen(spark: SparkSession, node: str) -> Mesh:
 
 # sinks ---------------------------------------------------------------------------
 
-def _ranked(mesh: Mesh) -> tuple[DataFrame, DataFrame]:
+def _numbered(mesh: Mesh) -> tuple[DataFrame, DataFrame]:
     """Vertices with places from 0 in handle order, and elements whose connectivity has such places."""
+    from ..operators.fixpoint import store
     from ..operators.ranges import index
 
-    place = index(mesh.vertices.select("handle"))
-    vertices = mesh.vertices.join(place, "handle").orderBy("index")
+    place = store(mesh.spark, index(mesh.vertices.select("handle")))
+    vertices = mesh.vertices.join(place, "handle")
     inc = mesh.incidence().join(place.withColumnRenamed("handle", "vertex"), "vertex")
     conn = inc.groupBy(F.col("elem").alias("handle")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "index"))), lambda s: s["index"]).alias("conn"))
-    return vertices, mesh.elements.select("handle", "etype").join(conn, "handle").orderBy("handle")
+    return vertices, store(mesh.spark, mesh.elements.select("handle", "etype").join(conn, "handle"))
 
 
-def _write(uri: str, lines: Iterable[str]) -> None:
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_output_stream(path) as out:
-        held: list[str] = []
-        for line in lines:
-            held.append(line)
-            if len(held) >= 20_000:
-                out.write(("\n".join(held) + "\n").encode())
-                held.clear()
-        if held:
-            out.write(("\n".join(held) + "\n").encode())
+def _lines(df: DataFrame, by: str, line: Column) -> DataFrame:
+    """Lines of a table in order of a column, made by the executors."""
+    return df.select(F.col(by).alias("_by"), line.alias("value")).orderBy("_by").select("value")
 
 
-def save_vtk(mesh: Mesh, uri: str, tags: tuple[str, ...] = (), precision: int = 17) -> None:
-    """VTK legacy ASCII; tags of vertices become point scalars, tags of elements cell scalars."""
-    vertices, elements = _ranked(mesh)
+def _write(spark: SparkSession, uri: str, sections: list[str | DataFrame]) -> None:
+    """Write one file of lines and tables of lines, in their order.
+
+    Each table is written in pieces by the executors, in range order; one task
+    then copies the pieces, byte by byte, to their place. No row passes the driver.
+    """
+    pieces: list[tuple[str, bool]] = []
+    for n, section in enumerate(sections):
+        if isinstance(section, str):
+            pieces.append((section, False))
+        else:
+            folder = f"{uri}.parts/{n}"
+            section.write.mode("overwrite").text(folder)
+            pieces.append((folder, True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            store, path = fs.FileSystem.from_uri(uri)
+            with store.open_output_stream(path) as out:
+                for what, is_folder in pieces:
+                    if not is_folder:
+                        out.write((what + "\n").encode())
+                        continue
+                    found = store.get_file_info(fs.FileSelector(fs.FileSystem.from_uri(what)[1]))
+                    for info in sorted(found, key=lambda x: x.path):
+                        if info.base_name.startswith("part-") and info.size:
+                            with store.open_input_stream(info.path) as piece:
+                                while chunk := piece.read(8 << 20):
+                                    out.write(chunk)
+            if store.get_file_info(f"{path}.parts").type == fs.FileType.Directory:
+                store.delete_dir(f"{path}.parts")
+            yield batch
+
+    spark.range(1, numPartitions=1).mapInArrow(run, "id long").collect()
+
+
+def _point(start: str = "") -> Column:
+    return F.concat_ws(" ", *([F.lit(start)] if start else []), *(F.col(c).cast("string") for c in "xyz"))
+
+
+def save_vtk(mesh: Mesh, uri: str, tags: tuple[str, ...] = ()) -> None:
+    """VTK legacy ASCII; tags of vertices become point scalars, tags of elements cell scalars. Numbers keep all their digits."""
+    spark = mesh.spark
+    vertices, elements = _numbered(mesh)
     counts = elements.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("conn") + 1), F.lit(0)).alias("size")).first()
     n = mesh.vertices.count()
-
-    def scalars(kind: str, own: DataFrame, total: int) -> Iterator[str]:
+    conn = F.col("conn")
+    for t, kind in VTK_OF.items():
+        if order := VTK_ORDER.get(kind):
+            conn = F.when((F.col("etype") == t) & (F.size("conn") == len(order)), F.array(*(F.element_at("conn", i + 1) for i in order))).otherwise(conn)
+    kinds = F.create_map(*(F.lit(x) for kv in VTK_OF.items() for x in kv))
+    sections: list[str | DataFrame] = ["# vtk DataFile Version 3.0", "mesh", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n} double", _lines(vertices, "handle", _point())]
+    sections += [f"CELLS {counts['n']} {counts['size']}", _lines(elements, "handle", F.concat_ws(" ", F.size("conn").cast("string"), conn.cast("array<string>")))]
+    sections += [f"CELL_TYPES {counts['n']}", _lines(elements, "handle", F.element_at(kinds, F.col("etype").cast("int")).cast("string"))]
+    for kind, own, total in (("POINT_DATA", vertices, n), ("CELL_DATA", elements, counts["n"])):
         first = True
         for name in tags:
             values = mesh.tag(name).values.withColumnRenamed("entity", "handle")
-            found = own.join(values, "handle", "left")
+            found = own.select("handle").join(values, "handle", "left")
             if found.filter("value IS NOT NULL").isEmpty():
                 continue
-            if first:
-                yield f"{kind} {total}"
-                first = False
-            yield f"SCALARS {name} double 1"
-            yield "LOOKUP_TABLE default"
-            yield from (repr(float(r["value"] or 0)) for r in found.orderBy("handle").select("value").toLocalIterator())
-
-    def lines() -> Iterator[str]:
-        yield from ("# vtk DataFile Version 3.0", "mesh", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n} double")
-        yield from (f"{r['x']:.{precision}g} {r['y']:.{precision}g} {r['z']:.{precision}g}" for r in vertices.toLocalIterator())
-        yield f"CELLS {counts['n']} {counts['size']}"
-        for r in elements.toLocalIterator():
-            order = VTK_ORDER.get(VTK_OF[r["etype"]])
-            conn = [r["conn"][i] for i in order] if order and len(order) == len(r["conn"]) else r["conn"]
-            yield " ".join(map(str, [len(conn), *conn]))
-        yield f"CELL_TYPES {counts['n']}"
-        yield from (str(VTK_OF[r["etype"]]) for r in elements.select("etype").toLocalIterator())
-        yield from scalars("POINT_DATA", mesh.vertices.select("handle"), n)
-        yield from scalars("CELL_DATA", mesh.elements.select("handle"), counts["n"])
-
-    _write(uri, lines())
+            sections += [f"{kind} {total}"] * first + [f"SCALARS {name} double 1", "LOOKUP_TABLE default", _lines(found, "handle", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).cast("string"))]
+            first = False
+    _write(spark, uri, sections)
 
 
 def save_gmsh(mesh: Mesh, uri: str) -> None:
     """Gmsh 2.2 ASCII."""
-    vertices, elements = _ranked(mesh)
+    from ..operators.ranges import ranked
 
-    def lines() -> Iterator[str]:
-        yield from ("$MeshFormat", "2.2 0 8", "$EndMeshFormat", "$Nodes", str(mesh.vertices.count()))
-        yield from (f"{r['index'] + 1} {r['x']!r} {r['y']!r} {r['z']!r}" for r in vertices.toLocalIterator())
-        yield from ("$EndNodes", "$Elements", str(mesh.elements.count()))
-        for i, r in enumerate(elements.toLocalIterator(), 1):
-            yield " ".join(map(str, [i, GMSH_OF[r["etype"]], 2, 1, 1, *(c + 1 for c in r["conn"])]))
-        yield "$EndElements"
-
-    _write(uri, lines())
+    vertices, elements = _numbered(mesh)
+    kinds = F.create_map(*(F.lit(x) for kv in GMSH_OF.items() for x in kv))
+    rows = ranked(elements, ["handle"], "_n")
+    head = F.concat_ws(" ", (F.col("_n") + 1).cast("string"), F.element_at(kinds, F.col("etype").cast("int")).cast("string"), F.lit("2 1 1"))
+    sections = ["$MeshFormat", "2.2 0 8", "$EndMeshFormat", "$Nodes", str(mesh.vertices.count()), _lines(vertices, "handle", F.concat_ws(" ", (F.col("index") + 1).cast("string"), _point())), "$EndNodes", "$Elements", str(mesh.elements.count())]
+    sections += [_lines(rows, "handle", F.concat_ws(" ", head, F.transform("conn", lambda c: (c + 1).cast("string")))), "$EndElements"]
+    _write(mesh.spark, uri, sections)
 
 
 def save_stl(mesh: Mesh, uri: str) -> None:
     """STL ASCII of all triangles."""
+    from ..functions.geometry import V
     from ..operators.measures import triangles
 
-    def lines() -> Iterator[str]:
-        yield "solid mesh"
-        for r in triangles(mesh).orderBy("handle").toLocalIterator():
-            p = [np.array([r[n]["x"], r[n]["y"], r[n]["z"]]) for n in "abc"]
-            normal = np.cross(p[1] - p[0], p[2] - p[0])
-            size = np.linalg.norm(normal)
-            normal = normal / size if size else normal
-            yield f"facet normal {normal[0]!r} {normal[1]!r} {normal[2]!r}".replace("np.float64(", "").replace(")", "")
-            yield "outer loop"
-            yield from (f"vertex {float(q[0])!r} {float(q[1])!r} {float(q[2])!r}" for q in p)
-            yield from ("endloop", "endfacet")
-        yield "endsolid mesh"
-
-    _write(uri, lines())
+    a, b, c = (V.of(n) for n in "abc")
+    up = (b - a).cross(c - a)
+    size = up.length()
+    normal = F.concat_ws(" ", *(F.when(size > 0, x / size).otherwise(x).cast("string") for x in (up.x, up.y, up.z)))
+    corner = lambda v: F.concat_ws(" ", F.lit("vertex"), *(x.cast("string") for x in (v.x, v.y, v.z)))
+    line = F.concat_ws("\n", F.concat(F.lit("facet normal "), normal), F.lit("outer loop"), corner(a), corner(b), corner(c), F.lit("endloop"), F.lit("endfacet"))
+    _write(mesh.spark, uri, ["solid mesh", _lines(triangles(mesh), "handle", line), "endsolid mesh"])
 
 
 def save_smf(mesh: Mesh, uri: str) -> None:
     """QSlim SMF of all faces."""
-    vertices, elements = _ranked(mesh)
+    vertices, elements = _numbered(mesh)
+    faces = elements.filter(model.of_dimension(F.col("handle"), 2))
+    _write(mesh.spark, uri, [_lines(vertices, "handle", _point("v")), _lines(faces, "handle", F.concat_ws(" ", F.lit("f"), F.transform("conn", lambda c: (c + 1).cast("string"))))])
+
+
+# Names of cells in GMV files.
+GMV_OF = {EDGE: "line", TRI: "tri", QUAD: "quad", TET: "tet", PYRAMID: "pyramid", PRISM: "prism", HEX: "hex"}
+
+
+def save_gmv(mesh: Mesh, uri: str) -> None:
+    """GMV ASCII: nodes by rows, and cells by name."""
+    vertices, elements = _numbered(mesh)
+    kinds = F.create_map(*(F.lit(x) for kv in GMV_OF.items() for x in kv))
+    cell = F.concat_ws(" ", F.element_at(kinds, F.col("etype").cast("int")), F.size("conn").cast("string"), F.transform("conn", lambda c: (c + 1).cast("string")))
+    _write(mesh.spark, uri, ["gmvinput ascii", f"nodev {mesh.vertices.count()}", _lines(vertices, "handle", _point()), f"cells {elements.count()}", _lines(elements, "handle", cell), "endgmv"])
+
 
-    def lines() -> Iterator[str]:
-        yield from (f"v {r['x']!r} {r['y']!r} {r['z']!r}" for r in vertices.toLocalIterator())
-        yield from ("f " + " ".join(str(c + 1) for c in r["conn"]) for r in elements.filter(model.of_dimension(F.col("handle"), 2)).toLocalIterator())
+def save_ansys(mesh: Mesh, uri: str) -> None:
+    """ANSYS preparation commands: a node each line, an element each line (further nodes on continued ones)."""
+    vertices, elements = _numbered(mesh)
+    from ..operators.ranges import ranked
 
-    _write(uri, lines())
+    node = F.concat_ws(",", F.lit("N"), (F.col("index") + 1).cast("string"), *(F.col(c).cast("string") for c in "xyz"))
+    rows = ranked(elements, ["handle"], "_n")
+    text = F.transform("conn", lambda c: (c + 1).cast("string"))
+    first = F.concat_ws(",", F.lit("EN"), (F.col("_n") + 1).cast("string"), F.slice(text, 1, 8))
+    more = F.when(F.size("conn") > 8, F.concat(F.lit("\nEMORE,"), F.concat_ws(",", F.slice(text, 9, 8)))).otherwise("")
+    _write(mesh.spark, uri, ["/PREP7", _lines(vertices, "handle", node), _lines(rows, "handle", F.concat(first, more)), "FINISH"])
