@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import EDGE, HEX, KNIFE, PRISM, QUAD, TET, TRI, MeshError
+from ..model import EDGE, HEX, KNIFE, PRISM, PYRAMID, QUAD, TET, TRI, MeshError
 from .geometry import V, det, tet_volume
 
 LARGE, SMALL = 1.7976931348623157e308, 2.2250738585072014e-308
@@ -525,6 +525,7 @@ METRICS: dict[int, dict[str, Metric]] = {
     QUAD: {k: globals()[f"quad_{k}"] for k in ("edge_ratio", "max_edge_ratio", "aspect_ratio", "radius_ratio", "med_aspect_frobenius", "max_aspect_frobenius", "skew", "taper", "warpage", "area", "stretch", "maximum_angle", "oddy", "condition", "jacobian", "scaled_jacobian", "shear", "shape", "relative_size", "shape_and_size", "shear_and_size")},
     TET: {k: globals()[f"tet_{k}"] for k in ("edge_ratio", "scaled_jacobian", "radius_ratio", "aspect_beta", "aspect_ratio", "aspect_gamma", "aspect_frobenius", "minimum_angle", "collapse_ratio", "condition", "jacobian", "shape", "relative_size")} | {"volume": tet_volume_metric},
     HEX: {k: globals()[f"hex_{k}"] for k in ("edge_ratio", "max_edge_ratio", "skew", "taper", "stretch", "diagonal", "oddy", "med_aspect_frobenius", "max_aspect_frobenius", "condition", "jacobian", "scaled_jacobian", "shear", "shape", "relative_size", "shape_and_size", "shear_and_size")} | {"volume": hex_volume_metric},
+    PYRAMID: {"volume": pyramid_volume},
     PRISM: {"volume": wedge_volume},
     KNIFE: {"volume": knife_volume},
 }

@@ -79,25 +79,34 @@ def other_group(sense: DataFrame) -> DataFrame:
     return sense.join(sense.select("key", F.col("group").alias("other")), "key").filter("group != other").select("key", "group", "other")
 
 
-def oriented_boxes(points: DataFrame) -> DataFrame:
-    """``(group, cx, cy, cz, l0, l1, l2)``: center and half lengths, longest first, of each group's covariance box.
+def principal_axes(points: DataFrame) -> DataFrame:
+    """``(group, mx, my, mz, a0x .. a2z)``: mean and principal axes, longest first, of each group of ``points(group, x, y, z)``.
 
-    ``points(group, x, y, z)``. The moments are sums that combine before the
-    shuffle; only one row a group is turned in Python, and extents follow from a join.
+    The moments are sums that combine before the shuffle; only one row a group
+    is turned in Python. An axis' largest part is above 0.
     """
     terms = [F.avg(c).alias(f"m{c}") for c in "xyz"] + [F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")]
     moments = points.groupBy("group").agg(*terms)
     names = [f"a{i}{c}" for i in range(3) for c in "xyz"]
+    means = ["mx", "my", "mz"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {n: np.nan_to_num(batch.column(f"c{n}").to_numpy(zero_copy_only=False).astype(float)) for n in ("xx", "yy", "zz", "xy", "xz", "yz")}
             m = np.array([[c["xx"], c["xy"], c["xz"]], [c["xy"], c["yy"], c["yz"]], [c["xz"], c["yz"], c["zz"]]]).transpose(2, 0, 1)
-            axes = np.linalg.eigh(m)[1][:, :, ::-1].transpose(0, 2, 1).reshape(-1, 9)
-            yield pa.RecordBatch.from_arrays([batch.column("group"), *(pa.array(axes[:, k]) for k in range(9))], ["group", *names])
+            axes = np.linalg.eigh(m)[1][:, :, ::-1].transpose(0, 2, 1)
+            most = np.take_along_axis(axes, np.abs(axes).argmax(2)[:, :, None], 2)
+            axes = (axes * np.where(most < 0, -1.0, 1.0)).reshape(-1, 9)
+            yield pa.RecordBatch.from_arrays([batch.column("group"), *(batch.column(c) for c in means), *(pa.array(np.ascontiguousarray(axes[:, k])) for k in range(9))], ["group", *means, *names])
 
     kind = dict(points.dtypes)["group"]
-    axes = moments.mapInArrow(run, f"group {kind}, " + ", ".join(f"{n} double" for n in names))
+    return moments.mapInArrow(run, f"group {kind}, " + ", ".join(f"{n} double" for n in means + names))
+
+
+def oriented_boxes(points: DataFrame) -> DataFrame:
+    """``(group, cx, cy, cz, l0, l1, l2)``: center and half lengths, longest first, of each group's covariance box of ``points(group, x, y, z)``."""
+    names = [f"a{i}{c}" for i in range(3) for c in "xyz"]
+    axes = principal_axes(points).drop("mx", "my", "mz")
     placed = points.join(axes, "group")
     dots = placed.select("group", *names, *((F.col(f"a{i}x") * F.col("x") + F.col(f"a{i}y") * F.col("y") + F.col(f"a{i}z") * F.col("z")).alias(f"d{i}") for i in range(3)))
     box = dots.groupBy("group", *names).agg(*(F.min(f"d{i}").alias(f"lo{i}") for i in range(3)), *(F.max(f"d{i}").alias(f"hi{i}") for i in range(3)))
