@@ -133,3 +133,80 @@ def inside_volume(points: DataFrame, tris: DataFrame, sense: str | None = None)
     w = solid_angle(V.of("p"), V.of("a"), V.of("b"), V.of("c"))
     turns = q.join(t, "_block").groupBy("pid").agg(F.sum(w * F.col(sense) if sense else w).alias("w"))
     return turns.select("pid", (F.abs("w") > 2 * math.pi).alias("inside"))
+
+
+def distortion(mesh: Mesh, etype: int, points: int = 2) -> DataFrame:
+    """``(handle, distortion)``: the least Jacobian at Gauss points, over the element's mean one; 1 for elements that nothing bends."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions import shapes
+
+    shape, (x, w) = shapes.shape(etype), shapes.rule(etype, points)
+    n = len(shape.nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            flat = batch.column("points").flatten()
+            nodes = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1).reshape(-1, n, 3)
+            sizes = np.stack([shapes.size_of(shapes.jacobians(shape, np.broadcast_to(at, (len(batch), len(at))), nodes)) for at in x], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("handle"), pa.array(sizes.min(1) * w.sum() / (sizes * w).sum(1))], ["handle", "distortion"])
+
+    return corner_points(mesh, etype=etype).filter(F.size("points") == n).select("handle", "points").mapInArrow(run, "handle long, distortion double")
+
+
+def fitted_normals(mesh: Mesh, degree: int = 2, rings: int = 1) -> DataFrame:
+    """``(handle, x, y, z, mean_curvature)`` of a surface's vertices, by fitting heights over the tangent plane.
+
+    The points of some rings of faces around a vertex are fitted by a polynomial of
+    a degree, least squares weighted by closeness; with too few points the degree
+    falls. A vertex' neighbourhood is bounded by the mesh's valence.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from .fixpoint import store
+
+    own = mesh.elements.filter(model.of_dimension(F.col("handle"), 2))
+    inc = store(mesh.spark, own.select(F.col("handle").alias("elem"), F.explode("conn").alias("vertex")))
+    near = inc.join(inc.withColumnRenamed("vertex", "other"), "elem").select("vertex", "other").distinct()
+    ring = near
+    for _ in range(rings - 1):
+        ring = store(mesh.spark, ring.join(near.select(F.col("vertex").alias("other"), F.col("other").alias("next")), "other").select("vertex", F.col("next").alias("other")).distinct())
+    pts = corner_points(mesh, 2)
+    a, b, c = (V.at(F.col("points"), i) for i in (0, 1, 2))
+    up = (b - a).cross(c - a)
+    normal = pts.select(F.col("handle").alias("elem"), up.x.alias("nx"), up.y.alias("ny"), up.z.alias("nz")).join(inc, "elem").groupBy("vertex").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in "xyz"))
+    rows = ring.join(mesh.vertices.select(F.col("handle").alias("other"), "x", "y", "z"), "other").join(normal, "vertex")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        vertex = pdf["vertex"].iloc[0]
+        p = pdf[["x", "y", "z"]].to_numpy()
+        p = p - p[(pdf["other"] == vertex).to_numpy()][0]
+        n = pdf[["nx", "ny", "nz"]].iloc[0].to_numpy(float)
+        n /= max(np.linalg.norm(n), 1e-300)
+        u = np.cross(n, np.eye(3)[np.abs(n).argmin()])
+        u /= np.linalg.norm(u)
+        v = np.cross(n, u)
+        s, t, h = p @ u, p @ v, p @ n
+        size = max(np.sqrt((s**2 + t**2).max()), 1e-300)
+        d = degree
+        while d > 1 and (d + 1) * (d + 2) // 2 - 1 > len(p) - 1:
+            d -= 1
+        terms = [(i - j, j) for i in range(1, d + 1) for j in range(i + 1)]
+        basis = np.stack([(s / size) ** i * (t / size) ** j for i, j in terms], 1)
+        weight = 1 / np.sqrt((s**2 + t**2) / size**2 + 0.1)
+        coef = np.linalg.lstsq(basis * weight[:, None], h * weight, rcond=None)[0]
+        got = {k: c / size ** sum(k) for k, c in zip(terms, coef)}
+        hs, ht = got[1, 0], got[0, 1]
+        m = n - hs * u - ht * v
+        m /= np.linalg.norm(m)
+        hss, hst, htt = 2 * got.get((2, 0), 0.0), got.get((1, 1), 0.0), 2 * got.get((0, 2), 0.0)
+        mean = ((1 + hs**2) * htt - 2 * hs * ht * hst + (1 + ht**2) * hss) / (2 * (1 + hs**2 + ht**2) ** 1.5)
+        return pd.DataFrame({"handle": [vertex], "x": [m[0]], "y": [m[1]], "z": [m[2]], "mean_curvature": [mean]})
+
+    return rows.groupBy("vertex").applyInPandas(fit, "handle long, x double, y double, z double, mean_curvature double")

@@ -245,31 +245,98 @@ def _template(etype: int, degree: int) -> tuple[list[dict[int, int]], list[tuple
     return weights, children
 
 
-def refine(mesh: Mesh, etype: int, degree: int = 2) -> Mesh:
+def refine(mesh: Mesh, etype: int, degree: int = 2, at: tuple[float, ...] | None = None) -> Mesh:
     """One level of uniform refinement of edges, triangles, quads, tetrahedra or hexahedra.
 
     New vertices are named by the corners that span them, with reduced weights,
-    so neighbours agree on them without any search.
+    so neighbours agree on them without any search. ``at`` sets the places, from 0
+    to 1 and alike from either end, at which edges of boxes are cut.
     """
+    return refined(mesh, etype, degree, at)[0]
+
+
+def refined(mesh: Mesh, etype: int, degree: int, at: tuple[float, ...] | None = None) -> tuple[Mesh, DataFrame]:
+    """As ``refine``, and the nodes ``(elem, all)`` of each element's lattice, the last direction fastest."""
     if etype not in (model.EDGE, model.TRI, model.QUAD, model.TET, model.HEX) or degree < 2:
         raise MeshError("NOT_IMPLEMENTED", f"{model.ETYPES[etype]} by {degree}")
     weights, children = _template(etype, degree)
     spark = mesh.spark
     own = mesh.elements.filter(model.of_type(F.col("handle"), etype))
-    spots = F.array(*(F.array(*(F.struct(F.lit(k + 1).alias("corner"), F.lit(w // math.gcd(*own_w.values())).alias("w")) for k, w in own_w.items())) for own_w in weights))
-    named = F.transform(spots, lambda spot: F.array_sort(F.transform(spot, lambda s: F.struct(F.element_at("conn", s["corner"]).alias("v"), s["w"].alias("w")))))
-    nodes = store(spark, own.select(F.col("handle").alias("elem"), F.posexplode(named).alias("spot", "key")))
-    fresh = nodes.filter(F.size("key") > 1).select("key").distinct().withColumn("_size", F.size("key"))
+    if at is not None and (etype in (model.TRI, model.TET) or len(at) != degree + 1):
+        raise MeshError("NOT_IMPLEMENTED", "places of cuts")
+    shares = [{k: w / sum(own.values()) for k, w in own.items()} for own in weights] if at is None else _shares(etype, at)
+    spots = F.array(*(F.array(*(F.struct(F.lit(k + 1).alias("corner"), F.lit(w // math.gcd(*own.values())).alias("w"), F.lit(float(share[k])).alias("f")) for k, w in own.items())) for own, share in zip(weights, shares)))
+    named = F.transform(spots, lambda spot: F.array_sort(F.transform(spot, lambda s: F.struct(F.element_at("conn", s["corner"]).alias("v"), s["w"].alias("w"), s["f"].alias("f")))))
+    listed = own.select(F.col("handle").alias("elem"), F.posexplode(named).alias("spot", "named"))
+    nodes = store(spark, listed.select("elem", "spot", F.transform("named", lambda s: F.struct(s["v"].alias("v"), s["w"].alias("w"))).alias("key"), "named"))
+    fresh = nodes.filter(F.size("key") > 1).groupBy("key").agg(F.min("named").alias("named")).withColumn("_size", F.size("key"))
     last = mesh.vertices.agg(F.max("handle")).first()[0]
-    new = store(spark, ranked(fresh, ["_size", "key"], "_n").select("key", (F.lit(last) + F.col("_n") + 1).cast("long").alias("handle")))
-    parts = new.select("handle", F.explode("key").alias("s")).select("handle", F.col("s.v").alias("v"), F.col("s.w").alias("w"))
-    placed = parts.join(mesh.vertices.withColumnRenamed("handle", "v"), "v").groupBy("handle").agg(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in "xyz"))
-    at = nodes.join(new, "key", "left").select("elem", "spot", F.coalesce("handle", F.element_at("key", 1)["v"]).alias("node"))
-    whole = at.groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("spot", "node"))), lambda s: s["node"]).alias("all"))
+    new = store(spark, ranked(fresh, ["_size", "key"], "_n").select("key", "named", (F.lit(last) + F.col("_n") + 1).cast("long").alias("handle")))
+    parts = new.select("handle", F.explode("named").alias("s")).select("handle", F.col("s.v").alias("v"), F.col("s.f").alias("f"))
+    placed = parts.join(mesh.vertices.withColumnRenamed("handle", "v"), "v").groupBy("handle").agg(*(F.sum(F.col(c) * F.col("f")).alias(c) for c in "xyz"))
+    known = nodes.join(new.select("key", "handle"), "key", "left").select("elem", "spot", F.coalesce("handle", F.element_at("key", 1)["v"]).alias("node"))
+    whole = known.groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("spot", "node"))), lambda s: s["node"]).alias("all"))
     kids = F.array(*(F.array(*(F.lit(i + 1) for i in c)) for c in children))
     rows = whole.select("elem", F.posexplode(F.transform(kids, lambda c: F.transform(c, lambda i: F.element_at("all", i)))).alias("k", "conn"))
     out = rows.select(model.handle(etype, (model.id_of(F.col("elem")) - 1) * len(children) + F.col("k") + 1).alias("handle"), F.lit(etype).alias("etype"), "conn")
-    return mesh.with_(vertices=mesh.vertices.unionByName(placed.select("handle", "x", "y", "z")), elements=out)
+    return mesh.with_(vertices=mesh.vertices.unionByName(placed.select("handle", "x", "y", "z")), elements=out), whole
+
+
+def _shares(etype: int, at: tuple[float, ...]) -> list[dict[int, float]]:
+    """Shares of the corners at the lattice points of a box cut at some places."""
+    ends = [tuple((x + 1) // 2 for x in c) for c in shapes.CORNERS[etype]]
+    spots = itertools.product(range(len(at)), repeat=model.DIMENSIONS[etype])
+    return [{k: math.prod(at[x] if one else 1 - at[x] for x, one in zip(p, e)) for k, e in enumerate(ends)} for p in spots]
+
+
+def spectral_fine(mesh: Mesh, etype: int, order: int) -> tuple[Mesh, DataFrame]:
+    """Elements cut at the Lobatto nodes of an order, and each coarse element's nodes ``(elem, all)``."""
+    at = tuple((shapes.lobatto(order)[0] + 1) / 2)
+    return refined(mesh, etype, order, at)
+
+
+def spectral_coarse(fine: Mesh, nodes: DataFrame, etype: int, order: int) -> Mesh:
+    """Back from the nodes ``(elem, all)`` of spectral elements: coarse elements with their corners, and the vertices that they use."""
+    ends = [tuple((x + 1) // 2 * order for x in c) for c in shapes.CORNERS[etype]]
+    dim = model.DIMENSIONS[etype]
+    corner = [sum(x * (order + 1) ** (dim - 1 - d) for d, x in enumerate(e)) for e in ends]
+    elements = nodes.select(F.col("elem").alias("handle"), F.lit(etype).alias("etype"), F.array(*(F.element_at("all", i + 1) for i in corner)).alias("conn"))
+    used = elements.select(F.explode("conn").alias("handle")).distinct()
+    return fine.with_(vertices=fine.vertices.join(used, "handle", "left_semi"), elements=elements)
+
+
+def refine_where(mesh: Mesh, marked) -> Mesh:
+    """Split the triangles' edges that ``marked(ends)`` picks: a condition on ``ax .. bz``, the ends of an edge.
+
+    A triangle is cut by the number of its marked edges into two, three or four;
+    neighbours share the new vertices, so the result conforms.
+    """
+    spark = mesh.spark
+    own = mesh.elements.filter(model.of_type(F.col("handle"), model.TRI))
+    half = adjacency.sub_entities(own, 1).select("elem", "side", "key")
+    ends = half.select("key").distinct().select("key", F.element_at("key", 1).alias("a"), F.element_at("key", 2).alias("b"))
+    for n in "ab":
+        ends = ends.join(mesh.vertices.select(F.col("handle").alias(n), *(F.col(c).alias(f"{n}{c}") for c in "xyz")), n)
+    last = mesh.vertices.agg(F.max("handle")).first()[0]
+    mids = store(spark, ranked(ends.filter(marked), ["key"], "_n").select("key", (F.lit(last) + F.col("_n") + 1).cast("long").alias("mid"), *(((F.col(f"a{c}") + F.col(f"b{c}")) / 2).alias(c) for c in "xyz")))
+    cut = half.join(mids.select("key", "mid"), "key", "left").groupBy(F.col("elem").alias("handle")).agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "mid"))), lambda s: s["mid"]).alias("m"))
+    rows = own.join(cut, "handle")
+    v, m = [F.element_at("conn", i + 1) for i in range(3)], [F.element_at("m", i + 1) for i in range(3)]
+    there = [x.isNotNull() for x in m]
+    turned = lambda c, k: [c[(i + k) % 3] for i in range(3)]
+    none = F.array(F.col("conn"))
+    kids = none
+    for k in range(3):
+        (a, b, c), (ab, bc, ca) = turned(v, k), turned(m, k)
+        one = F.array(F.array(a, ab, c), F.array(ab, b, c))
+        two = F.array(F.array(ab, b, bc), F.array(a, ab, bc), F.array(a, bc, c))
+        x, y, z = turned(there, k)
+        kids = F.when(x & ~y & ~z, one).when(x & y & ~z, two).otherwise(kids)
+    four = F.array(F.array(v[0], m[0], m[2]), F.array(m[0], v[1], m[1]), F.array(m[2], m[1], v[2]), F.array(m[0], m[1], m[2]))
+    kids = F.when(there[0] & there[1] & there[2], four).otherwise(kids)
+    cells = rows.select("handle", F.posexplode(kids).alias("k", "conn")).select(model.handle(model.TRI, (model.id_of(F.col("handle")) - 1) * 4 + F.col("k") + 1).alias("handle"), F.lit(model.TRI).alias("etype"), "conn")
+    rest = mesh.elements.filter(~model.of_type(F.col("handle"), model.TRI)).select("handle", F.col("etype").cast("int").alias("etype"), "conn")
+    return mesh.with_(vertices=mesh.vertices.unionByName(mids.select(F.col("mid").alias("handle"), "x", "y", "z")), elements=rest.unionByName(cells))
 
 
 def hierarchy(mesh: Mesh, etype: int, degrees: list[int]) -> list[Mesh]:

@@ -236,3 +236,127 @@ def _remapped(s):
     files.save_vtk(m.with_(vertices=m.vertices.select("handle", *((F.col(c) * 2).alias(c) for c in "xyz"))), one)
     return cli.run(s, ["remap", one, two]).select("pieces", "sources", "targets", micro(F.col("area")).alias("area"))
 
+
+
+# more of refinement, spheres and surfaces -------------------------------------------------------
+add("k22_refine_where", lambda s, d: _refined_where(s), "SELECT 145::BIGINT AS vertices, 256::BIGINT AS elements, 64000000::BIGINT AS area, 0::BIGINT AS odd_edges")
+add("k26_spectral_fine", lambda s, d: _spectral_counts(s), f"SELECT 343::BIGINT AS vertices, 216::BIGINT AS elements, 7::BIGINT AS planes, {u('(1 - 1/sqrt(5.0)) / 2')} AS second")
+add("k26_spectral_coarse", lambda s, d: _spectral_back(s).elements.select("handle", F.array_join("conn", ",").alias("conn")), f"WITH {t.hex_sql(2)} SELECT handle, array_to_string(conn, ',') AS conn FROM bh")
+add("k25_fitted_plane", lambda s, d: measures.fitted_normals(_tilted(s)).select("handle", *(micro(F.col(c)).alias(c) for c in "xyz")), f"WITH {t.quad_sql(8)} SELECT handle, {u('-2 / sqrt(6.0)')} AS x, {u('1 / sqrt(6.0)')} AS y, {u('1 / sqrt(6.0)')} AS z FROM qv")
+add("k25_fitted_sphere", lambda s, d: _fitted_sphere(s), "SELECT true AS normals, true AS curvature")
+add("v07_distortion_hex", lambda s, d: measures.distortion(t.hex_mesh(s, 4), model.HEX).select("handle", micro(F.col("distortion")).alias("distortion")), f"WITH {t.hex_sql(4)} SELECT handle, 1000000::BIGINT AS distortion FROM bh")
+add("v07_distortion_quad", lambda s, d: measures.distortion(_tapered(s), model.QUAD).select("handle", micro(F.col("distortion")).alias("distortion")), f"WITH {t.quad_sql(8)} SELECT handle, {u('(1 + 0.1*(j + 0.5 - 0.5/sqrt(3.0))) / (1 + 0.1*(j + 0.5))')} AS distortion FROM qh")
+_ARC = "WITH " + t.points_sql(1.0, 0.0) + ", q AS (SELECT pid, atan2(y, x) AS lon FROM pts)"
+add("g13_arc_crossing", lambda s, d: _arcs(s, d), f"{_ARC} SELECT pid, {u('cos(lon)')} AS x, {u('sin(lon)')} AS y, 0::BIGINT AS z FROM q WHERE abs(lon) <= 1")
+add("g13_latitude", lambda s, d: _latitudes(s, d), f"{_ARC} SELECT pid, 1::BIGINT AS n, {u('sqrt(0.91)*cos(lon)')} AS x, {u('sqrt(0.91)*sin(lon)')} AS y FROM q")
+add("g13_orientation", lambda s, d: _reoriented(s), "SELECT true AS before, true AS after, 96::BIGINT AS n")
+add("g13_collapsed_quads", lambda s, d: _collapsed(s), "SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, '1,2,3'), (2, 3, '1,2,3,4'), (3, 2, '2,3,4')) v(id, etype, conn)")
+add("g13_convex_parts", lambda s, d: _convex(s), "SELECT * FROM (VALUES (1::BIGINT, '1,2,3,4'), (2, '4,1,2'), (2, '4,2,3')) v(id, conn)")
+
+
+def _refined_where(s):
+    from ..operators import mutation
+
+    length = sum((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in "xyz")
+    m = mutation.refine_where(t.tri_mesh(s, 8), length > 1.5)
+    from ..operators import adjacency
+
+    odd = adjacency.facets(m, 2).groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").count()
+    area = measures.measures(m, 2).agg(F.count("*").alias("elements"), micro(F.sum("measure")).alias("area"))
+    return area.select(F.lit(m.vertices.count()).cast("long").alias("vertices"), "elements", "area", F.lit(odd).cast("long").alias("odd_edges"))
+
+
+def _spectral_counts(s):
+    from ..operators import mutation
+
+    fine, _ = mutation.spectral_fine(t.hex_mesh(s, 2), model.HEX, 3)
+    x = micro(F.col("x"))
+    planes = fine.vertices.agg(F.countDistinct(x).alias("planes"), F.min(F.when(F.col("x") > 1e-9, x)).alias("second"))
+    return planes.select(F.lit(fine.vertices.count()).cast("long").alias("vertices"), F.lit(fine.elements.count()).cast("long").alias("elements"), "planes", "second")
+
+
+def _spectral_back(s):
+    from ..operators import mutation
+
+    fine, nodes = mutation.spectral_fine(t.hex_mesh(s, 2), model.HEX, 3)
+    return mutation.spectral_coarse(fine, nodes, model.HEX, 3)
+
+
+def _tilted(s):
+    m = t.quad_mesh(s, 8)
+    return m.with_(vertices=m.vertices.select("handle", "x", "y", (2 * F.col("x") - F.col("y")).alias("z")))
+
+
+def _tapered(s):
+    m = t.quad_mesh(s, 8)
+    return m.with_(vertices=m.vertices.select("handle", (F.col("x") * (1 + 0.1 * F.col("y"))).alias("x"), "y", "z"))
+
+
+def _fitted_sphere(s):
+    """Normals of a fine sphere are its radii, and its mean curvature is 1 (bent away from the normals)."""
+    from ..operators import mutation
+    from .queries_geometry import _sphere_mesh
+
+    m = _sphere_mesh(s, 12)
+    pairs = mutation.merge_map(m.vertices, 1e-6)
+    m = mutation.remap(m, store(s, pairs))
+    m = m.with_(vertices=store(s, m.vertices), elements=store(s, m.elements))
+    got = measures.fitted_normals(m, 2, 2).join(m.vertices.select("handle", *(F.col(c).alias(f"p{c}") for c in "xyz")), "handle")
+    dot = sum(F.col(c) * F.col(f"p{c}") for c in "xyz")
+    return got.agg((F.min(F.abs(dot)) > 0.9999).alias("normals"), (F.max(F.abs(F.abs("mean_curvature") - 1)) < 0.03).alias("curvature"))
+
+
+def _longitude(s, d):
+    return t.points(s, d, 1.0, 0.0).select("pid", F.atan2("y", "x").alias("lon"))
+
+
+def _at(lon, lat):
+    return V(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+
+
+def _arcs(s, d):
+    from ..functions import sphere
+
+    lon, one, zero, half = F.col("lon"), F.lit(1.0), F.lit(0.0), F.lit(0.5)
+    q = sphere.arc_crossing(_at(-one, zero), _at(one, zero), _at(lon, -half), _at(lon, half))
+    return _longitude(s, d).select("pid", q.alias("q")).filter("q IS NOT NULL").select("pid", *(micro(F.col(f"q.{c}")).alias(c) for c in "xyz"))
+
+
+def _latitudes(s, d):
+    from ..functions import sphere
+
+    lon = F.col("lon")
+    q = sphere.latitude_crossings(_at(lon, F.lit(0.0)), _at(lon, F.lit(1.0)), 0.3)
+    return _longitude(s, d).select("pid", q.alias("q")).select("pid", F.size("q").cast("long").alias("n"), *(micro(F.element_at("q", 1)[c]).alias(c) for c in "xy"))
+
+
+def _reoriented(s):
+    from ..functions import sphere
+    from .queries_geometry import _sphere_mesh
+
+    m = _sphere_mesh(s, 4)
+    odd = model.id_of(H()) % 2 == 1
+    p = measures.corner_points(m, 2).join(m.elements.select("handle", "conn"), "handle")
+    p = p.withColumn("points", F.when(odd, F.reverse("points")).otherwise(F.col("points"))).withColumn("conn", F.when(odd, F.reverse("conn")).otherwise(F.col("conn")))
+    right = F.when(odd, ~sphere.is_positive(F.col("points"))).otherwise(sphere.is_positive(F.col("points")))
+    done = sphere.positive(F.col("conn"), F.col("points"))
+    plain = m.elements.select("handle", F.col("conn").alias("old"))
+    ring = lambda c: F.concat_ws(",", F.concat(F.slice(c, F.array_position(c, F.array_min(c)).cast("int"), 4), F.slice(c, F.lit(1), F.array_position(c, F.array_min(c)).cast("int") - 1)))
+    return p.select("handle", right.alias("r"), done.alias("done")).join(plain, "handle").agg(F.bool_and("r").alias("before"), F.bool_and(ring(F.col("done")) == ring(F.col("old"))).alias("after"), F.count("*").alias("n"))
+
+
+def _collapsed(s):
+    from ..functions import sphere
+
+    rows = s.createDataFrame([(1, [1, 2, 3, 3]), (2, [1, 2, 3, 4]), (3, [4, 2, 3, 4])], "id long, conn array<long>")
+    done = sphere.without_repeats(F.col("conn"))
+    return rows.select("id", sphere.type_of_size(done).cast("long").alias("etype"), F.array_join(done, ",").alias("conn"))
+
+
+def _convex(s):
+    from ..functions import sphere
+
+    corner = lambda lon, lat: F.struct(*(c.alias(n) for n, c in zip("xyz", (lambda v: (v.x, v.y, v.z))(_at(F.lit(float(lon)), F.lit(float(lat)))))))
+    whole, bent = [(0, 0), (0.4, 0), (0.4, 0.4), (0, 0.4)], [(0, 0), (0.4, 0), (0.4, 0.4), (0.25, 0.15)]
+    rows = s.range(1, 3).select(F.col("id"), F.when(F.col("id") == 1, F.array(*(corner(*p) for p in whole))).otherwise(F.array(*(corner(*p) for p in bent))).alias("points"), F.array(*(F.lit(i).cast("long") for i in (1, 2, 3, 4))).alias("conn"))
+    return rows.select("id", F.explode(sphere.convex_parts(F.col("conn"), F.col("points"))).alias("c")).select("id", F.array_join("c", ",").alias("conn"))
