@@ -7,7 +7,6 @@ first-order finite-volume map are overlap areas over target areas.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,100 +18,120 @@ from ..model import Mesh
 from . import measures, spatial
 
 
-def clip(subject: list[tuple[float, float]], window: list[tuple[float, float]], eps: float = 1e-12) -> list[tuple[float, float]]:
-    """The part of a polygon inside a convex window that runs counter-clockwise."""
-    out = subject
-    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
-        got, out = out, []
-        for (px, py), (qx, qy) in zip(got, got[1:] + got[:1]):
-            s = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-            t = (bx - ax) * (qy - ay) - (by - ay) * (qx - ax)
-            if s >= -eps:
-                out.append((px, py))
-            if (s > eps and t < -eps) or (s < -eps and t > eps):
-                u = s / (s - t)
-                out.append((px + u * (qx - px), py + u * (qy - py)))
-        if not out:
-            return []
-    return out
+def _padded(column: pa.Array, fields: str) -> np.ndarray:
+    """Polygons of a batch as ``(rows, corners, fields)``; shorter ones repeat their last corner."""
+    start, end = np.asarray(column.offsets)[:-1], np.asarray(column.offsets)[1:]
+    most = int((end - start).max(initial=1))
+    at = np.minimum(start[:, None] + np.arange(most), (end - 1)[:, None])
+    flat = column.values
+    return np.stack([flat.field(c).to_numpy(zero_copy_only=False)[at] for c in fields], 2)
 
 
-def polygon_area(p: list[tuple[float, float]]) -> float:
-    return sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1])) / 2
+def _held(points: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The kept corners of each row, in order, then the last of them again; rows without any keep zeros."""
+    count = keep.sum(1)
+    order = np.argsort(~keep, axis=1, kind="stable")[:, : max(1, int(count.max(initial=0)))]
+    at = np.take_along_axis(order, np.minimum(np.arange(order.shape[1]), np.maximum(count - 1, 0)[:, None]), 1)
+    return np.take_along_axis(points, at[:, :, None], 1) * (count > 0)[:, None, None]
 
 
-def _ccw(p: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    return p if polygon_area(p) >= 0 else p[::-1]
+def planar_areas(p: np.ndarray) -> np.ndarray:
+    """Signed areas of polygons ``(rows, corners, 2)``."""
+    q = np.roll(p, -1, 1)
+    return (p[:, :, 0] * q[:, :, 1] - q[:, :, 0] * p[:, :, 1]).sum(1) / 2
 
 
-def overlap_in_plane(source: Mesh, target: Mesh, least: float = 1e-12) -> DataFrame:
-    """``(source, target, area)`` of all overlapping pairs of faces in the plane z = 0."""
-    pairs = spatial.box_overlap_pairs(spatial.bounds(source, 2), spatial.bounds(target, 2))
+def _ccw(p: np.ndarray) -> np.ndarray:
+    return np.where((planar_areas(p) >= 0)[:, None, None], p, p[:, ::-1])
+
+
+def clip(subject: np.ndarray, window: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    """The parts of polygons inside convex windows that run counter-clockwise, all rows at once, a window edge at a time.
+
+    Both are ``(rows, corners, 2)``; what is cut away wholly comes out as zeros.
+    """
+    out = subject
+    for k in range(window.shape[1]):
+        a, b = window[:, k, None], window[:, (k + 1) % window.shape[1], None]
+        q = np.roll(out, -1, 1)
+        side = lambda p: (b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0])  # noqa: E731, B023
+        s, t = side(out), side(q)
+        cross = ((s > eps) & (t < -eps)) | ((s < -eps) & (t > eps))
+        u = np.where(cross, s / np.where(cross, s - t, 1.0), 0.0)[..., None]
+        both = np.stack([out, out + u * (q - out)], 2).reshape(len(out), -1, 2)
+        out = _held(both, np.stack([s >= -eps, cross], 2).reshape(len(out), -1))
+    return out
+
+
+def _overlap(source: Mesh, target: Mesh, margin: float, area) -> DataFrame:
+    """``(source, target, area)`` of pairs whose boxes meet and whose ``area(p, q)``, of padded corners, is above 0."""
+    pairs = spatial.box_overlap_pairs(spatial.bounds(source, 2), spatial.bounds(target, 2), margin)
     met = pairs.join(measures.corner_points(source, 2).select(F.col("handle").alias("a"), F.col("points").alias("p")), "a").join(measures.corner_points(target, 2).select(F.col("handle").alias("b"), F.col("points").alias("q")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, b, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "p", "q"))):
-                area = polygon_area(clip(_ccw([(s["x"], s["y"]) for s in p]), _ccw([(s["x"], s["y"]) for s in q])) or [(0.0, 0.0)])
-                if area > least:
-                    rows.append((a, b, area))
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["source", "target", "area"])
+            if len(batch):
+                got = area(_padded(batch.column("p"), "xyz"), _padded(batch.column("q"), "xyz"))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got)], ["source", "target", "area"]).filter(pa.array(got > 0))
 
     return met.select("a", "b", "p", "q").mapInArrow(run, "source long, target long, area double")
 
 
-def spherical_area(points: np.ndarray) -> float:
-    """Area of a polygon on the unit sphere by the fan from its first vertex."""
-    total = 0.0
-    a = points[0]
-    for b, c in zip(points[1:], points[2:]):
-        total += 2 * math.atan2(float(np.dot(a, np.cross(b, c))), 1 + float(a @ b) + float(b @ c) + float(c @ a))
+def overlap_in_plane(source: Mesh, target: Mesh, least: float = 1e-12) -> DataFrame:
+    """``(source, target, area)`` of all overlapping pairs of faces in the plane z = 0."""
+
+    def area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        got = planar_areas(clip(_ccw(p[:, :, :2]), _ccw(q[:, :, :2])))
+        return np.where(got > least, got, 0.0)
+
+    return _overlap(source, target, 0.0, area)
+
+
+def spherical_areas(points: np.ndarray) -> np.ndarray:
+    """Areas of polygons ``(rows, corners, 3)`` on the unit sphere by the fan from their first corners."""
+    a, dot = points[:, 0], lambda u, v: (u * v).sum(1)
+    total = np.zeros(len(points))
+    for k in range(1, points.shape[1] - 1):
+        b, c = points[:, k], points[:, k + 1]
+        total += 2 * np.arctan2(dot(a, np.cross(b, c)), 1 + dot(a, b) + dot(b, c) + dot(c, a))
     return total
 
 
 def clip_on_sphere(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Overlap of two convex spherical polygons: clipped where great circles are straight lines."""
-    center = q.mean(0)
-    center /= np.linalg.norm(center)
-    u = np.cross(center, np.eye(3)[np.abs(center).argmin()])
-    u /= np.linalg.norm(u)
+    """Overlaps of pairs of convex spherical polygons ``(rows, corners, 3)``: clipped where great circles are straight lines.
+
+    Rows that don't overlap, or of which a corner is not on the window's side of
+    the sphere, come out as zeros.
+    """
+    center = q.mean(1)
+    center /= np.linalg.norm(center, axis=1, keepdims=True)
+    u = np.cross(center, np.eye(3)[np.abs(center).argmin(1)])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     v = np.cross(center, u)
+    ahead = np.ones(len(p), bool)
 
-    def flat(x: np.ndarray) -> list[tuple[float, float]]:
-        w = x @ center
-        if (w <= 1e-9).any():
-            return []
-        return _ccw(list(zip((x @ u / w).tolist(), (x @ v / w).tolist())))
+    def flat(x: np.ndarray) -> np.ndarray:
+        nonlocal ahead
+        w = (x * center[:, None]).sum(2)
+        ahead &= (w > 1e-9).all(1)
+        w = np.where(w > 1e-9, w, 1.0)
+        return _ccw(np.stack([(x * u[:, None]).sum(2) / w, (x * v[:, None]).sum(2) / w], 2))
 
     a, b = flat(p), flat(q)
-    got = clip(a, b) if a and b else []
-    if len(got) < 3:
-        return np.empty((0, 3))
-    back = np.array([center + s * u + t * v for s, t in got])
-    return back / np.linalg.norm(back, axis=1, keepdims=True)
+    got = clip(a, b)
+    ahead &= planar_areas(got) > 0
+    back = center[:, None] + got[..., :1] * u[:, None] + got[..., 1:] * v[:, None]
+    return back / np.linalg.norm(back, axis=2, keepdims=True) * ahead[:, None, None]
 
 
 def overlap_on_sphere(source: Mesh, target: Mesh, least: float = 1e-14) -> DataFrame:
     """``(source, target, area)`` of overlapping faces on the unit sphere."""
-    margin = 0.05
-    pairs = spatial.box_overlap_pairs(spatial.bounds(source, 2), spatial.bounds(target, 2), margin)
-    met = pairs.join(measures.corner_points(source, 2).select(F.col("handle").alias("a"), F.col("points").alias("p")), "a").join(measures.corner_points(target, 2).select(F.col("handle").alias("b"), F.col("points").alias("q")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for a, b, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "p", "q"))):
-                x, y = (np.array([(s["x"], s["y"], s["z"]) for s in r]) for r in (p, q))
-                got = clip_on_sphere(x, y)
-                area = abs(spherical_area(got)) if len(got) else 0.0
-                if area > least:
-                    rows.append((a, b, area))
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["source", "target", "area"])
+    def area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        got = np.abs(spherical_areas(clip_on_sphere(p, q)))
+        return np.where(got > least, got, 0.0)
 
-    return met.select("a", "b", "p", "q").mapInArrow(run, "source long, target long, area double")
+    return _overlap(source, target, 0.05, area)
 
 
 def weights(overlap: DataFrame) -> DataFrame:
