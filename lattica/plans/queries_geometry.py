@@ -105,8 +105,6 @@ _AXDET = f"({_A[0]}*({_B[1]}*{_C[2]}-{_B[2]}*{_C[1]}) + {_A[1]}*({_B[2]}*{_C[0]}
 _DIAG = [d2(a, b) for a, b in quality._HEX_DIAGONALS]
 _JAC = ", ".join([det(*f, c) for c, f in enumerate(quality._HEX_CORNERS)] + [f"{_AXDET} / 64"])
 add("v05_hex", lambda s: rounded(measures.quality_of(hexes(s), model.HEX, ["edge_ratio", "volume", "stretch", "diagonal", "jacobian"]), "edge_ratio", "volume", "stretch", "diagonal", "jacobian"), f"{HEXQ}{H8} SELECT handle, {u(ratio(EDGES12))} AS edge_ratio, {u(f'{_AXDET} / 64')} AS volume, {u(f'sqrt(3.0) * sqrt(least({', '.join(EDGES12)})) / sqrt(greatest({', '.join(_DIAG)}))')} AS stretch, {u(f'sqrt(least({', '.join(_DIAG)})) / sqrt(greatest({', '.join(_DIAG)}))')} AS diagonal, {u(f'least({_JAC})')} AS jacobian FROM pc")
-for _etype, _mesh, _name in ((model.TRI, tris, "v02_tri_all"), (model.QUAD, quads, "v03_quad_all"), (model.TET, tets, "v04_tet_all"), (model.HEX, hexes, "v05_hex_all")):
-    add(_name, lambda s, e=_etype, m=_mesh: measures.quality_of(m(s), e, quality.available(e), 4.0))
 add("v06_wedge_volume", lambda s: rounded(measures.quality_of(_wedges(s), model.PRISM, ["volume"]), "volume"), f"SELECT {7 << 56} + i AS handle, {u('i * 3.0')} AS volume FROM range(1, 20) t(i)")
 add("h13_quality_statistics", lambda s: rounded(measures.quality_statistics(tris(s), model.TRI, ["area", "edge_ratio"]), "low", "high"), f"{TRIQ}{T3}, m AS (SELECT sqrt({cross2(1, 2, 0)}) / 2 AS a, {ratio(E3)} AS r FROM pc) SELECT 'area' AS metric, count(*) AS n, {u('min(a)')} AS low, {u('max(a)')} AS high FROM m UNION ALL SELECT 'edge_ratio', count(*), {u('min(r)')}, {u('max(r)')} FROM m")
 add("z05_histogram", lambda s: measures.quality_histogram(tris(s), model.TRI, "area", 4.3, 8.3, 8), f"{TRIQ}{T3}, m AS (SELECT sqrt({cross2(1, 2, 0)}) / 2 AS a FROM pc) SELECT CASE WHEN a < 4.3 THEN 0 WHEN a >= 8.3 THEN 9 ELSE floor((a - 4.3) / 0.5)::BIGINT + 1 END AS bin, count(*) AS n FROM m GROUP BY 1")

@@ -72,6 +72,8 @@ def parse_abaqus(data: bytes) -> Parsed:
             if keyword != "ELEMENT" or len(row) >= need:
                 take(row)
                 held = ""
+    if held:
+        take([x.strip() for x in held.split(",") if x.strip()])
     out.sets = {name: [cells[i] for i in ids if i in cells] for name, ids in cell_sets.items()}
     out.point_sets = {name: [nodes[i] for i in ids if i in nodes] for name, ids in node_sets.items()}
     return out
