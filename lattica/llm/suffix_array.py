@@ -15,6 +15,8 @@ import numpy as np
 
 #: Letters up to which a pass goes bucket by bucket.
 FEW_BUCKETS = 512
+#: Places whose common prefixes are compared at a time.
+COMPARED = 1 << 16
 
 
 def _induce(v: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
@@ -84,6 +86,7 @@ def _induce_scan(v: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int)
     before[0, 1:-1], before[1, 1:-1] = np.where(smaller[:-1], 0, v[:-1]), np.where(smaller[:-1], v[:-1], 0)
     out, larger, less = order.tolist(), before[0].tolist(), before[1].tolist()
     head, tail = (tails - count).tolist(), tails.tolist()
+    del order, before, at, own  # as lists from here on
     for i in out:
         if c := larger[i]:
             k = head[c]
@@ -157,16 +160,18 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     first = np.flatnonzero(~follows)
     common = np.zeros(n, np.int64)
     padded = np.append(text.astype(np.int16), np.full(64, -1, np.int16))
-    live, k, step = first[before[first] >= 0], 0, 4
-    while len(live):
-        span = k + np.arange(step)
-        a = np.minimum(live[:, None] + span, n)
-        b = np.minimum(before[live][:, None] + span, n + 1)
-        x, y = padded[a], padded[b]
-        y[b >= n] = -2
-        equal = x == y
-        whole = equal.all(1)
-        common[live[~whole]] = k + equal[~whole].argmin(1)
-        live, k, step = live[whole], k + step, 32
+    open_ends = first[before[first] >= 0]
+    for part in range(0, len(open_ends), COMPARED):  # of so many places at a time, which bounds the memory
+        live, k, step = open_ends[part : part + COMPARED], 0, 4
+        while len(live):
+            span = k + np.arange(step)
+            a = np.minimum(live[:, None] + span, n)
+            b = np.minimum(before[live][:, None] + span, n + 1)
+            x, y = padded[a], padded[b]
+            y[b >= n] = -2
+            equal = x == y
+            whole = equal.all(1)
+            common[live[~whole]] = k + equal[~whole].argmin(1)
+            live, k, step = live[whole], k + step, 32
     anchor = np.maximum.accumulate(np.where(follows, 0, here))
     return before, common[anchor] - (here - anchor)
