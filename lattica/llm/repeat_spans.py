@@ -146,11 +146,17 @@ def _mark(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+def _texts(batch: pa.RecordBatch, code: bool) -> list[bytes]:
+    """The texts of a batch, coded if asked for."""
+    texts = column_bytes(batch.column("text"))
+    return [c for _, part in chunks(texts) for c in coded(part)] if code else texts
+
+
+def _dealt(docs: DataFrame, buckets: int, window: int, gram: int, code: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield _packed(runs(column_bytes(batch.column("text")), window, gram), _row_ids(batch), buckets)
+                yield _packed(runs(_texts(batch, code), window, gram), _row_ids(batch), buckets)
 
     return docs.mapInArrow(runtime.trimmed(run), _PACKED)
 
@@ -210,20 +216,20 @@ def windows(texts: list[bytes], asks: list[np.ndarray], window: int) -> np.ndarr
     return out
 
 
-def _dealt_windows(asked: DataFrame, buckets: int, window: int) -> DataFrame:
+def _dealt_windows(asked: DataFrame, buckets: int, window: int, code: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 asks = [np.concatenate([np.frombuffer(x, ASK) for x in own]) for own in batch.column("asks").to_pylist()]
-                yield _packed(windows(column_bytes(batch.column("text")), asks, window), _row_ids(batch), buckets)
+                yield _packed(windows(_texts(batch, code), asks, window), _row_ids(batch), buckets)
 
     return asked.mapInArrow(runtime.trimmed(run), _PACKED)
 
 
-def _texts_of_runs(table: pa.RecordBatch, shards: int, window: int) -> pa.RecordBatch:
+def _texts_of_runs(table: pa.RecordBatch, shards: int, window: int, code: bool) -> pa.RecordBatch:
     heads: dict[int, list[bytes]] = {}
     bodies: dict[int, list[bytes]] = {}
-    for row, text, asks in zip(_row_ids(table).tolist(), column_bytes(table.column("text")), table.column("asks").to_pylist()):
+    for row, text, asks in zip(_row_ids(table).tolist(), _texts(table, code), table.column("asks").to_pylist()):
         for part in asks:
             for anchor, start, count in np.frombuffer(part, ASK).tolist():
                 s = anchor % shards
@@ -264,19 +270,19 @@ def _shard_marks(table: pa.Table, window: int) -> pa.Table:
     return pa.table({"row": pa.array([r[0] for r in rows], pa.int64()), "row2": pa.array([r[1] for r in rows], pa.int64()), "marks": pa.array(marks, pa.binary())})
 
 
-def _row_marks(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """The repeated window starts of ``rows(row, row2, text)`` as packed marks."""
+def _row_marks(rows: DataFrame, buckets: int, window: int, gram: int, code: bool = False) -> DataFrame:
+    """The repeated window starts of ``rows(row, row2, text)``, coded if asked for, as packed marks."""
     spark = rows.sparkSession
     run_bytes = window + (window - gram) // 2
     compare = lambda df: runtime.stored(spark, df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_compared, SHARD_BYTES // run_bytes), _COMPARED), "runs")
-    compared = compare(_dealt(rows, buckets, window, gram))
+    compared = compare(_dealt(rows, buckets, window, gram, code))
     asked = compared.filter("asks IS NOT NULL")
     volume = {r["hot"]: r["bytes"] for r in asked.groupBy("hot").agg(F.sum(F.length("asks")).alias("bytes")).collect()}
     shards = max(1, volume.get(False, 0) // ASK.itemsize * run_bytes // SHARD_BYTES)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _texts_of_runs(batch, shards, window)
+            yield _texts_of_runs(batch, shards, window, code)
 
     def texts(hot: bool) -> DataFrame:
         wanted = asked.filter(F.col("hot") == hot).groupBy(*_ROW).agg(F.collect_list("asks").alias("asks"))
@@ -286,7 +292,7 @@ def _row_marks(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFra
     from_shards = runtime.stored(spark, carried.repartition(shards, "shard").groupBy("shard").applyInArrow(runtime.lean(_shard_marks, window), "row long, row2 long, marks binary"), "shard-marks")
     found = compared.filter("marks IS NOT NULL").select(*_ROW, "marks").unionByName(from_shards)
     if volume.get(True):
-        found = found.unionByName(compare(_dealt_windows(texts(True), buckets, window)).filter("marks IS NOT NULL").select(*_ROW, "marks"))
+        found = found.unionByName(compare(_dealt_windows(texts(True), buckets, window, code)).filter("marks IS NOT NULL").select(*_ROW, "marks"))
     return found.groupBy(*_ROW).agg(F.collect_list("marks").alias("marks"))
 
 
@@ -304,7 +310,7 @@ def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int =
     rows = keyed.select(*_ROW, "text")
     marks = _row_marks(rows, buckets, window, gram)
     if words:
-        more = _row_marks(_coded(rows), buckets, words * CODE, min(GRAM_WORDS, -(-words // 2)) * CODE)
+        more = _row_marks(rows, buckets, words * CODE, min(GRAM_WORDS, -(-words // 2)) * CODE, True)
         marks = marks.join(more.withColumnRenamed("marks", "word_marks"), [*_ROW], "full")
     return keyed.join(marks, [*_ROW], "left")
 
@@ -320,15 +326,6 @@ def coded(texts: list[bytes]) -> list[bytes]:
     return [letters[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _coded(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, part in chunks(column_bytes(batch.column("text"))):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(part)) for c in _ROW), pa.array(coded(part), pa.binary()).cast(pa.string())], [*_ROW, "text"])
-
-    return rows.select(*_ROW, "text").mapInArrow(runtime.trimmed(run), "row long, row2 long, text string")
-
-
 def spans(marks: list[bytes] | None, window: int) -> np.ndarray:
     """Maximal byte spans (start, end) that marked windows cover."""
     got = np.concatenate([np.frombuffer(m, MARK) for m in marks]) if marks else np.empty(0, MARK)
