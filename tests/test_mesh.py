@@ -167,7 +167,7 @@ def test_bad_arguments(spark, triangle):
     with pytest.raises(MeshError):
         model.type_from_name("nothing")
     with pytest.raises(MeshError):
-        mutation.refine(triangle, TET)
+        mutation.refine(triangle, model.PYRAMID)
     with pytest.raises(MeshError):
         mutation.merge_entities(triangle, 1, (TRI << model.SHIFT) | 1)
     with pytest.raises(MeshError):
