@@ -336,11 +336,11 @@ def register_reader(suffix: str, parser: Callable[[bytes], Parsed]) -> None:
     PARSERS[suffix.lower()] = parser
 
 
-def _parser_of(path: str, name: str | None) -> Callable[[bytes], Parsed]:
+def _parser_of(path: str, name: str | None, parsers: dict[str, Callable[[bytes], Parsed]]) -> Callable[[bytes], Parsed]:
     suffix = (name or path.rsplit(".", 1)[-1]).lower()
-    if suffix not in PARSERS:
+    if suffix not in parsers:
         raise MeshError("NOT_IMPLEMENTED", f"no reader for {suffix}")
-    return PARSERS[suffix]
+    return parsers[suffix]
 
 
 ROWS = "path string, kind string, num long, etype int, conn array<long>, x double, y double, z double, name string"
@@ -380,12 +380,13 @@ def load(spark: SparkSession, path: str, format: str | None = None, options: str
     share = (asked.integer("RANK"), asked.integer("RANKS")) if way == 2 else None
     asked.done()
     if format is not None:
-        _parser_of("", format)
+        _parser_of("", format, PARSERS)
+    parsers = dict(PARSERS)  # travels to the executors, which don't know what was registered here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                yield from _table(p, _parser_of(p, format)(data)).to_batches(max_chunksize=50_000)
+                yield from _table(p, _parser_of(p, format, parsers)(data)).to_batches(max_chunksize=50_000)
 
     from ..operators.fixpoint import store
 
