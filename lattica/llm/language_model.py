@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import log_bloom, runtime
-from .textblocks import U64, Words, column_bytes, groups_of, mix64
+from .textblocks import IS_SPACE, U64, Words, column_bytes, groups_of, joined, mix64
 
 #: Weight of the single-token model within a pair's context.
 WEIGHT = 8.0
@@ -28,6 +28,8 @@ _END = U64(0x2545F4914F6CDD1D)
 _KEPT = U64((1 << 48) - 1)
 _UNIT = float(1 << 38)
 _GROUP = 4 << 20
+#: Tokens of all blocks, held-out ones included, for each bucket: a bucket's counts take about 60 bytes a token where they meet.
+BUCKET_TOKENS = 1 << 21
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +44,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
+def token_count(texts: list[bytes]) -> int:
+    """Number of tokens of all texts, without hashing them."""
+    space = IS_SPACE[joined(texts)[0]]  # each text ends in a space there
+    return int(np.count_nonzero(space[1:] & ~space[:-1])) + len(texts)
+
+
 def pairs(token: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Hash of each token with the one before it; a text's first token follows the end mark."""
     before = np.append(_END, token[:-1])
@@ -113,7 +121,7 @@ def _asked(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Texts in blocks: ids, marks of held-out texts, sizes and compressed bytes."""
+    """Texts in blocks: ids, marks of held-out texts, sizes, compressed bytes and the number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd", 1)
@@ -128,9 +136,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     "held": pa.array([own.column("held_out").to_pylist()], pa.list_(pa.bool_())),
                     "sizes": pa.array([[len(t) for t in part]], pa.list_(pa.int64())),
                     "texts": pa.array([zstd.compress(whole, asbytes=True) if whole else b""], pa.binary()),
+                    "tokens": pa.array([token_count(part)], pa.int64()),
                 })
 
-    return docs.mapInArrow(runtime.trimmed(run), "ids array<long>, held array<boolean>, sizes array<long>, texts binary")
+    return docs.mapInArrow(runtime.trimmed(run), "ids array<long>, held array<boolean>, sizes array<long>, texts binary, tokens long")
 
 
 def _texts_of(sizes: list[int], packed: bytes) -> list[bytes]:
@@ -221,8 +230,9 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     runtime.prepare(spark)
-    buckets = max(4, runtime.input_splits(docs) * 3 // 2)
     blocks = runtime.stored(spark, _blocks(keyed).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    # by what falls into them, since the splits of a large input grow with it
+    buckets = max(4, runtime.input_splits(docs) * 3 // 2, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
     met = runtime.stored(spark, _dealt(blocks, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met), _MET), "counts")
     n, v = (x or 0 for x in met.agg(F.sum("tokens"), F.sum("kinds")).first())
 

@@ -349,6 +349,20 @@ def test_language_model_base_and_score(spark):
     assert language_model.score_documents(docs.limit(0)).count() == 0
 
 
+def test_language_model_deals_by_tokens_not_by_splits(spark, monkeypatch):
+    texts = [None, "", " ", "one", "\x0b A\tb  c\n", *(" ".join(f"w{i * j % 997}" for j in range(400)) for i in range(50))]
+    assert [language_model.token_count([(t or "").encode()]) for t in texts] == [len((t or "").split()) + 1 for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
+    dealt, seen = language_model._dealt, []
+    monkeypatch.setattr(language_model, "_dealt", lambda blocks, buckets: seen.append(buckets) or dealt(blocks, buckets))
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 1000)
+    got = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
+    assert seen == [-(-sum(r.n_tokens for r in got.values()) // 1000)] and seen[0] > 4
+    for i, r in want.items():
+        assert r[:5] == got[i][:5] and math.isclose(r.base_score, got[i].base_score, abs_tol=1e-6)
+
+
 def test_language_model_leaves_no_count_out(monkeypatch):
     real = log_bloom.build
 
