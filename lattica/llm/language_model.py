@@ -28,6 +28,8 @@ _END = U64(0x2545F4914F6CDD1D)
 _KEPT = U64((1 << 48) - 1)
 _UNIT = float(1 << 38)
 _GROUP = 4 << 20
+#: Blocks are compressed already, and too large for a codec's buffers over a page of many.
+_FILES = {"compression": "none", "parquet.page.row.count.limit": "1"}
 #: Tokens of all blocks, held-out ones included, for each bucket: a bucket's counts take about 60 bytes a token where they meet.
 BUCKET_TOKENS = 1 << 21
 
@@ -230,7 +232,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     runtime.prepare(spark)
-    blocks = runtime.stored(spark, _blocks(keyed).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = runtime.stored(spark, _blocks(keyed).withColumn("block", F.monotonically_increasing_id()), "blocks", _FILES)
     # by what falls into them, since the splits of a large input grow with it
     buckets = max(4, runtime.input_splits(docs) * 3 // 2, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
     met = runtime.stored(spark, _dealt(blocks, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(runtime.lean(_met), _MET), "counts")

@@ -363,6 +363,18 @@ def test_language_model_deals_by_tokens_not_by_splits(spark, monkeypatch):
         assert r[:5] == got[i][:5] and math.isclose(r.base_score, got[i].base_score, abs_tol=1e-6)
 
 
+def test_language_model_stores_blocks_uncompressed_by_the_row(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    stored, made = language_model.runtime.stored, {}
+    monkeypatch.setattr(language_model.runtime, "stored", lambda s, df, tag, *more: made.setdefault(tag, stored(s, df, tag, *more)))
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(30)], "doc_id long, text string").coalesce(1)
+    assert language_model.score_documents(docs).count() == 30
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in made["blocks"].inputFiles()]
+    chunks = [f.metadata.row_group(g).column(c) for f in files for g in range(f.num_row_groups) for c in range(f.metadata.num_columns)]
+    assert chunks and {c.compression for c in chunks} == {"UNCOMPRESSED"}
+
+
 def test_language_model_leaves_no_count_out(monkeypatch):
     real = log_bloom.build
 
