@@ -184,8 +184,8 @@ def features(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), len(FEATURES)))
     for i, b in enumerate(found):
         t, n = b.text, len(b.text)
-        words, lead = t.count(" ") + 1, t[:400]
-        out[i] = (1.0, min(math.log1p(words), 5.0), min(1.0, b.linked / n), words > 3 and t[-1] in ".!?…。\"'»)", words < 4, b.element.name in HEADINGS, len(_DIGITS.findall(lead)) / len(lead), len(_CAPITALS.findall(lead)) / len(lead), _SIGNS.search(t) is not None)
+        words = t.count(" ") + 1
+        out[i] = (1.0, min(math.log1p(words), 5.0), min(1.0, b.linked / n), words > 3 and t[-1] in ".!?…。\"'»)", words < 4, b.element.name in HEADINGS, len(_DIGITS.findall(t)) / n, len(_CAPITALS.findall(t)) / n, _SIGNS.search(t) is not None)
     return out
 
 

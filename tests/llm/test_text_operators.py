@@ -331,6 +331,13 @@ def test_extraction_learns_from_plain_markup(spark):
     assert len(twice) == 120 and all(r.text.count("\n") == 1 for r in twice)
 
 
+def test_features_see_whole_texts():
+    for lead, rest in (("word " * 100, "7A" * 300), ("7A" * 300, " word" * 100)):
+        (block,) = html_text.blocks(f"<p>{lead}{rest}</p>")
+        got = dict(zip(html_text.FEATURES, html_text.features([block])[0]))
+        assert len(block.text) > 1000 and got["digits"] == got["capitals"] == 300 / len(block.text)
+
+
 def test_minimum_cut_is_least():
     rnd = random.Random(7)
     for _ in range(200):
