@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lattica.llm import components, jaccard_join, language_model, log_bloom, repeat_spans, suffix_array, tiling
+from lattica.llm import components, jaccard_join, language_model, log_bloom, repeat_spans, row_filter, suffix_array, tiling
 from lattica.llm.textblocks import U64
 
 
@@ -218,6 +218,62 @@ def test_repeats_edge_tables(spark):
     assert got == [(0, 0), (1, 600), (1, 600)]
 
 
+def shuffled_bytes(spark, run):
+    """What ``run`` writes to shuffles."""
+    store, nothing = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm.java.util.ArrayList()
+
+    def written():
+        store.listenerBus().waitUntilEmpty(30_000)
+        stages = store.statusStore().stageList(nothing, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), nothing)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    out = run()
+    return out, written() - before
+
+
+def test_repeats_move_only_texts_that_meet_a_run_or_a_mark(spark):
+    rnd = random.Random(33)
+    say = lambda n: "".join(chr(rnd.randint(33, 125)) for _ in range(n))
+    shared = [say(500), say(450)]
+    texts = [say(3000) for _ in range(300)] + [say(500) + p + say(500) for p in shared for _ in range(3)] + [say(700)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = docs.localCheckpoint()
+        got, moved = shuffled_bytes(spark, lambda: {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.report(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 400)))
+    assert 0 < moved < 0.8 * sum(map(len, texts))  # the runs and a few texts; whole texts twice would be more
+
+
+def test_repeats_without_room_for_the_filter(spark, monkeypatch):
+    rnd = random.Random(34)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = say(90)
+    texts = [say(rnd.randint(1, 200)) + rnd.choice([passage, ""]) + say(rnd.randint(1, 60)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(row_filter, "FILTER_BYTES", 0)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.report(docs, 40, 16).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 40)))
+
+
+def test_row_filter(spark):
+    rnd = np.random.default_rng(4)
+    ids, others = rnd.integers(0, 1 << 63, (2, 50_000)).astype(U64) << U64(1)
+    slot = (ids % U64(row_filter.SLICES)).astype(int)
+    made = row_filter.Filter({k: row_filter.build(ids[slot == k], 1 << 20) for k in set(slot.tolist())})
+    assert made.passes(ids).all() and made.passes(others).mean() < 0.02
+    tight = row_filter.Filter({k: row_filter.build(ids[slot == k], 100) for k in set(slot.tolist())})
+    assert tight.passes(ids).all() and tight.passes(others).all() and not row_filter.Filter({}).passes(ids).any()
+    rows = spark.range(4000).selectExpr("id", "xxhash64(id) AS key").repartition(3)
+    kept = {r.id for r in rows.filter(row_filter.passing(rows.filter("id % 10 = 3"), "key")).collect()}
+    assert kept >= set(range(3, 4000, 10)) and len(kept) < 500
+    assert rows.filter(row_filter.passing(rows.filter("id < 0"), "key")).count() == 0
+
+
 def test_pipeline_removes_passages_of_over_50_words(spark):
     import corpus_pipeline
 
