@@ -132,11 +132,16 @@ class Evaluator:
         return pairs.join(self._nodes(), "handle").select("pid", "handle", *"xyz", "points").mapInArrow(run, "pid long, handle long, xi double, eta double, zeta double, inside boolean")
 
     def containing(self, points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-        """``(pid, handle, xi, eta, zeta)``: the element that each point lies in, the smallest handle among several."""
+        """``(pid, handle, xi, eta, zeta)``: the element that each point lies in, the smallest handle among several.
+
+        An element that holds a point goes before those that hold it by the tolerance only.
+        """
         own = self.mesh.with_(elements=self.mesh.elements.filter(model.of_type(F.col("handle"), self.etype)))
         met = spatial.candidates(points, spatial.bounds(own, model.DIMENSIONS[self.etype]), tolerance).select("pid", "handle", *"xyz")
         found = self.reverse(met, tolerance).filter("inside")
-        return found.groupBy("pid").agg(F.min(F.struct("handle", *_AT)).alias("m")).select("pid", "m.*")
+        at = [F.col(c) for c in _AT]
+        out = F.greatest(*(-c for c in at), at[0] + at[1] + at[2] - 1) if self.geometry.simplex else F.greatest(*map(F.abs, at)) - 1
+        return spatial.innermost(found, out)
 
     def normals(self, located: DataFrame) -> DataFrame:
         """``(pid, x, y, z)``: unit normals of faces at points."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import geometry as G
+from ..functions import shapes
 from ..functions.geometry import V
 from ..model import Mesh
 from . import measures
@@ -227,7 +228,13 @@ def inverse_trilinear(points: np.ndarray, corners: np.ndarray, rounds: int = 10,
         step = np.linalg.solve(jac, res[..., None])[..., 0]
         step[ok | flat] = 0
         xi -= step
-    return xi, ok
+    return shapes.settled(xi), ok
+
+
+def innermost(located: DataFrame, out: Column) -> DataFrame:
+    """One of ``located(pid, handle, xi, eta, zeta)`` for each point: the least far ``out``, and the smallest handle of those that hold it."""
+    best = F.min(F.struct(F.greatest(out, F.lit(0.0)).alias("out"), "handle", "xi", "eta", "zeta"))
+    return located.groupBy("pid").agg(best.alias("m")).select("pid", "m.handle", "m.xi", "m.eta", "m.zeta")
 
 
 def locate_in_tets(points: DataFrame, mesh: Mesh, tolerance: float = 1e-10) -> DataFrame:
@@ -243,7 +250,10 @@ def locate_in_tets(points: DataFrame, mesh: Mesh, tolerance: float = 1e-10) -> D
 
 
 def locate_in_hexes(points: DataFrame, mesh: Mesh, tolerance: float = 1e-6) -> DataFrame:
-    """``(pid, handle, xi, eta, zeta)`` of points in hexahedra, coordinates from -1 to 1; the smallest handle among several."""
+    """``(pid, handle, xi, eta, zeta)`` of points in hexahedra, coordinates from -1 to 1; the smallest handle among several.
+
+    A hexahedron that holds a point goes before those that hold it by the tolerance only.
+    """
     pts = measures.corner_points(mesh, etype=model.HEX)
     met = candidates(points, bounds(mesh, 3), tolerance).join(pts, "handle").select("pid", "handle", "x", "y", "z", "points")
 
@@ -260,7 +270,7 @@ def locate_in_hexes(points: DataFrame, mesh: Mesh, tolerance: float = 1e-6) -> D
             yield out.filter(pa.array(ok))
 
     inside = met.mapInArrow(run, "pid long, handle long, xi double, eta double, zeta double")
-    return inside.groupBy("pid").agg(F.min(F.struct("handle", "xi", "eta", "zeta")).alias("m")).select("pid", "m.*")
+    return innermost(inside, F.greatest(*(F.abs(c) for c in ("xi", "eta", "zeta"))) - 1)
 
 
 def box_overlap_pairs(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Vertices at one place."""
+"""Vertices at one place, and points beside the sides of elements."""
 
 import random
 
-from lattica.operators import distribution, mutation
+from lattica import model
+from lattica.functions import shapes
+from lattica.operators import distribution, mutation, spatial
+from lattica.operators.evaluator import Evaluator
+from lattica.plans import tables
 
 XYZ = "handle long, x double, y double, z double"
 
@@ -28,3 +32,28 @@ def test_merging_agrees_with_brute_force(spark):
         else:
             kept.append((h, p))
     assert {x["handle"]: x["keep"] for x in mutation.merge_map(spark.createDataFrame(rows, XYZ), 0.5).collect()} == want
+
+
+def _points(spark, xs):
+    return spark.createDataFrame([(i, x, 1.5, 1.25) for i, x in enumerate(xs)], "pid long, x double, y double, z double")
+
+
+def test_points_beside_a_side_lie_in_the_element_that_holds_them(spark):
+    """On a side in the smallest handle; by 2e-8 beyond it in the next; outside of all by the tolerance."""
+    xs = [2.0, 2.0 + 2e-8, 2.0 - 2e-8, 4.0 + 2e-8]
+    quads = Evaluator(tables.tri_mesh(spark, 4), model.TRI).containing(_points(spark, xs).selectExpr("pid", "x", "y", "0D AS z"))
+    cell = {r["pid"]: (model_id(r["handle"]) - 1) // 2 - 4 for r in quads.collect()}
+    assert cell == {0: 1, 1: 2, 2: 1, 3: 3}
+    hexes = spatial.locate_in_hexes(_points(spark, xs), tables.hex_mesh(spark, 4)).collect()
+    assert {r["pid"]: model_id(r["handle"]) - 1 - 4 - 16 for r in hexes} == {0: 1, 1: 2, 2: 1, 3: 3}
+
+
+def model_id(handle):
+    return handle & model.ID_MASK
+
+
+def test_natural_coordinates_of_binary_fractions_are_exact(spark):
+    xs = [i / 256 for i in range(1, 1024)]
+    got = {r["pid"]: r["xi"] for r in spatial.locate_in_hexes(_points(spark, xs), tables.hex_mesh(spark, 4)).collect()}
+    assert got == {i: 2 * (x - -(-x // 1)) + 1 for i, x in enumerate(xs)}
+    assert shapes.settled(shapes.np.array([1 + 1e-15, 0.1])).tolist() == [1.0, round(0.1 * 2**40) / 2**40]
