@@ -113,16 +113,17 @@ def plane_tree(boxes: DataFrame, most: int = 6, depth: int = 30, plane: str = "m
         pick = lambda name: F.when(F.col("axis") == "x", F.col(name.format("x"))).when(F.col("axis") == "y", F.col(name.format("y"))).otherwise(F.col(name.format("z")))
         named = nodes.select("node", F.col("n").alias("n_node"), *(F.col(c).alias(f"n{c}") for c in _BOX)).withColumn("axis", axis)
         named = named.withColumn("at", (pick("n{}0") + pick("n{}1")) / 2)
-        met = held.join(named, "node")
         low, high = pick("{}0"), pick("{}1")
         if plane == "median":
-            middle = met.groupBy("node").agg(F.percentile_approx((low + high) / 2, 0.5).alias("at"))
+            middle = held.join(named, "node").groupBy("node").agg(F.percentile_approx((low + high) / 2, 0.5).alias("at"))
             named = named.drop("at").join(middle, "node", "left")
-            met = held.join(named, "node")
+        # a row for each node, stored: its size is known, so that the members need not be shuffled to it
+        named = store(spark, named.select("node", "axis", "at"))
+        met = held.join(named, "node")
         left, right = low < F.col("at"), high > F.col("at")
         flat = (low == F.col("at")) & (high == F.col("at"))
-        met = store(spark, met.withColumn("_left", left | flat).withColumn("_right", right))
-        sides = met.groupBy("node").agg(F.sum(F.col("_left").cast("long")).alias("nl"), F.sum(F.col("_right").cast("long")).alias("nr"), F.first("axis").alias("axis"), F.first("at").alias("at"))
+        met = store(spark, met.select("handle", *_BOX, "node", (left | flat).alias("_left"), right.alias("_right")))
+        sides = met.groupBy("node").agg(F.sum(F.col("_left").cast("long")).alias("nl"), F.sum(F.col("_right").cast("long")).alias("nr")).join(named, "node")
         split = (F.col("n") > most) & F.lit(level < depth) & (F.greatest("nl", "nr") < F.col("n"))
         whole = store(spark, nodes.join(sides, "node", "left").withColumn("leaf", ~F.coalesce(split, F.lit(False))))
         part = whole.select("node", "depth", *_BOX, "n", "leaf")
@@ -142,7 +143,7 @@ def plane_tree(boxes: DataFrame, most: int = 6, depth: int = 30, plane: str = "m
         nodes = store(spark, kids)
         inner = met.join(going.select("node"), "node", "left_semi")
         sides_of = F.filter(F.array(F.when(F.col("_left"), F.col("node") * 2), F.when(F.col("_right"), F.col("node") * 2 + 1)), lambda x: x.isNotNull())
-        held = store(spark, inner.select("handle", *_BOX, F.explode(sides_of).alias("node")))
+        held = inner.select("handle", *_BOX, F.explode(sides_of).alias("node"))  # of the stored members, not stored again
     return Tree(store(spark, done_nodes), store(spark, done_members), boxes)
 
 
